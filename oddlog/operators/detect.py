@@ -49,7 +49,7 @@ class Scorer:
 
     def _parameters(self) -> DataFrame:
         """One row per log type: slot-indexed arrays (at most ten entries) and model facts."""
-        features = self.model.features
+        features = self.model.features.join(encode.unknown_codes(self.model.values), ["log_type", "slot"], "left")
         names = [
             "feature", "is_category", "type", "is_optimal", "mean", "std", "total",
             "unknown_code", "scale_mean", "scale_std", "fill_median",

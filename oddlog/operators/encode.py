@@ -61,10 +61,10 @@ def fit_scalers(selected: DataFrame) -> DataFrame:
     )
 
 
-def unknown_codes(values: DataFrame, by: list[str]) -> DataFrame:
-    """Code of the class ``unknown`` per (key, slot), where it exists."""
+def unknown_codes(values: DataFrame) -> DataFrame:
+    """Code of the class ``unknown`` per (log type, slot), where it exists."""
     return values.where((F.col("value") == UNKNOWN) & F.col("code").isNotNull()).select(
-        *[c(k) for k in by], "slot", F.col("code").alias("unknown_code")
+        "log_type", "slot", F.col("code").alias("unknown_code")
     )
 
 

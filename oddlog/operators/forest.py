@@ -84,11 +84,11 @@ def draw_samples(
 def grow(log_type: str, tree: int, x: np.ndarray, seed: int = SEED) -> pd.DataFrame:
     """One isolation tree over the sample ``x`` as heap-numbered nodes (root 1, children 2i and 2i + 1).
 
-    Random numbers come from (seed, log type, tree, node), and a split depends on the set of rows only, so neither
-    row order nor partitioning matters.
+    Random numbers come from (seed, log type, tree) in node order, and a split depends on the set of rows only, so
+    neither row order nor partitioning matters.
     """
     limit = math.ceil(math.log2(max(len(x), 2)))
-    stream = zlib.crc32(log_type.encode())
+    rng = np.random.default_rng([seed, zlib.crc32(log_type.encode()), tree])
     nodes, pending = [], [(1, 0, x)]
     while pending:
         node, depth, part = pending.pop()
@@ -97,8 +97,7 @@ def grow(log_type: str, tree: int, x: np.ndarray, seed: int = SEED) -> pd.DataFr
         if depth == limit or len(part) == 1 or not len(open_features):
             nodes.append((log_type, tree, node, None, None, depth + average_path(len(part))))
             continue
-        rng = np.random.default_rng([seed, stream, tree, node])
-        feature = int(rng.choice(open_features))
+        feature = int(open_features[rng.integers(len(open_features))])
         threshold = float(rng.uniform(low[feature], high[feature]))
         goes_left = part[:, feature] <= threshold
         nodes.append((log_type, tree, node, feature, threshold, None))

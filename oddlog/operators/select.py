@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import EXCLUDED_FEATURE, HOUR_DUPLICATE, TEMPORAL_FEATURES, c
 from ..functions.scoring import MAX_CARDINALITY, NUMERIC_ENTROPY, normalised_entropy, numeric_cardinality, quality
@@ -37,79 +37,69 @@ def with_quality(features: DataFrame) -> DataFrame:
     return scored.withColumn("score", quality(F.col("coverage"), F.col("cardinality"), F.col("entropy"), temporal))
 
 
-def drop_redundant(scored: DataFrame, group: list[str]) -> DataFrame:
-    """Drop business-hours flags, and the duplicate hour where ``hour`` ranks above it."""
-    ranked = scored.where(F.col("feature") != EXCLUDED_FEATURE)
-    window = Window.partitionBy(*[c(k) for k in group])
-    order = F.struct(-F.col("score"), F.col("ordinal"))
-    hour = F.min(F.when(F.col("feature") == "hour", order)).over(window)
-    return (
-        ranked.withColumn("_hour", hour)
-        .where((F.col("feature") != HOUR_DUPLICATE) | F.col("_hour").isNull() | (order < F.col("_hour")))
-        .drop("_hour")
-    )
-
-
-def top_features(
-    scored: DataFrame, group: list[str], coverage, target: int = TARGET, everything: DataFrame | None = None
-) -> DataFrame:
-    """The best ``target`` features per group in ``rank`` order, with a temporal feature if no number made it.
+def rank_features(scored: DataFrame, group: list[str], coverage: Column, target: int = TARGET) -> DataFrame:
+    """Add ``rank`` (null for features not chosen) and ``forced``; all steps are windows over the same small groups.
 
-    ``everything`` is the table forced features are taken from; they need no coverage.
+    The best ``target`` usable features are ranked by score. Business-hours flags never count, nor does the duplicate
+    hour once ``hour`` ranks above it. Where no numerical feature was chosen, ``hour`` and then ``day_of_week`` are
+    appended until the target is reached, whatever their coverage; should that exceed the target by one, the lowest
+    ranked categories make room.
     """
-    usable = scored.where((F.col("coverage") >= coverage) & F.col("cardinality").between(2, MAX_CARDINALITY))
-    window = Window.partitionBy(*[c(k) for k in group]).orderBy(F.desc("score"), "ordinal")
-    ranked = drop_redundant(usable, group).withColumn("rank", F.row_number().over(window))
-    best = ranked.where(F.col("rank") <= target)
-    return force_temporal(best, everything if everything is not None else scored, group, target)
-
+    keys = [c(k) for k in group]
+    every = Window.partitionBy(*keys)
+    order = F.struct(-F.col("score"), F.col("ordinal"))
 
-def force_temporal(best: DataFrame, everything: DataFrame, group: list[str], target: int = TARGET) -> DataFrame:
-    """Where no numerical feature was chosen, add ``hour`` then ``day_of_week`` until ``target`` is reached.
+    ranked = scored.withColumn(
+        "usable",
+        (F.col("coverage") >= coverage)
+        & F.col("cardinality").between(2, MAX_CARDINALITY)
+        & (F.col("feature") != EXCLUDED_FEATURE),
+    )
+    best_hour = F.min(F.when(F.col("usable") & (F.col("feature") == "hour"), order)).over(every)
+    ranked = ranked.withColumn("hour_order", best_hour).withColumn(
+        "usable",
+        F.col("usable") & ~((F.col("feature") == HOUR_DUPLICATE) & F.coalesce(F.col("hour_order") < order, F.lit(False))),
+    )
+    place = F.row_number().over(Window.partitionBy(*keys, "usable").orderBy(F.desc("score"), "ordinal"))
+    ranked = ranked.withColumn("rank", F.when(F.col("usable"), place)).withColumn(
+        "rank", F.when(F.col("rank") <= target, F.col("rank"))
+    )
 
-    Adding stops once the list is at or past the target, so at most one feature is over; then the lowest ranked
-    categories make room again.
-    """
-    chosen = best.select(*[c(k) for k in group], "feature", "rank", "type")
-    state = chosen.groupBy(*[c(k) for k in group]).agg(
-        F.count("feature").alias("size"),
-        F.max(F.when(F.col("type") == "numerical", 1).otherwise(0)).alias("has_number"),
+    chosen, number = F.col("rank").isNotNull(), F.col("type") == "numerical"
+    ranked = ranked.withColumns(
+        {
+            "size": F.count("rank").over(every),
+            "forceable": ~chosen
+            & F.col("feature").isin(*TEMPORAL_FEATURES)
+            & (F.max(F.when(chosen & number, 1).otherwise(0)).over(every) == 0),
+        }
     )
-    temporal = everything.where(F.col("feature").isin(*TEMPORAL_FEATURES))
-    # a group without any chosen feature still gets its temporal ones
-    forced = (
-        temporal.join(chosen.select(*[c(k) for k in group], "feature"), [*group, "feature"], "left_anti")
-        .join(state, group, "left")
-        .where(F.coalesce(F.col("has_number"), F.lit(0)) == 0)
+    turn = F.row_number().over(
+        Window.partitionBy(*keys, "forceable").orderBy(F.col("feature") != TEMPORAL_FEATURES[0], "ordinal")
     )
-    order = Window.partitionBy(*[c(k) for k in group]).orderBy(F.desc(F.col("feature") == TEMPORAL_FEATURES[0]))
-    size = F.coalesce(F.col("size"), F.lit(0))
-    forced = (
-        forced.withColumn("turn", F.row_number().over(order))
-        .where((F.col("turn") == 1) | (size + F.col("turn") - 1 < target))
-        .withColumn("rank", (size + F.col("turn")).cast("int"))
-        .drop("turn", "size", "has_number")
+    ranked = ranked.withColumn("turn", turn).withColumn(
+        "forced", F.col("forceable") & ((F.col("turn") == 1) | (F.col("size") + F.col("turn") - 1 < target))
     )
-    together = best.withColumn("forced", F.lit(False)).unionByName(forced.withColumn("forced", F.lit(True)))
-    every = Window.partitionBy(*[c(k) for k in group])
-    worst_first = Window.partitionBy(*[c(k) for k in group], F.col("type")).orderBy(F.desc("rank"))
-    surplus = F.greatest(F.count("feature").over(every) - target, F.lit(0))
-    kept = (
-        together.withColumns({"surplus": surplus, "from_end": F.row_number().over(worst_first)})
-        .where((F.col("type") != "categorical") | (F.col("from_end") > F.col("surplus")))
-        .drop("surplus", "from_end")
+    ranked = ranked.withColumn("rank", F.when(F.col("forced"), F.col("size") + F.col("turn")).otherwise(F.col("rank")))
+
+    surplus = F.greatest(F.count("rank").over(every) - target, F.lit(0))
+    from_end = F.row_number().over(Window.partitionBy(*keys, "type").orderBy(F.desc_nulls_last("rank")))
+    ranked = ranked.withColumns({"surplus": surplus, "from_end": from_end}).withColumn(
+        "rank",
+        F.when((F.col("type") == "categorical") & (F.col("from_end") <= F.col("surplus")), None).otherwise(F.col("rank")),
+    )
+    dense = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("rank")))
+    return ranked.withColumn("rank", F.when(F.col("rank").isNotNull(), dense)).drop(
+        "usable", "hour_order", "size", "forceable", "turn", "surplus", "from_end"
     )
-    final = Window.partitionBy(*[c(k) for k in group]).orderBy("rank")
-    return kept.withColumn("rank", F.row_number().over(final))
 
 
 def cascade(scored: DataFrame, by: list[str], coverages=TRAINING_COVERAGES, target: int = TARGET) -> DataFrame:
     """Try coverage thresholds from strict to loose; per group the first one that yields a feature wins."""
     tries = scored.withColumn("min_coverage", F.explode(F.array(*[F.lit(x) for x in coverages])))
-    group = [*by, "min_coverage"]
-    chosen = top_features(tries, group, F.col("min_coverage"), target)
+    chosen = rank_features(tries, [*by, "min_coverage"], F.col("min_coverage"), target).where("rank IS NOT NULL")
     best = F.max("min_coverage").over(Window.partitionBy(*[c(k) for k in by]))
-    return chosen.withColumn("_best", best).where("min_coverage = _best").drop("_best")
+    return chosen.withColumn("best", best).where("min_coverage = best").drop("best")
 
 
 def select_features(features: DataFrame, by: list[str], target: int = TARGET, coverages=TRAINING_COVERAGES) -> DataFrame:
@@ -125,11 +115,12 @@ def select_features(features: DataFrame, by: list[str], target: int = TARGET, co
 
 def mark_optimal(selected: DataFrame, by: list[str], target: int = TARGET) -> DataFrame:
     """Selection as used at detection (stricter coverage, over the trained model's own features), computed once."""
-    scored = with_quality(selected.withColumn("ordinal", F.col("slot")))
-    best = top_features(scored, by, F.lit(DETECTION_COVERAGE), target).select(
-        *[c(k) for k in by], "feature", F.col("rank").alias("optimal_rank")
-    )
-    return selected.join(best, [*by, "feature"], "left").withColumn("is_optimal", F.col("optimal_rank").isNotNull())
+    scored = selected.withColumnsRenamed({"rank": "training_rank", "forced": "training_forced"})
+    scored = scored.withColumn("ordinal", F.col("slot"))
+    marked = rank_features(scored, by, F.lit(DETECTION_COVERAGE), target).drop("forced")
+    return marked.withColumnsRenamed(
+        {"rank": "optimal_rank", "training_rank": "rank", "training_forced": "forced"}
+    ).withColumn("is_optimal", F.col("optimal_rank").isNotNull())
 
 
 def feature_lists(selected: DataFrame, by: list[str]) -> DataFrame:

@@ -29,15 +29,11 @@ def enough_rows(df: DataFrame, by: list[str], minimum: int = MIN_ROWS) -> DataFr
     return df.join(F.broadcast(sizes.drop("n")), by, "left_semi")
 
 
-def model_tables(view: DataFrame, found: Profile, target: int = TARGET) -> tuple[DataFrame, DataFrame]:
-    """The feature and value tables of a model from a profile (before any tree is grown)."""
+def model_features(found: Profile, target: int = TARGET) -> DataFrame:
+    """The feature table of a model: chosen features in slots, with statistics and scaling."""
     eligible = found.features.where(F.col("rows") >= MIN_ROWS)
     selected = mark_optimal(select_features(eligible, BY, target), BY, target)
-    values = encode.fit_values(selected, found.counts, BY)
-    features = encode.fit_scalers(selected).join(
-        encode.unknown_codes(values, BY), [*BY, "slot"], "left"
-    )
-    return features.drop("position", "surplus"), values
+    return encode.fit_scalers(selected).drop("position", "ordinal", "min_coverage", "raw_mean", "raw_std_pop", "entropy_bits")
 
 
 def fit(
@@ -56,13 +52,13 @@ def fit(
     for the offset is the fourth. ``row_key`` names columns that identify an event, see
     :func:`oddlog.operators.forest.draw_samples`; they are never features themselves unless listed in ``columns``.
     """
-    spark = logs.sparkSession
     view = training_view(logs, log_type)
     candidates = columns or [n for n in view.columns if n != "log_type" and n not in (row_key or [])]
     found = profile(view, BY, columns=candidates)
-    features, values = model_tables(view, found, target)
-    features = stage(features, "features")
-    values = stage(values, "values")
+    # both tables are small and used several times by the selection
+    found = Profile(BY, stage(found.features, "profile"), stage(found.counts, "value-counts"))
+    features = stage(model_features(found, target), "features")
+    values = stage(encode.fit_values(features, found.counts, BY), "values")
 
     sizes = features.groupBy("log_type").agg(F.max("rows").alias("training_samples"))
     rows = {r.log_type: r.training_samples for r in sizes.collect()}
@@ -92,7 +88,7 @@ def fit(
         .join(rates, "log_type")
         .withColumn("params", F.create_map(*[F.lit(str(x)) for kv in params.items() for x in kv]))
     )
-    return Model(models, features, values, grown).staged(spark)
+    return Model(stage(models, "models"), features, values, grown)
 
 
 def feature_names(features: DataFrame) -> DataFrame:

@@ -6,8 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from ..session import new_path
-
 TABLES = {
     "models": "categorical_features array<string>, numerical_features array<string>, training_samples bigint, psi int,"
     " offset double, anomaly_rate double, params map<string,string>, log_type string",
@@ -16,7 +14,7 @@ TABLES = {
     " unique_count bigint, total bigint, most_common string, most_common_freq bigint,"
     " coverage double, cardinality bigint, entropy double, score double, rank int, forced boolean,"
     " is_optimal boolean, optimal_rank int, scale_mean double, scale_std double, fill_median double,"
-    " unknown_code int, log_type string",
+    " log_type string",
     "values": "slot int, feature string, value string, code int, cnt bigint, log_type string",
     "forest": "tree int, node int, feature int, threshold double, path_length double, log_type string",
 }
@@ -52,9 +50,3 @@ class Model:
         complete = read["forest"].select("log_type").distinct()
         read["models"] = read["models"].join(complete, "log_type", "left_semi")
         return Model(**read)
-
-    def staged(self, spark: SparkSession) -> "Model":
-        """Save to the work folder and read back, so that no later use recomputes the training."""
-        path = new_path(spark, "model")
-        self.save(path)
-        return Model.load(spark, path)

@@ -82,16 +82,21 @@ def average_path(size: int) -> float:
     return 2.0 * (math.log(size - 1.0) + EULER) - 2.0 * (size - 1.0) / size
 
 
-def explanation(deviations: Column, score: Column, is_anomaly: Column) -> Column:
-    """One sentence per event from its ordered deviation array: up to three notable features for an anomaly, two else."""
+def notable_text(deviations: Column, is_anomaly: Column) -> Column:
+    """The notable features of an ordered deviation array as text: the first three for an anomaly, two otherwise."""
     levels = F.array(*[F.lit(x) for x in ("high", "extreme", "rare", "extremely_rare")])
-    notable = F.transform(
-        F.filter(deviations, lambda d: F.array_contains(levels, d["deviation_level"])),
+    notable = F.filter(deviations, lambda d: F.array_contains(levels, d["deviation_level"]))
+    named = F.transform(
+        F.slice(notable, 1, F.when(is_anomaly, 3).otherwise(2)),
         lambda d: F.when(
             d["type"] == "numerical", F.concat(d["feature"], F.lit(" (z-score: "), fixed(d["z_score"], 1), F.lit(")"))
         ).otherwise(F.concat(d["feature"], F.lit(" (rarity: "), fixed(d["rarity_score"], 2), F.lit(")"))),
     )
-    listed = F.array_join(F.slice(notable, 1, F.when(is_anomaly, 3).otherwise(2)), ", ")
+    return F.array_join(named, ", ")
+
+
+def explanation(deviations: Column, notable: Column, score: Column, is_anomaly: Column) -> Column:
+    """One sentence per event from its deviations and the text of the notable ones."""
     head = F.concat(
         F.lit("This event appears "),
         F.when(is_anomaly, "anomalous").otherwise("normal"),
@@ -100,9 +105,9 @@ def explanation(deviations: Column, score: Column, is_anomaly: Column) -> Column
         F.lit(")"),
     )
     tail = (
-        F.when(is_anomaly & (listed != ""), F.concat(F.lit(" due to unusual patterns in "), listed, F.lit(".")))
+        F.when(is_anomaly & (notable != ""), F.concat(F.lit(" due to unusual patterns in "), notable, F.lit(".")))
         .when(is_anomaly, F.lit(" due to unusual feature combinations."))
-        .when(listed != "", F.concat(F.lit(" despite some variations in "), listed, F.lit(".")))
+        .when(notable != "", F.concat(F.lit(" despite some variations in "), notable, F.lit(".")))
         .otherwise(F.lit(" with typical feature patterns."))
     )
     return F.when(F.size(deviations) == 0, F.lit(NO_DEVIATIONS)).otherwise(F.concat(head, tail))

@@ -10,6 +10,7 @@ from ..functions.scoring import (
     average_path,
     deviation_level,
     explanation,
+    notable_text,
     rarity,
     rarity_level,
     z_score,
@@ -144,49 +145,43 @@ class Scorer:
             normal = F.when(F.col("psi") == psi, F.lit(average_path(psi))).otherwise(normal)
         return df.withColumn("score", anomaly_score(path, F.when(normal > 0, normal).otherwise(1.0)))
 
-    def deviations(self) -> Column:
-        """Array of deviations of the features detection uses, in model order; needs :meth:`encode`."""
-        entries = []
+    def with_deviations(self, encoded: DataFrame) -> DataFrame:
+        """Add ``feature_deviations``: the features detection uses and the event holds, in model order.
+
+        The measures are columns of their own, so each is computed once however often the array refers to it.
+        """
+        measures, entries = {}, []
         for i in range(self.slots):
-            used = F.get("s_is_optimal", F.lit(i))
 
             def at(name: str, i=i) -> Column:
                 return F.get(f"s_{name}", F.lit(i))
 
             number, text, count = F.col(f"number_{i}"), F.col(f"text_{i}"), F.col(f"cnt_{i}")
-            z = z_score(number, at("mean"), at("std"))
-            rare = rarity(count, at("total"))
-            numeric = F.struct(
-                at("feature").alias("feature"),
-                F.lit("numerical").alias("type"),
-                number.cast("string").alias("value"),
-                at("mean").alias("mean"),
-                at("std").alias("std"),
-                z.alias("z_score"),
-                F.lit(None).cast("bigint").alias("frequency"),
-                F.lit(None).cast("bigint").alias("total_samples"),
-                F.lit(None).cast("double").alias("rarity_score"),
-                deviation_level(z).alias("deviation_level"),
-            ).cast(DEVIATION)
-            category = F.struct(
-                at("feature").alias("feature"),
-                F.lit("categorical").alias("type"),
-                text.alias("value"),
-                F.lit(None).cast("double").alias("mean"),
-                F.lit(None).cast("double").alias("std"),
-                F.lit(None).cast("double").alias("z_score"),
-                F.coalesce(count, F.lit(0)).alias("frequency"),
-                at("total").alias("total_samples"),
-                rare.alias("rarity_score"),
-                rarity_level(rare).alias("deviation_level"),
-            ).cast(DEVIATION)
-            numerical = at("type") == "numerical"
+            numerical = F.coalesce(at("is_optimal"), F.lit(False)) & (at("type") == "numerical") & number.isNotNull()
+            category = F.coalesce(at("is_optimal"), F.lit(False)) & (at("type") == "categorical") & text.isNotNull()
+            measures[f"z_{i}"] = F.when(numerical, z_score(number, at("mean"), at("std")))
+            measures[f"rare_{i}"] = F.when(category, rarity(count, at("total")))
+            z, rare = F.col(f"z_{i}"), F.col(f"rare_{i}")
+            is_number = z.isNotNull()
             entries.append(
-                F.when(used & numerical & number.isNotNull(), numeric).when(
-                    used & (at("type") == "categorical") & text.isNotNull(), category
+                F.when(
+                    is_number | rare.isNotNull(),
+                    F.struct(
+                        at("feature").alias("feature"),
+                        at("type").alias("type"),
+                        F.when(is_number, number.cast("string")).otherwise(text).alias("value"),
+                        F.when(is_number, at("mean")).alias("mean"),
+                        F.when(is_number, at("std")).alias("std"),
+                        z.alias("z_score"),
+                        F.when(~is_number, F.coalesce(count, F.lit(0))).alias("frequency"),
+                        F.when(~is_number, at("total")).alias("total_samples"),
+                        rare.alias("rarity_score"),
+                        F.when(is_number, deviation_level(z)).otherwise(rarity_level(rare)).alias("deviation_level"),
+                    ),
                 )
             )
-        return F.array_compact(F.array(*entries)) if entries else F.array().cast(f"array<{DEVIATION}>")
+        array = F.array_compact(F.array(*entries)) if entries else F.array().cast(f"array<{DEVIATION}>")
+        return encoded.withColumns(measures).withColumn("feature_deviations", array)
 
     def found_in_event(self) -> Column:
         """How many of the used features hold a value in the event."""
@@ -199,10 +194,11 @@ class Scorer:
 
 def results(scorer: Scorer, scored: DataFrame, threshold: Column, keep: list[str]) -> DataFrame:
     """Assemble the result row from a scored, encoded table."""
-    decision = F.col("score") - F.col("offset")
-    out = scored.withColumns(
-        {"anomaly_score": decision, "anomaly_threshold": threshold, "feature_deviations": scorer.deviations()}
-    ).withColumn("is_anomaly", F.col("anomaly_score") < F.col("anomaly_threshold"))
+    out = scorer.with_deviations(
+        scored.withColumns({"anomaly_score": F.col("score") - F.col("offset"), "anomaly_threshold": threshold})
+    )
+    out = out.withColumn("is_anomaly", F.col("anomaly_score") < F.col("anomaly_threshold"))
+    out = out.withColumn("notable", notable_text(F.col("feature_deviations"), F.col("is_anomaly")))
     count = F.size("s_feature")
     used = F.size("features_used")
     info = F.struct(
@@ -214,15 +210,16 @@ def results(scorer: Scorer, scored: DataFrame, threshold: Column, keep: list[str
         (used - scorer.found_in_event()).alias("features_missing_from_event"),
     )
     known = F.col("psi").isNotNull()
+    sentence = explanation(
+        F.col("feature_deviations"), F.col("notable"), F.col("anomaly_score"), F.col("is_anomaly")
+    )
     return out.select(
         *[c(k) for k in keep],
         "log_type",
         "is_anomaly",
         "anomaly_score",
         F.when(known, F.col("anomaly_threshold")).alias("anomaly_threshold"),
-        F.when(known, explanation(F.col("feature_deviations"), F.col("anomaly_score"), F.col("is_anomaly"))).alias(
-            "explanation"
-        ),
+        F.when(known, sentence).alias("explanation"),
         F.when(known, F.col("feature_deviations")).alias("feature_deviations"),
         F.when(known, info).alias("model_info"),
         F.when(~known, missing_model(F.col("log_type"))).alias("error"),

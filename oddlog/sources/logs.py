@@ -23,9 +23,16 @@ def read_json_logs(spark: SparkSession, path: str, schema: T.StructType | None =
     return df
 
 
-def read_table(spark: SparkSession, name: str) -> DataFrame:
-    """A lake table by catalogue name, or a Parquet folder by path."""
-    return spark.read.parquet(name) if "/" in name else spark.table(name)
+def read_table(spark: SparkSession, name: str, spread: int | None = None) -> DataFrame:
+    """A lake table by catalogue name, or a Parquet folder by path.
+
+    A task reads whole row groups. ``spread`` deals the rows of a table with fewer splits than that over so many
+    tasks, worth one shuffle when costly steps such as scoring follow; a table with enough splits is read as it is.
+    """
+    df = spark.read.parquet(name) if "/" in name else spark.table(name)
+    if spread and df.rdd.getNumPartitions() < spread:
+        return df.repartition(spread)
+    return df
 
 
 def param_query(spark: SparkSession, sql: str, args: dict, **tables: DataFrame) -> DataFrame:

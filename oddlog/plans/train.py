@@ -17,10 +17,10 @@ MIN_ROWS = 100  # fixed value: smaller log types are not trained
 BY = ["log_type"]
 
 
-def training_view(logs: DataFrame, log_type: str = "log_type") -> DataFrame:
-    """Flat training columns of a log table that names its log type in a column."""
+def training_view(logs: DataFrame, log_type: str = "log_type", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Flat training columns of a log table that names its log type in a column; ``keep`` spares internal columns."""
     flat = prepare(logs.withColumn("_log_type", c(log_type).cast("string")).drop(log_type))
-    return drop_internal(flat.withColumnRenamed("_log_type", "log_type"))
+    return drop_internal(flat.withColumnRenamed("_log_type", "log_type"), keep)
 
 
 def enough_rows(df: DataFrame, by: list[str], minimum: int = MIN_ROWS) -> DataFrame:
@@ -52,7 +52,7 @@ def fit(
     for the offset is the fourth. ``row_key`` names columns that identify an event, see
     :func:`oddlog.operators.forest.draw_samples`; they are never features themselves unless listed in ``columns``.
     """
-    view = training_view(logs, log_type)
+    view = training_view(logs, log_type, tuple(row_key or ()))
     candidates = columns or [n for n in view.columns if n != "log_type" and n not in (row_key or [])]
     found = profile(view, BY, columns=candidates)
     # both tables are small and used several times by the selection

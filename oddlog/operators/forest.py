@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import c
 from ..functions.scoring import average_path
+from ..session import join_side
 from .quantiles import exact_quantiles
 
 TREES, MAX_SAMPLES, CONTAMINATION, SEED = 100, 256, 0.1, 42  # fixed values
@@ -186,8 +187,8 @@ def score_offsets(scores: DataFrame, contamination: float = CONTAMINATION) -> Da
 
 
 def anomaly_rates(scores: DataFrame, offsets: DataFrame) -> DataFrame:
-    """(log_type, anomaly_rate): share of training rows whose decision value is below zero; one offset per log type."""
-    decided = scores.join(F.broadcast(offsets), "log_type")
+    """(log_type, anomaly_rate): share of training rows whose decision value is below zero."""
+    decided = scores.join(join_side(offsets, "offsets"), "log_type")
     return decided.groupBy("log_type").agg(
         F.avg(F.when(F.col("score") - F.col("offset") < 0, 1.0).otherwise(0.0)).alias("anomaly_rate")
     )

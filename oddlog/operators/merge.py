@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions import timefeat
 from ..functions.names import IDENTITY_FIELDS, TIME_FIELDS_INGEST, c
 from ..functions.text import truthy
+from ..session import join_side
 
 RECENT_ROWS = 1000  # fixed value: rows the density estimate looks at
 
@@ -112,14 +113,18 @@ def unseen(existing: DataFrame, new: DataFrame, key_fields: tuple[str, ...] = ID
 
 def latest_timestamp(df: DataFrame, by: list[str], as_of: datetime | str, fields: tuple[str, ...] = TIME_FIELDS_INGEST) -> DataFrame:
     """Per group the raw text of the latest readable time, or ``as_of`` when there is none."""
-    raw = first_truthy(df, fields)
+    keys = [c(k) for k in by]
+    timed = df.select(*keys, first_truthy(df, fields).alias("raw"), event_instant(df, fields).alias("at"))
     fallback = F.concat(F.date_format(timefeat.moment(as_of), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
-    timed = df.select(*[c(k) for k in by], raw.alias("raw"), event_instant(df, fields).alias("at"))
-    return timed.groupBy(*[c(k) for k in by]).agg(
-        F.coalesce(F.max_by(F.when(F.col("at").isNotNull(), F.col("raw")), F.struct("at", "raw")), fallback).alias(
-            "latest_timestamp"
-        )
-    )
+    # instants are compared first: a hash aggregate of plain numbers, where one over texts would sort every task's rows
+    best = timed.groupBy(*keys).agg(F.max("at").alias("at"))
+    if by:
+        at_best = timed.join(join_side(best, "latest"), [*by, "at"])
+        texts = at_best.groupBy(*keys).agg(F.max("raw").alias("raw"))
+        found = best.select(*keys).join(texts, by, "left")
+    else:
+        found = timed.agg(F.max_by(F.when(F.col("at").isNotNull(), F.col("raw")), F.struct("at", "raw")).alias("raw"))
+    return found.select(*keys, F.coalesce("raw", fallback).alias("latest_timestamp"))
 
 
 def density(df: DataFrame, by: list[str], window_days: int, order: list, fields: tuple[str, ...] = TIME_FIELDS_INGEST) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.names import c, is_port, is_port_name
 from ..functions.scoring import MAX_CARDINALITY, MIN_VARIANCE
 from ..functions.text import canonical_text
+from ..session import join_side, stage
 from .quantiles import exact_quantiles
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
@@ -131,11 +132,17 @@ def value_counts(df: DataFrame, by: list[str], columns: list[str], only: DataFra
     text = df.select(*[c(k) for k in by], *[as_text(df, n).alias(n) for n in columns])
     long = text.unpivot([c(k) for k in by], [c(n) for n in columns], "feature", "value").where("value IS NOT NULL")
     if only is not None and by:
-        # one row per log type and column
-        long = long.join(F.broadcast(only.select(*[c(k) for k in by], "feature")), [*by, "feature"], "left_semi")
+        long = long.join(join_side(only.select(*[c(k) for k in by], "feature"), "wanted"), [*by, "feature"], "left_semi")
     return long.groupBy(*[c(k) for k in by], "feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def bounded_counts(counts: DataFrame, by: list[str], max_cardinality: int = MAX_CARDINALITY) -> DataFrame:
+    """Value counts of the features with at most ``max_cardinality`` values, which may be ranked within a feature."""
+    keys = [*by, "feature"]
+    sizes = counts.groupBy(*[c(k) for k in keys]).agg(F.count("value").alias("n")).where(F.col("n") <= max_cardinality)
+    return counts.join(join_side(sizes.drop("n"), "bounded"), keys, "left_semi")
+
+
 def distinct_counts(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Exact number of distinct non-null values per column; no value list is ever held in one task."""
     counts = value_counts(df, by, columns)
@@ -204,23 +211,25 @@ def profile(
 ) -> Profile:
     """Profile ``df`` per ``by`` and keep the candidate features with their statistics.
 
-    The column roles are read back once to plan the second pass: one row per log type and column.
+    Which columns the second pass has to read is brought to the driver: one row per column.
     """
     summary = classify(summarise(df, by, columns))
     limit = max_cardinality * APPROX_MARGIN
     plausible = F.when(F.col("as_category"), F.col("approx_distinct") <= limit).otherwise(F.col("as_numeric"))
-    roles = summary.where(plausible)
-    found = roles.collect()
+    roles = stage(summary.where(plausible), "column-roles")
+    used = roles.groupBy("feature").agg(
+        F.bool_or(F.col("as_category") | (F.col("stats_type") == "categorical")).alias("counted"),
+        F.bool_or(F.col("stats_type") == "numerical").alias("measured"),
+    ).collect()
     position = {n: i for i, n in enumerate(df.columns)}
-    counted = {r.feature for r in found if r.as_category or r.stats_type == "categorical"}
-    measured = {r.feature for r in found if r.stats_type == "numerical"}
-    fixed_roles = df.sparkSession.createDataFrame(found, roles.schema)
+    counted = sorted((r.feature for r in used if r.counted), key=position.get)
+    measured = sorted((r.feature for r in used if r.measured), key=position.get)
 
-    counts = value_counts(df, by, sorted(counted, key=position.get), fixed_roles)
+    counts = value_counts(df, by, counted, roles)
     stats = categorical_stats(counts, by)
-    joined = fixed_roles.join(stats, [*by, "feature"], "left")
+    joined = roles.join(stats, [*by, "feature"], "left")
     if measured:
-        joined = joined.join(quartiles(df, by, sorted(measured, key=position.get)), [*by, "feature"], "left")
+        joined = joined.join(quartiles(df, by, measured), [*by, "feature"], "left")
     else:
         joined = joined.withColumns({q: F.lit(None).cast("double") for q in QUARTILES})
     joined = joined.where(

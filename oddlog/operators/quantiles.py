@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import join_side
+
 STEPS_PER_E = 512
 SLICES = 4096
 EDGE = 400_000  # beyond the bucket of the largest finite double (ln(1.8e308) * 512)
@@ -46,8 +48,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key group with a column per named probability, linearly interpolated; nulls and NaN are ignored.
 
-    The two lists of chosen buckets are broadcast: they hold at most two rows per probability and key group, and key
-    groups are (log type, column) pairs.
+    The lists of chosen buckets and slices hold at most two rows per probability and key group. They are written to
+    the work folder as they are found, and broadcast if that makes few rows in total.
     """
     rows = values.select(*keys, F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     rows = rows.withColumn("bucket", _log_bucket(F.col("v")))
@@ -58,31 +60,32 @@ def exact_quantiles(
     total = F.sum("n").over(Window.partitionBy(*keys))
     positions = [F.lit(p) * (F.col("total") - 1) for p in probabilities.values()]
     wanted = F.array_distinct(F.array(*[f(p).cast("bigint") for p in positions for f in (F.floor, F.ceil)]))
-    buckets = _holding(
-        hist.withColumn("total", total).withColumn("wanted", wanted), keys, "bucket", F.lit(0), "wanted"
-    ).select(*keys, "bucket", "low", "high", "total", F.col("ranks").alias("bucket_ranks"), "before")
+    buckets = join_side(
+        _holding(hist.withColumn("total", total).withColumn("wanted", wanted), keys, "bucket", F.lit(0), "wanted").select(
+            *keys, "bucket", "low", "high", "total", F.col("ranks").alias("bucket_ranks"), F.col("before").alias("start")
+        ),
+        "quantile-buckets",
+    )
 
-    sliced = rows.join(F.broadcast(buckets), [*keys, "bucket"]).withColumn(
+    # counts stay plain numbers, so the large aggregates are hash aggregates; ranks are joined to their small results
+    place = [*keys, "bucket"]
+    sliced = rows.join(buckets.select(*place, "low", "high"), place).withColumn(
         "slice", _slice(F.col("v"), F.col("low"), F.col("high"))
     )
-    fine = sliced.groupBy(*keys, "bucket", "slice").agg(
-        F.count("v").alias("n"),
-        F.first("before").alias("start"),
-        F.first("bucket_ranks").alias("bucket_ranks"),
-    )
-    slices = _holding(fine, [*keys, "bucket"], "slice", F.col("start"), "bucket_ranks").select(
-        *keys, "bucket", "slice", F.col("ranks").alias("slice_ranks"), F.col("before").alias("slice_before")
+    fine = sliced.groupBy(*place, "slice").agg(F.count("v").alias("n")).join(buckets.drop("low", "high"), place)
+    slices = join_side(
+        _holding(fine, place, "slice", F.col("start"), "bucket_ranks").select(
+            *place, "slice", "total", F.col("ranks").alias("slice_ranks"), F.col("before").alias("start")
+        ),
+        "quantile-slices",
     )
 
+    place = [*place, "slice"]
     exact = (
-        sliced.join(F.broadcast(slices), [*keys, "bucket", "slice"])
-        .groupBy(*keys, "bucket", "slice", "v")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.first("total").alias("total"),
-            F.first("slice_before").alias("start"),
-            F.first("slice_ranks").alias("slice_ranks"),
-        )
+        sliced.join(slices.select(*place), place)
+        .groupBy(*place, "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(slices, place)
     )
     found = _holding(exact, [*keys, "bucket", "slice"], "v", F.col("start"), "slice_ranks").select(
         *keys, "total", "v", F.explode("ranks").alias("rank")

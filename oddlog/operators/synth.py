@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import c
+from ..session import join_side
 from ..sources.models import Model
 
 ANOMALY_CHANCE = 0.7  # fixed value: share of an anomalous event's features that are unusual
+TABLE_ROWS = 10_000  # draw tables broadcast up to this many rows of at most 1000 values each
 
 
 def uniform(seed: int, ident: Column, feature: Column, purpose: str) -> Column:
@@ -47,12 +49,11 @@ def synthesise(ids: DataFrame, model: Model, ident: str = "id", anomalous: str =
     """Long table (id, log_type, anomalous, feature, value) with one row per event and feature.
 
     ``ids`` holds one row per event to make: its id, ``log_type`` and whether it is to be anomalous. The draw tables
-    have at most ten rows per log type and 1000 values per row; they are broadcast, and each value is found by a
-    search in the ladder rather than by joining events to values.
+    have at most ten rows per log type and 1000 values per row, and each value is found by a search in the ladder rather
+    than by joining events to values.
     """
-    tables = draw_tables(model)
     rows = ids.select(c(ident).alias("id"), "log_type", c(anomalous).alias("anomalous")).join(
-        F.broadcast(tables), "log_type"
+        join_side(draw_tables(model), "draw-tables", TABLE_ROWS), "log_type"
     )
     odd = F.col("anomalous") & (uniform(seed, F.col("id"), F.col("feature"), "odd") < ANOMALY_CHANCE)
     pick = uniform(seed, F.col("id"), F.col("feature"), "pick")

@@ -18,6 +18,7 @@ from ...operators.flatten import (
     record_size as row_bytes,
 )
 from ...operators.quantiles import exact_quantiles
+from ...session import join_side
 from .registry import query, table
 from .views import K_SQL, events, r6
 
@@ -202,7 +203,7 @@ def numeric_coerce(spark, folder):
 def null_fill(spark, folder):
     sparse = _sparse(spark, folder).withColumn("feature", F.lit("bytes"))
     median = exact_quantiles(sparse, ["feature"], {"median": 0.5}, "bytes")  # a single row
-    return sparse.join(F.broadcast(median), "feature").select(
+    return sparse.join(join_side(median, "median"), "feature").select(
         "event_id",
         F.coalesce("eventName", F.lit(encode.UNKNOWN)).alias("kind"),
         encode.impute(F.col("bytes"), F.lit(0.0)).alias("bytes_zero"),
@@ -228,10 +229,10 @@ BASE_SQL = "base AS (SELECT event_type, avg(value) AS m, stddev_samp(value) AS s
 
 
 def _against_baseline(spark, folder):
-    """Events next to mean and deviation of their type; the baseline has one row per event type."""
+    """Events next to mean and deviation of their type."""
     ev = table(spark, folder, "events")
     base = ev.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    return ev.join(F.broadcast(base), "event_type")
+    return ev.join(join_side(base, "baseline"), "event_type")
 
 
 @query(f"WITH {BASE_SQL} SELECT event_id, round((value - m) / s, 6) AS z FROM events JOIN base USING (event_type)")
@@ -280,6 +281,6 @@ def rarity_level(spark, folder):
     lines = table(spark, folder, "lineitem").withColumn("big", F.col("l_quantity") >= 45)
     counts = lines.groupBy("l_returnflag", "big").agg(F.count(F.lit(1)).alias("n"))
     score = scoring.rarity(F.col("n"), F.lit(lines.count()))
-    return lines.join(F.broadcast(counts), ["l_returnflag", "big"]).select(
+    return lines.join(join_side(counts, "counts"), ["l_returnflag", "big"]).select(
         "l_orderkey", "l_linenumber", scoring.rarity_level(score).alias("level")
     )

@@ -10,7 +10,7 @@ from ...functions.names import c
 from ...operators import encode, forest as trees
 from ...operators.detect import Scorer
 from ...operators.profile import Profile, profile
-from ...session import new_path, stage
+from ...session import join_side, new_path, stage
 from ...sources.models import Model
 from .. import train
 from .registry import query, table
@@ -116,7 +116,7 @@ def median_impute(spark, folder):
         "event_id", F.col("event_type").alias("log_type"), F.when(F.col("value") > 40, F.col("value")).alias("bytes")
     )
     medians = profile(sparse, BY, columns=["bytes"]).features.select("log_type", "median")
-    return sparse.join(F.broadcast(medians), "log_type").select(
+    return sparse.join(join_side(medians, "medians"), "log_type").select(
         "event_id", r6(encode.impute(F.col("bytes"), F.col("median"))).alias("bytes")
     )
 

@@ -173,19 +173,20 @@ def feature_score(spark, folder):
 @query(
     f"WITH {view_sql()}, {long_text_sql()}, {COUNTS_SQL} SELECT log_type, feature, value, cnt FROM (SELECT *,"
     " row_number() OVER (PARTITION BY log_type, feature ORDER BY cnt, value) AS place,"
-    " count(*) OVER (PARTITION BY log_type, feature) AS k FROM vc) WHERE place <= greatest(1, k // 10)"
+    " count(*) OVER (PARTITION BY log_type, feature) AS k FROM vc) WHERE place <= greatest(1, k // 10) AND k <= 1000"
 )
 def rare_values(spark, folder):
     counts = profiles.value_counts(log_view(spark, folder), BY, TEXT_COLUMNS)
-    return rarest(counts, ["log_type", "feature"]).drop("place")
+    return rarest(profiles.bounded_counts(counts, BY), ["log_type", "feature"]).drop("place")
 
 
 @query(
     f"WITH {view_sql()}, {long_text_sql()}, {COUNTS_SQL} SELECT log_type, feature, value, cnt,"
     " CAST(row_number() OVER (PARTITION BY log_type, feature ORDER BY cnt DESC, value) AS INTEGER) AS place FROM vc"
+    " QUALIFY count(*) OVER (PARTITION BY log_type, feature) <= 1000"
 )
 def value_count_order(spark, folder):
-    """Values of each feature from the most common down; at most 1000 values per feature are ranked."""
+    """Values of each categorical feature (at most 1000 values) from the most common down."""
     counts = profiles.value_counts(log_view(spark, folder), BY, TEXT_COLUMNS)
     order = Window.partitionBy(*[c(k) for k in (*BY, "feature")]).orderBy(F.desc("cnt"), "value")
-    return counts.withColumn("place", F.row_number().over(order))
+    return profiles.bounded_counts(counts, BY).withColumn("place", F.row_number().over(order))

@@ -10,7 +10,7 @@ from ..operators.detect import Scorer
 from ..operators.flatten import drop_internal, prepare
 from ..operators.profile import Profile, profile
 from ..operators.select import TARGET, mark_optimal, select_features
-from ..session import stage
+from ..session import join_side, stage
 from ..sources.models import Model
 
 MIN_ROWS = 100  # fixed value: smaller log types are not trained
@@ -24,9 +24,9 @@ def training_view(logs: DataFrame, log_type: str = "log_type", keep: tuple[str,
 
 
 def enough_rows(df: DataFrame, by: list[str], minimum: int = MIN_ROWS) -> DataFrame:
-    """Rows of the groups that have at least ``minimum`` rows; one counter per group is broadcast."""
+    """Rows of the groups that have at least ``minimum`` rows."""
     sizes = df.groupBy(*[c(k) for k in by]).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= minimum)
-    return df.join(F.broadcast(sizes.drop("n")), by, "left_semi")
+    return df.join(join_side(sizes.drop("n"), "large-groups"), by, "left_semi")
 
 
 def model_features(found: Profile, target: int = TARGET) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BROADCAST_ROWS = 500_000  # narrow rows, some tens of MB
 
 
 def get_spark(app: str = "oddlog", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
@@ -59,3 +60,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def join_side(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A derived table made ready to be joined to a large one: written once, and broadcast if it proved small.
+
+    Left to itself, adaptive execution would learn the size only after it had shuffled the large side as well. Beyond
+    ``limit`` rows the table is joined by shuffle, where adaptive execution splits skewed keys.
+    """
+    staged = stage(df, label)
+    return F.broadcast(staged) if staged.count() <= limit else staged

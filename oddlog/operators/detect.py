@@ -70,33 +70,43 @@ class Scorer:
         """Attach the parameters; one row per configured log type, so the side is always broadcast."""
         return df.join(F.broadcast(self.parameters), "log_type", how)
 
-    def encode(self, df: DataFrame, fill: str = "zero", how: str = "left") -> DataFrame:
-        """Add the model matrix ``x_0 .. x_n`` and per slot ``text_i``, ``number_i``, ``code_i``, ``cnt_i``.
+    def slot_values(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """Only ``keep``, the log type and the slots' raw values: ``text_i``, ``number_i`` and whether they are there.
 
-        ``fill`` is what a missing number becomes before scaling: ``zero`` or the training ``median``.
+        All other fields are left behind here, so no field of an event can clash with a column added later.
         """
-        out = self.with_parameters(df, how)
+        columns = [c(k) for k in keep] + [c("log_type")]
         for i in range(self.slots):
             texts = self.plan(i, lambda r: r.is_category or r.type == "categorical")
             numbers = self.plan(i, lambda r: not r.is_category or r.type == "numerical")
-            out = out.withColumns(
-                {
-                    f"text_{i}": encode.text_slot(df, "log_type", texts),
-                    f"number_{i}": encode.number_slot(df, "log_type", numbers),
-                }
-            )
-            if texts:
+            present = encode.slot_column(df, "log_type", self.plan(i, lambda r: True), lambda d, f: c(f).isNotNull())
+            columns += [
+                encode.text_slot(df, "log_type", texts).alias(f"text_{i}"),
+                encode.number_slot(df, "log_type", numbers).alias(f"number_{i}"),
+                F.coalesce(present.cast("boolean"), F.lit(False)).alias(f"present_{i}"),
+            ]
+        return df.select(*columns)
+
+    def encode(self, df: DataFrame, keep: list[str] | None = None, fill: str = "zero", how: str = "left") -> DataFrame:
+        """The model matrix ``x_0 .. x_n`` next to the slots' values, their codes and their training counts.
+
+        ``fill`` is what a missing number becomes before scaling: ``zero`` or the training ``median``.
+        """
+        out = self.with_parameters(self.slot_values(df, keep or []), how)
+        for i in range(self.slots):
+
+            def at(name: str, i=i) -> Column:
+                return F.get(f"s_{name}", F.lit(i))
+
+            if self.plan(i, lambda r: r.is_category or r.type == "categorical"):
                 key = F.coalesce(F.col(f"text_{i}"), F.lit(encode.UNKNOWN))
                 out = encode.lookup(out, "log_type", key, self.model.values, i, self.small)
             else:
                 out = out.withColumns(
                     {f"code_{i}": F.lit(None).cast("int"), f"cnt_{i}": F.lit(None).cast("bigint")}
                 )
+            # a feature the table has no column for is 0, one without a value in this row is the class "unknown"
             have = [t for t, f in self.plan(i, lambda r: r.is_category) if f in df.columns]
-
-            def at(name: str, i=i) -> Column:
-                return F.get(f"s_{name}", F.lit(i))
-
             code = F.when(
                 c("log_type").isin(have), encode.label_code(F.col(f"code_{i}"), at("unknown_code"))
             ).otherwise(0) if have else F.lit(0)
@@ -187,8 +197,7 @@ class Scorer:
         """How many of the used features hold a value in the event."""
         total = F.lit(0)
         for i in range(self.slots):
-            present = F.col(f"text_{i}").isNotNull() | F.col(f"number_{i}").isNotNull()
-            total = total + F.when(F.get("s_is_optimal", F.lit(i)) & present, 1).otherwise(0)
+            total = total + F.when(F.get("s_is_optimal", F.lit(i)) & F.col(f"present_{i}"), 1).otherwise(0)
         return total
 
 
@@ -249,8 +258,9 @@ def detect(
         "log_type", route(flat, scorer.log_types, f"_keep_{explicit}" if explicit else None, **routing)
     )
     ready = with_time_features(normalise_names(routed))
-    scored = scorer.score(scorer.encode(ready, fill))
-    out = results(scorer, scored, F.col("_threshold"), [f"_keep_{k}" for k in keep])
+    held = [f"_keep_{k}" for k in keep]
+    scored = scorer.score(scorer.encode(ready, [*held, "_threshold"], fill))
+    out = results(scorer, scored, F.col("_threshold"), held)
     return out.withColumnsRenamed({f"_keep_{k}": k for k in keep if k not in out.columns})
 
 

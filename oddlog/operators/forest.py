@@ -50,7 +50,7 @@ def uniform(*parts: Column) -> Column:
 def draw_samples(
     df: DataFrame, rows: dict[str, int], row_key: list[str] | None, trees: int = TREES, seed: int = SEED
 ) -> DataFrame:
-    """Rows of ``df`` (with ``log_type``) repeated once per tree they were drawn for, with ``tree``.
+    """Rows of ``df`` (with ``log_type``) repeated once per tree they were drawn for, with ``_tree``.
 
     With ``row_key`` (columns that identify a row) the draw depends on content only. Without it the draw uses a seeded
     generator per partition, which is unaffected by copies of a row but follows the file layout. The window keeps at
@@ -58,27 +58,28 @@ def draw_samples(
     """
     plan = draw_plan(rows, trees)
     spark = df.sparkSession
-    draws = spark.createDataFrame(plan, "log_type string, p double, per_draw int, draws int")
+    draws = spark.createDataFrame(plan, "log_type string, _draw_p double, _draw_trees int, _draw_count int")
     key = F.xxhash64(*[c(k) for k in row_key]) if row_key else F.rand(seed)
-    keyed = df.withColumn("_key", key).join(F.broadcast(draws), "log_type")
+    keyed = df.withColumn("_draw_key", key).join(F.broadcast(draws), "log_type")
 
     def draw(r: Column) -> Column:
-        u = uniform(F.col("_key"), r, F.lit(seed))
-        place = F.floor(u / F.col("p")).cast("int")
-        tree = r * F.col("per_draw") + place
-        return F.when((place < F.col("per_draw")) & (tree < trees), F.struct(tree.alias("tree"), u.alias("u")))
+        u = uniform(F.col("_draw_key"), r, F.lit(seed))
+        place = F.floor(u / F.col("_draw_p")).cast("int")
+        tree = r * F.col("_draw_trees") + place
+        inside = (place < F.col("_draw_trees")) & (tree < trees)
+        return F.when(inside, F.struct(tree.alias("tree"), u.alias("u")))
 
     if all(step[3] == 1 for step in plan):
-        hits = keyed.withColumn("hit", draw(F.lit(0))).where("hit IS NOT NULL")
+        hits = keyed.withColumn("_draw", draw(F.lit(0))).where("_draw IS NOT NULL")
     else:
-        every = F.transform(F.sequence(F.lit(0), F.col("draws") - 1), draw)
-        hits = keyed.withColumn("hit", F.explode(F.array_compact(every)))
-    order = Window.partitionBy("log_type", "tree").orderBy("u", "_key")
+        every = F.transform(F.sequence(F.lit(0), F.col("_draw_count") - 1), draw)
+        hits = keyed.withColumn("_draw", F.explode(F.array_compact(every)))
+    order = Window.partitionBy("log_type", "_tree").orderBy("_draw.u", "_draw_key")
     return (
-        hits.withColumns({"tree": F.col("hit.tree"), "u": F.col("hit.u")})
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= MAX_SAMPLES)
-        .drop("_key", "p", "per_draw", "draws", "hit", "u", "place")
+        hits.withColumn("_tree", F.col("_draw.tree"))
+        .withColumn("_draw_place", F.row_number().over(order))
+        .where(F.col("_draw_place") <= MAX_SAMPLES)
+        .drop("_draw_key", "_draw_p", "_draw_trees", "_draw_count", "_draw", "_draw_place")
     )
 
 
@@ -114,7 +115,7 @@ def fit_forest(samples: DataFrame, features: list[str], seed: int = SEED) -> Dat
     def grow_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return grow(key[0], int(key[1]), pdf[features].to_numpy(dtype=float), seed)
 
-    return samples.select("log_type", "tree", *features).groupBy("log_type", "tree").applyInPandas(
+    return samples.select("log_type", F.col("_tree").alias("tree"), *features).groupBy("log_type", "tree").applyInPandas(
         grow_group, FOREST_SCHEMA
     )
 
@@ -161,12 +162,14 @@ def path_lengths(df: DataFrame, forest: DataFrame, features: list[str], log_type
     The forest goes to the executors as one broadcast value: at most 100 trees x 511 nodes per log type. Its size is
     checked by the caller (:data:`oddlog.operators.detect.FOREST_ROWS`).
     """
+    if not features:
+        return F.lit(None).cast("double")
     packed = df.sparkSession.sparkContext.broadcast(pack(forest.toPandas()))
 
     @F.pandas_udf("double")
     def walk(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for kinds, *columns in batches:
-            x = np.column_stack([col.to_numpy(dtype=float) for col in columns]) if columns else np.zeros((len(kinds), 1))
+            x = np.column_stack([col.to_numpy(dtype=float) for col in columns])
             out = np.full(len(kinds), np.nan)
             for kind, places in kinds.groupby(kinds).indices.items():
                 if kind in packed.value:

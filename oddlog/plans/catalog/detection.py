@@ -179,14 +179,14 @@ def forest_score_fixed(spark, folder):
     scorer = fixed_scorer(spark, folder)
     raw = flatten(security_events(spark, folder))
     ready = prepare(raw.withColumn("log_type", route(raw, MODELS)))
-    return scorer.score(scorer.encode(ready, how="inner")).select("event_id", r6("score").alias("score"))
+    return scorer.score(scorer.encode(ready, ["event_id"], how="inner")).select("event_id", r6("score").alias("score"))
 
 
 def _scores(spark, folder) -> DataFrame:
     scorer = fixed_scorer(spark, folder)
     raw = flatten(security_events(spark, folder))
     ready = prepare(raw.withColumn("log_type", route(raw, MODELS)))
-    return stage(scorer.score(scorer.encode(ready, how="inner")).select("log_type", r6("score").alias("score")), "scores")
+    return stage(scorer.score(scorer.encode(ready, [], how="inner")).select("log_type", r6("score").alias("score")), "scores")
 
 
 OFFSETS_SQL = (

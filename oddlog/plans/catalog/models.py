@@ -80,7 +80,7 @@ def label_code_join(spark, folder):
         F.concat(F.lit("agent-"), F.col("o_custkey")).alias("agent"),
         F.when(F.col("o_totalprice") > 300000, "high").when(F.col("o_totalprice") > 100000, "huge").alias("tier"),
     )
-    encoded = scorer.encode(events)
+    encoded = scorer.encode(events, ["o_orderkey"])
 
     def code(feature: str):
         found = F.lit(0)
@@ -137,7 +137,7 @@ _SCALED = ["user_id", "value", "props.k", "hour", "day_of_week"]
 def feature_matrix(spark, folder):
     """Every cell of the model matrix: label codes, then scaled numbers."""
     scorer = Scorer(_untrained(spark, folder))
-    encoded = scorer.encode(log_view(spark, folder, TYPES), "median", "inner")
+    encoded = scorer.encode(log_view(spark, folder, TYPES), ["event_id"], "median", "inner")
     cells = F.array(*[F.struct(F.lit(i).alias("slot"), r6(x).alias("x")) for i, x in enumerate(scorer.matrix)])
     return encoded.select("event_id", F.inline(cells))
 
@@ -225,5 +225,5 @@ def multi_log_type_train(spark, folder):
 def training_scores(spark, folder):
     """Decision values of the whole log under the trained forest."""
     scorer = Scorer(_fitted(spark, folder))
-    scored = scorer.score(scorer.encode(log_view(spark, folder, TYPES), "median", "inner"))
+    scored = scorer.score(scorer.encode(log_view(spark, folder, TYPES), ["event_id"], "median", "inner"))
     return scored.select("event_id", c("log_type"), r6(F.col("score") - F.col("offset")).alias("decision"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.names import IDENTITY_FIELDS, c
+from ..functions.text import rate_label
 from ..operators import merge
 from ..operators.flatten import exclude
 from ..session import new_path
@@ -51,7 +53,9 @@ def collect_one(
 def collect_all(
     spark: SparkSession, queries: list[LogQuery], path: str, as_of: datetime | str
 ) -> DataFrame:
-    """Run every query and return (title, n_logs, latest_timestamp, error); a failing query does not stop the others.
+    """Run every query and return one row per title: rows, latest time, speed and error.
+
+    A failing query counts 0 rows and does not stop the others.
 
     A merged dataset is written aside first, since it is computed from the stored one it replaces.
     """
@@ -60,23 +64,25 @@ def collect_all(
         known = states.load(spark, state_path)
     rows = []
     for query in queries:
-        target = f"{path}/data/{query.title}"
+        target, start = f"{path}/data/{query.title}", time.perf_counter()
         try:
             have = known is not None and _exists(spark, target) and not states.get(known, query.title).isEmpty()
             existing = spark.read.parquet(target) if have else None
             merged = collect_one(query, existing, known if have else None, as_of)
             aside = new_path(spark, "collect")
-            merged.write.parquet(aside)
+            count = Observation()
+            merged.observe(count, F.count(F.lit(1)).alias("rows")).write.parquet(aside)
             written = spark.read.schema(merged.schema).parquet(aside)
             times = tuple(f for f in (*merge.TIME_FIELDS_INGEST, query.time_field) if f in written.columns)
             summary = merge.latest_timestamp(written, [], as_of, times).first()
             written.write.mode("overwrite").parquet(target)
-            rows.append((query.title, query.window_days, written.count(), summary.latest_timestamp, None))
+            seconds = time.perf_counter() - start
+            rows.append((query.title, query.window_days, count.get["rows"], summary.latest_timestamp, seconds, None))
         except Exception as problem:  # noqa: BLE001 - reported per title
-            rows.append((query.title, query.window_days, 0, None, str(problem)))
+            rows.append((query.title, query.window_days, 0, None, time.perf_counter() - start, str(problem)))
     report = spark.createDataFrame(
-        rows, "title string, window_days int, n_logs bigint, latest_timestamp string, error string"
-    )
+        rows, "title string, window_days int, n_logs bigint, latest_timestamp string, seconds double, error string"
+    ).withColumn("rate", rate_label(F.col("n_logs"), F.col("seconds")))
     done = report.where("error IS NULL")
     base = states.initial(done, as_of)
     if known is not None:

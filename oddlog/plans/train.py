@@ -66,15 +66,17 @@ def fit(
     psi = F.least(F.lit(trees.MAX_SAMPLES), F.col("training_samples")).cast("int")
     models = sizes.join(lists, "log_type").withColumn("psi", psi).withColumn("offset", F.lit(0.0))
 
+    if not rows:
+        return untrained(models, features, values)
     scorer = Scorer(Model(models, features, values, features))
     used = sorted({r.feature for r in scorer.rows})
     narrow = view.select("log_type", *[c(n) for n in dict.fromkeys([*(row_key or []), *used])])
     drawn = trees.draw_samples(narrow, rows, row_key, n_trees, seed)
-    grown = stage(trees.fit_forest(scorer.encode(drawn, "median", "inner"), scorer.matrix, seed), "forest")
+    grown = stage(trees.fit_forest(scorer.encode(drawn, ["_tree"], "median", "inner"), scorer.matrix, seed), "forest")
 
     scorer.model = Model(models, features, values, grown)
     scores = stage(
-        scorer.score(scorer.encode(narrow, "median", "inner")).select("log_type", "score"), "training-scores"
+        scorer.score(scorer.encode(narrow, [], "median", "inner")).select("log_type", "score"), "training-scores"
     )
     offsets = stage(trees.score_offsets(scores, contamination), "offsets")
     rates = trees.anomaly_rates(scores, offsets)
@@ -91,6 +93,13 @@ def fit(
     return Model(stage(models, "models"), features, values, grown)
 
 
+def untrained(models: DataFrame, features: DataFrame, values: DataFrame) -> Model:
+    """The empty model of a log table none of whose log types can be trained."""
+    forest = models.sparkSession.createDataFrame([], trees.FOREST_SCHEMA)
+    empty = models.withColumns({"anomaly_rate": F.lit(None).cast("double"), "params": F.create_map().cast("map<string,string>")})
+    return Model(empty, features, values, forest)
+
+
 def feature_names(features: DataFrame) -> DataFrame:
     """Feature lists per log type in slot order."""
 

@@ -106,6 +106,7 @@ def test_bad_timestamp_is_scored_with_sentinels(spark, scorer):
     row = detect(event(spark, eventsource="iam.amazonaws.com", p_event_time="invalid-timestamp"), scorer).first()
     found = {d.feature: d.value for d in row.feature_deviations}
     assert found == {"hour": "-1.0", "day_of_week": "-1.0", "p_event_time": "invalid-timestamp"}
+    assert row.model_info.features_found_in_event == 3
 
 
 def test_empty_event_with_given_log_type(spark, scorer):
@@ -239,3 +240,26 @@ def test_synthetic_events_follow_the_baseline(spark, model, scorer):
     assert 0 <= hours[0] and hours[1] <= 23
     again = synthesise(ids.repartition(5), model)
     assert again.exceptAll(rows).isEmpty()
+
+
+def test_fields_named_like_internal_columns(spark):
+    """Fields called offset, score, tree, p or psi are ordinary features."""
+    df = spark.range(400).selectExpr(
+        "'t' AS log_type", "id", "id % 17 AS `offset`", "id % 23 AS score", "concat('v', id % 5) AS tree", "id % 3 AS p",
+        "id % 11 AS psi", "id % 7 AS text_0", "cast(id % 2 AS string) AS error",
+    )
+    model = train.fit(df, row_key=["id"], n_trees=10)
+    names = {r.feature for r in model.features.collect()}
+    assert names == {"offset", "score", "tree", "p", "psi", "text_0", "error"}
+    rows = detect(df.withColumnRenamed("log_type", "kind"), model, explicit="kind", keep=("id",)).collect()
+    assert len(rows) == 400 and all(r.error is None and len(r.feature_deviations) == 7 for r in rows)
+    values = {d.feature: d.value for d in next(r for r in rows if r.id == 42).feature_deviations}
+    assert values == {"offset": "8.0", "score": "19.0", "tree": "v2", "p": "0.0", "psi": "9.0", "text_0": "0.0", "error": "0"}
+
+
+def test_nothing_to_train(spark):
+    df = spark.range(50).selectExpr("'t' AS log_type", "id % 5 AS x")
+    model = train.fit(df)
+    assert train.training_report(df, model).first().status == "FAILED - insufficient data"
+    row = detect(df.withColumnRenamed("log_type", "kind"), model, explicit="kind").first()
+    assert row.error == "No model available for log type: t" and row.is_anomaly is None

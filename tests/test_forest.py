@@ -54,7 +54,7 @@ def test_draw_plan_uses_one_hash_on_large_tables():
 @pytest.mark.parametrize("n", [50, 300, 5000, 60000])
 def test_every_tree_gets_distinct_rows(spark, n):
     df = spark.range(n).select(F.lit("t").alias("log_type"), F.col("id"))
-    rows = forest.draw_samples(df, {"t": n}, ["id"]).groupBy("tree").agg(
+    rows = forest.draw_samples(df, {"t": n}, ["id"]).groupBy("_tree").agg(
         F.count("id").alias("n"), F.countDistinct("id").alias("d")
     ).collect()
     assert len(rows) == 100
@@ -76,7 +76,7 @@ def test_copies_of_one_row_neither_fill_nor_starve_the_sample(spark):
     df = spark.range(n).select(
         F.lit("t").alias("log_type"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("x")
     )
-    rows = forest.draw_samples(df, {"t": n}, None).groupBy("tree").agg(
+    rows = forest.draw_samples(df, {"t": n}, None).groupBy("_tree").agg(
         F.count("x").alias("n"), F.avg((F.col("x") == -1).cast("double")).alias("share")
     ).collect()
     assert len(rows) == 100 and {r.n for r in rows} == {256}

@@ -70,7 +70,10 @@ def days_between(later: Column, earlier: Column) -> Column:
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", earlier, later) / 1_000_000
+    """Difference of two wall clocks in seconds; no time zone is involved."""
+    gap = later - earlier
+    parts = [("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1)]
+    return sum((F.extract(F.lit(unit), gap).cast("double") * size for unit, size in parts), F.lit(0.0))
 
 
 def window_days(last_seen: Column, as_of: Column, configured: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions import timefeat
 from ..functions.names import IDENTITY_FIELDS, TIME_FIELDS_INGEST, c
 from ..functions.text import truthy
-from ..session import join_side
+from ..session import join_side, stage
 
 RECENT_ROWS = 1000  # fixed value: rows the density estimate looks at
 
@@ -20,14 +20,17 @@ def first_truthy(df: DataFrame, fields: tuple[str, ...]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def identity(df: DataFrame, fields: tuple[str, ...] = IDENTITY_FIELDS) -> Column:
+def identity(df: DataFrame, fields: tuple[str, ...] = IDENTITY_FIELDS, whole_row: bool = True) -> Column:
     """De-duplication key: first truthy identity field, named so that an id never equals a timestamp; else the row.
 
-    The row form is a digest of the whole record as JSON, nothing is cut off.
+    The row form is a digest of the whole record as JSON, nothing is cut off. Logs that always carry an identity field
+    do without it (``whole_row=False``); then only the identity fields are read.
     """
     named = [
         F.concat(F.lit(f"{f}="), truthy(c(f), df.schema[f].dataType)) for f in fields if f in df.columns
     ]
+    if named and not whole_row:
+        return F.coalesce(*named)
     whole = F.concat(F.lit("row="), F.sha2(F.to_json(F.struct(*[c(n) for n in sorted(df.columns)])), 256))
     return F.coalesce(*named, whole)
 
@@ -86,12 +89,17 @@ def merge_incremental(
     key_fields: tuple[str, ...] = IDENTITY_FIELDS,
     time_fields: tuple[str, ...] = TIME_FIELDS_INGEST,
     order: list | None = None,
+    existing_unique: bool = False,
 ) -> DataFrame:
     """Existing plus new rows, first occurrence per key, inside the retention window.
 
     ``order`` decides between rows of one side with the same key; existing rows always win over new ones. The window
-    cannot be applied before de-duplication: an expired first copy also hides a later one.
+    cannot be applied before de-duplication: an expired first copy also hides a later one. Rows that came out of an
+    earlier merge are unique; saying so spares shuffling them, see :func:`unseen`.
     """
+    if existing_unique:
+        merged = existing.unionByName(unseen(existing, new, key_fields, order), allowMissingColumns=True)
+        return retain(merged, as_of, window_days, time_fields)
     both = union_logs(existing, new)
     data = [n for n in both.columns if n != "src_rank"]
     ties = order or [F.xxhash64(*[c(n) for n in data])]
@@ -99,16 +107,26 @@ def merge_incremental(
     return retain(merged.drop("src_rank"), as_of, window_days, time_fields)
 
 
-def unseen(existing: DataFrame, new: DataFrame, key_fields: tuple[str, ...] = IDENTITY_FIELDS, order: list | None = None) -> DataFrame:
-    """New rows whose key is not among the existing ones, for append-only storage.
+def unseen(
+    existing: DataFrame,
+    new: DataFrame,
+    key_fields: tuple[str, ...] = IDENTITY_FIELDS,
+    order: list | None = None,
+    whole_row: bool = True,
+) -> DataFrame:
+    """New rows whose key is not among the existing ones, once per key.
 
-    Only the keys of the existing rows are read and shuffled, once per distinct key, and nothing stored is rewritten.
+    The existing rows are only looked through for the keys of the new batch. While that batch is small its keys are
+    broadcast, so the stored log is neither shuffled nor sorted; a large batch is joined by shuffle. Both sides must
+    have the same columns for rows without any identity field to be recognised.
     """
-    seen = existing.select(identity(existing, key_fields).alias("_key")).distinct()
-    fresh = new.withColumn("_id", identity(new, key_fields))
     ties = order or [F.xxhash64(*[c(n) for n in new.columns])]
-    fresh = keep_first(fresh, F.col("_id"), ties)
-    return fresh.join(seen, F.col("_id") == F.col("_key"), "left_anti").drop("_id")
+    keyed = new.withColumn("_id", identity(new, key_fields, whole_row))
+    fresh = stage(keep_first(keyed, F.col("_id"), ties), "fresh")
+    wanted = join_side(fresh.select("_id"), "fresh-keys")
+    stored = existing.select(identity(existing, key_fields, whole_row).alias("_id"))
+    seen = join_side(stored.join(wanted, "_id", "left_semi").distinct(), "seen-keys")
+    return fresh.join(seen, "_id", "left_anti").drop("_id")
 
 
 def latest_timestamp(df: DataFrame, by: list[str], as_of: datetime | str, fields: tuple[str, ...] = TIME_FIELDS_INGEST) -> DataFrame:

@@ -194,6 +194,17 @@ def incremental_merge(spark, folder):
     return merge.merge_incremental(stored, pulled, AS_OF, 21).withColumn("value", r6("value"))
 
 
+@query(
+    f"WITH {BATCHES_SQL} SELECT id, ts AS timestamp, event_type, round(value, 6) AS value, batch FROM merged"
+    " WHERE ts >= TIMESTAMP '2024-02-01' - INTERVAL 21 DAY"
+)
+def incremental_append(spark, folder):
+    """The same merge when the stored rows are known to be unique: they are not shuffled."""
+    stored, pulled = _batches(spark, folder)
+    merged = merge.merge_incremental(stored, pulled, AS_OF, 21, existing_unique=True)
+    return merged.withColumn("value", r6("value"))
+
+
 @query(
     "SELECT id, value FROM (SELECT event_id * 2 AS id, round(value + 1, 6) AS value FROM events)"
     " WHERE id <> 0 AND id NOT IN (SELECT event_id FROM events)"
@@ -344,19 +355,20 @@ def collection_rollup(spark, folder):
 @query(
     "SELECT 'clicks' AS title, count(*) AS n_logs, true AS ok FROM events WHERE event_type = 'click'"
     " AND ts >= TIMESTAMP '2024-02-01' - INTERVAL 30 DAY"
-    " UNION ALL SELECT 'orders', count(*), true FROM orders WHERE o_orderdate >= TIMESTAMP '2024-02-01' - INTERVAL 9999 DAY"
+    " UNION ALL SELECT 'everything', count(*), true FROM events WHERE ts >= TIMESTAMP '2024-02-01' - INTERVAL 14 DAY"
     " UNION ALL SELECT 'broken', 0, false"
 )
 def collect_all_queries(spark, folder):
-    """Two runs of three configured queries, the second merging into the first; one query always fails."""
-    ev, orders = table(spark, folder, "events"), table(spark, folder, "orders")
+    """Three runs of three configured queries: stored, merged, appended to; one query always fails."""
+    ev = table(spark, folder, "events")
     queries = [
         LogQuery("clicks", 30, ev, "ts", {"event_type": "click"}, ("props",), ("event_id",)),
-        LogQuery("orders", 9999, orders, "o_orderdate", {}, (), ("o_orderkey",)),
+        LogQuery("everything", 14, ev, "ts", {}, (), ("event_id",)),
         LogQuery("broken", 30, ev, "no_such_field"),
     ]
     path = new_path(spark, "collected")
-    collect_all(spark, queries, path, AS_OF)
+    collect_all(spark, queries, path, "2024-01-25 00:00:00")
+    collect_all(spark, queries, path, "2024-01-29 00:00:00")
     report = collect_all(spark, queries, path, AS_OF)
     return report.select("title", "n_logs", F.col("error").isNull().alias("ok"))
 

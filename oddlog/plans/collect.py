@@ -7,15 +7,18 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import timefeat
 from ..functions.names import IDENTITY_FIELDS, c
 from ..functions.text import rate_label
 from ..operators import merge
 from ..operators.flatten import exclude
-from ..session import new_path
+from ..session import stage
 from ..sources import state as states
 
+DAY = "collected_day"  # partition column of stored datasets
+
 
 @dataclass
 class LogQuery:
@@ -38,16 +41,54 @@ def extract(query: LogQuery, as_of: datetime | str, days: int) -> DataFrame:
     return exclude(rows, *query.drop)
 
 
+def time_fields(query: LogQuery, df: DataFrame) -> tuple[str, ...]:
+    return tuple(f for f in dict.fromkeys((*merge.TIME_FIELDS_INGEST, query.time_field)) if f in df.columns)
+
+
+def read_collected(spark: SparkSession, query: LogQuery, path: str, as_of: datetime | str) -> DataFrame:
+    """The dataset of a query as of a moment: rows inside its window. Folders of earlier days are not opened."""
+    stored = spark.read.option("mergeSchema", "true").parquet(f"{path}/data/{query.title}")
+    first_day = (timefeat.moment(as_of) - F.make_dt_interval(F.lit(query.window_days))).cast("date")
+    recent = stored.where(F.col(DAY).isNull() | (F.col(DAY) >= first_day)).drop(DAY)
+    return merge.retain(recent, as_of, query.window_days, time_fields(query, recent))
+
+
+def write_days(df: DataFrame, query: LogQuery, path: str, mode: str) -> None:
+    """Write a dataset in one folder per event day.
+
+    Rebalancing gives files of even size: many small days share a task, a large day is split over several.
+    """
+    day = merge.event_instant(df, time_fields(query, df)).cast("date")
+    rows = df.withColumn(DAY, day).hint("rebalance", DAY)
+    rows.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(DAY).parquet(
+        f"{path}/data/{query.title}"
+    )
+
+
 def collect_one(
-    query: LogQuery, existing: DataFrame | None, state: DataFrame | None, as_of: datetime | str
+    spark: SparkSession, query: LogQuery, state: DataFrame | None, path: str, as_of: datetime | str
 ) -> DataFrame:
-    """First run: the full window. Later runs: the shortened window merged into the existing rows."""
-    row = None if state is None else states.get(merge.next_windows(state, as_of), query.title).first()
-    if row is None or existing is None:
-        return extract(query, as_of, query.window_days)
-    fresh = extract(query, as_of, row.next_days)
-    times = (*merge.TIME_FIELDS_INGEST, query.time_field)
-    return merge.merge_incremental(existing, fresh, as_of, query.window_days, query.key_fields, times)
+    """Bring one dataset up to date and return the rows fetched in this run.
+
+    The first run stores the full window as it comes. The second merges the shortened window into it, which removes
+    duplicates on both sides and replaces the dataset. From then on the stored rows are known to be unique: only unseen
+    rows are appended, whatever the size of the dataset, and expired rows are left out when reading.
+    """
+    known = None if state is None else states.get(merge.next_windows(state, as_of), query.title).first()
+    if known is None or not _exists(spark, f"{path}/data/{query.title}"):
+        fetched = stage(extract(query, as_of, query.window_days), "fetched")
+        write_days(fetched, query, path, "overwrite")
+        return fetched
+    fetched = stage(extract(query, as_of, known.next_days), "fetched")
+    stored = spark.read.option("mergeSchema", "true").parquet(f"{path}/data/{query.title}").drop(DAY)
+    if known.last_run == known.created_at:
+        times = time_fields(query, fetched)
+        merged = merge.merge_incremental(stored, fetched, as_of, query.window_days, query.key_fields, times)
+        # written aside first, since it is computed from the files it replaces
+        write_days(stage(merged, "merged"), query, path, "overwrite")
+    else:
+        write_days(merge.unseen(stored, fetched, query.key_fields), query, path, "append")
+    return fetched
 
 
 def collect_all(
@@ -56,34 +97,26 @@ def collect_all(
     """Run every query and return one row per title: rows, latest time, speed and error.
 
     A failing query counts 0 rows and does not stop the others.
-
-    A merged dataset is written aside first, since it is computed from the stored one it replaces.
     """
-    state_path, known = f"{path}/state", None
-    if _exists(spark, state_path):
-        known = states.load(spark, state_path)
+    state_path = f"{path}/state"
+    known = states.load(spark, state_path) if _exists(spark, state_path) else None
     rows = []
     for query in queries:
-        target, start = f"{path}/data/{query.title}", time.perf_counter()
+        start = time.perf_counter()
         try:
-            have = known is not None and _exists(spark, target) and not states.get(known, query.title).isEmpty()
-            existing = spark.read.parquet(target) if have else None
-            merged = collect_one(query, existing, known if have else None, as_of)
-            aside = new_path(spark, "collect")
-            count = Observation()
-            merged.observe(count, F.count(F.lit(1)).alias("rows")).write.parquet(aside)
-            written = spark.read.schema(merged.schema).parquet(aside)
-            times = tuple(f for f in (*merge.TIME_FIELDS_INGEST, query.time_field) if f in written.columns)
-            summary = merge.latest_timestamp(written, [], as_of, times).first()
-            written.write.mode("overwrite").parquet(target)
-            seconds = time.perf_counter() - start
-            rows.append((query.title, query.window_days, count.get["rows"], summary.latest_timestamp, seconds, None))
+            fetched = collect_one(spark, query, known, path, as_of)
+            count = read_collected(spark, query, path, as_of).count()
+            # a run that fetched nothing leaves the state as it was
+            latest = None
+            if not fetched.isEmpty():
+                latest = merge.latest_timestamp(fetched, [], as_of, time_fields(query, fetched)).first()[0]
+            rows.append((query.title, query.window_days, count, latest, time.perf_counter() - start, None))
         except Exception as problem:  # noqa: BLE001 - reported per title
             rows.append((query.title, query.window_days, 0, None, time.perf_counter() - start, str(problem)))
     report = spark.createDataFrame(
         rows, "title string, window_days int, n_logs bigint, latest_timestamp string, seconds double, error string"
     ).withColumn("rate", rate_label(F.col("n_logs"), F.col("seconds")))
-    done = report.where("error IS NULL")
+    done = report.where("error IS NULL AND latest_timestamp IS NOT NULL")
     base = states.initial(done, as_of)
     if known is not None:
         base = known.unionByName(base.join(known, "title", "left_anti"))

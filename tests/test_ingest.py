@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddlog.operators import merge, reports
-from oddlog.plans.collect import LogQuery, collect_all
+from oddlog.plans.collect import LogQuery, collect_all, read_collected
 from oddlog.session import new_path, stage, work_dir
 from oddlog.sources import logs, state as states
 from oddlog.streaming.score import dedupe_stream, read_events
@@ -55,6 +55,8 @@ def test_merge_is_idempotent(spark):
     twice = merge.merge_incremental(once, new, AS_OF, 30)
     assert once.count() == 75
     assert sorted(once.collect()) == sorted(twice.collect())
+    unshuffled = merge.merge_incremental(once, new, AS_OF, 30, existing_unique=True)
+    assert sorted(once.collect()) == sorted(unshuffled.collect())
     fresh = merge.unseen(old, new)
     assert sorted(r.id for r in fresh.collect()) == sorted(str(i) for i in range(50, 75))
 
@@ -122,6 +124,23 @@ def test_collect_shortens_the_window_and_merges(spark):
     assert state.record_count == 8 and state.last_data_timestamp == "2024-02-01T00:00:00Z"
     assert state.created_at == "2024-01-20T00:00:00Z" and state.last_run == "2024-02-12T00:00:00Z"
 
+    # the third run appends: one new row, two already there; two more rows leave the window
+    newest = spark.createDataFrame(
+        [(50, "2024-02-01T00:00:00Z", "s", "r", None), (60, "2024-02-14T00:00:00Z", "s", "r", "x"), (60, "2024-02-14T00:00:00Z", "s", "r", "x")],
+        schema + ", extra string",
+    )
+    query = LogQuery("logs", 30, newest, equals={"source": "s"}, drop=("p_row_id",))
+    before = set(spark.read.parquet(f"{path}/data/logs").inputFiles())
+    third = collect_all(spark, [query], path, "2024-02-14 12:00:00").collect()
+    assert [(r.title, r.n_logs, r.error) for r in third] == [("logs", 6, None)]
+    rows = read_collected(spark, query, path, "2024-02-14 12:00:00").collect()
+    assert sorted((r.id, r.extra) for r in rows) == [(6, None), (7, None), (8, None), (9, None), (50, None), (60, "x")]
+    assert before < set(spark.read.parquet(f"{path}/data/logs").inputFiles())  # nothing stored was rewritten
+
+    # a run that finds nothing leaves the state alone
+    collect_all(spark, [LogQuery("logs", 30, newest.limit(0))], path, "2024-02-15 00:00:00")
+    assert states.get(states.load(spark, f"{path}/state"), "logs").first().last_run == "2024-02-14T12:00:00Z"
+
 
 def test_datasets_replace_only_their_log_type(spark, tmp_path):
     path = str(tmp_path / "d")

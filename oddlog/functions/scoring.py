@@ -42,12 +42,6 @@ def rarity_level(score: Column) -> Column:
     )
 
 
-def entropy_term(count: Column, total: Column) -> Column:
-    """One value's share of the entropy, in bits; sum it per feature."""
-    share = count / total
-    return -share * F.log2(share)
-
-
 def normalised_entropy(bits: Column, distinct: Column) -> Column:
     """Entropy divided by its maximum for that many values."""
     return F.when(distinct > 1, bits / F.log2(distinct)).when(distinct == 1, bits).otherwise(F.lit(0.0))

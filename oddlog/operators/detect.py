@@ -21,7 +21,7 @@ from .flatten import flatten, normalise_names, with_time_features
 from .forest import anomaly_score, path_lengths
 from .route import missing_model, route
 
-FOREST_ROWS = 10_000_000  # node rows broadcast at a time, about 240 MB packed; more log types are scored in turns
+FOREST_ROWS = 2_000_000  # node rows broadcast at a time, about 50 MB packed; more log types are scored in turns
 DEVIATION = (
     "struct<feature:string,type:string,value:string,mean:double,std:double,z_score:double,frequency:bigint,"
     "total_samples:bigint,rarity_score:double,deviation_level:string>"

@@ -66,10 +66,9 @@ def _plain_types(dtype: T.DataType) -> T.DataType:
 
 
 def parse_json(df: DataFrame, column: str, schema: T.StructType | None = None) -> DataFrame:
-    """Replace a JSON text column by its parsed struct; unparseable text gives null."""
+    """Replace a JSON text column by its parsed struct; unparseable text gives nulls."""
     schema = schema or json_schema(df, column)
-    parsed = F.from_json(c(column), schema) if schema.fields else F.lit(None).cast("string")
-    return df.withColumn(column, F.when(F.try_parse_json(c(column)).isNotNull(), parsed))
+    return df.withColumn(column, F.from_json(c(column), schema) if schema.fields else F.lit(None).cast("string"))
 
 
 def normalise_names(df: DataFrame, aliases: dict[str, str] = FIELD_ALIASES) -> DataFrame:

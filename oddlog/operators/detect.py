@@ -42,7 +42,7 @@ class Scorer:
         self.slots = 1 + max((r.slot for r in rows), default=-1)
         self.rows = rows
         self.log_types = sorted(r.log_type for r in model.models.select("log_type").collect())
-        self.small = model.values.limit(encode.LOOKUP_ROWS + 1).count() <= encode.LOOKUP_ROWS
+        self.small = model.values.count() <= encode.LOOKUP_ROWS
         self.parameters = self._parameters()
 
     def plan(self, slot: int, where) -> list[tuple[str, str]]:

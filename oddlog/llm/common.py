@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +13,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from oddlog.session import stage
 
+LETTERS = re.compile(r"[^\W\d_]+")
 SLICE_BYTES = 4 << 20  # text handled at once by a Python task
 
-__all__ = ["table", "stage", "fold", "slices", "ragged"]
+__all__ = ["LETTERS", "table", "stage", "released", "fold", "slices", "ragged", "nested", "unnested", "drawn", "Scores"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@contextmanager
+def released(spark: SparkSession):
+    """Within it, the shuffle files of a staged table are deleted as soon as the table is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fold(key: Column, parts: int, remainder: int) -> Column:
     """True where crc32 of the key as text leaves ``remainder``; a null key belongs to no such fold."""
     return F.coalesce(F.crc32(key.cast("string")) % parts == remainder, F.lit(False))
@@ -41,3 +56,46 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     before = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - before, lengths)
+
+
+def nested(rows: DataFrame) -> Column:
+    """All columns of a row in one struct, so that an operator's own columns cannot clash with them."""
+    return F.struct(*(rows[c] for c in rows.columns)).alias("row")
+
+
+def unnested(rows: DataFrame, names: list[str], *new: str) -> DataFrame:
+    """The columns ``names`` of ``row`` again, with ``new`` ones in place of equal names."""
+    return rows.select(*(F.col("row")[c].alias(c) for c in names if c not in new), *new)
+
+
+def drawn(key: Column, share: Column | float) -> Column:
+    """True for about ``share`` of the keys, always the same ones."""
+    return F.pmod(F.xxhash64(key, F.lit("drawn")), F.lit(1_000_003)) < share * 1_000_003
+
+
+class Scores:
+    """Rows of numbers per word, worked out at a word's first use and kept while there is room."""
+
+    def __init__(self, width: int, work_out: Callable[[str], np.ndarray], room: int = 1 << 18):
+        self.width, self.work_out, self.room = width, work_out, room
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.rows = np.zeros((1 << 12, self.width))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The rows of all words, in order."""
+        new = set(words).difference(self.places)
+        if len(self.places) + len(new) > self.room:
+            self.forget()
+            new = set(words)
+        first = len(self.places)
+        if first + len(new) > len(self.rows):
+            grown = np.zeros((2 * (first + len(new)), self.width))
+            grown[:first] = self.rows[:first]
+            self.rows = grown
+        for place, word in enumerate(new, first):
+            self.rows[place] = self.work_out(word)
+            self.places[word] = place
+        return self.rows[np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))]

@@ -7,13 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe
-from .common import table
+from . import (
+    byte_bpe,
+    fingerprints,
+    language,
+    mixing,
+    pivot_search,
+    repeats,
+    simhash,
+    templates,
+    token_counts,
+    toxicity,
+)
+from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(function):
@@ -32,3 +44,82 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         byte_bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held_out = fold(F.col("doc_id"), 3, 1)
+    detector = toxicity.fit(docs.where(~held_out), table(spark, folder, "labels").where(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.probability(docs, detector, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.LIMIT).cast("int"))
+
+
+@query
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    held_out = fold(F.col("doc_id"), 4, 2)
+    model = language.fit(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language.identify(docs, model).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+@query
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fingerprints.with_next(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.shown(F.col("vec")).alias("fingerprint"),
+        fingerprints.shown(F.col("edited_vec")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+@query
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, folder, "documents"), PIECES)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    kept = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source", "lang"))
+    return kept.select(
+        "doc_id",
+        *(F.col(f"mixing.{d}").alias(d) for d in mixing.TARGETS),
+        F.col("mixing.tokens").cast("long").alias("n_tokens"),
+        F.round("mixing.probability", 6).alias("probability"),
+        F.round("mixing.weight", 6).alias("weight"),
+    )
+
+
+ORACLES["op9_mixing"] = mixing.sql(mixing.TARGETS, mixing.RATE, mixing.SWEEPS)
+
+
+@query
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cut = repeats.without_repeats(docs)
+    return cut.select(
+        "doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2(F.col("cut.kept"), 256).alias("kept_sha256")
+    )
+
+
+@query
+def op3_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op4_templates(spark: SparkSession, folder: str) -> DataFrame:
+    pages = templates.extract(table(spark, folder, "pages"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))

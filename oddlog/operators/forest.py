@@ -120,11 +120,17 @@ def fit_forest(samples: DataFrame, features: list[str], seed: int = SEED) -> Dat
     )
 
 
-def pack(forest: pd.DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def pack(forest: pd.DataFrame, width: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """Per log type: split features, thresholds and path lengths as [tree, node] arrays of full depth.
 
-    A leaf above the last level sends every row left, so all walks take the same number of steps.
+    A leaf above the last level sends every row left, so all walks take the same number of steps. A split on a feature
+    that the ``width`` columns of the matrix do not hold is an error, as the forest belongs to another selection.
     """
+    splits = forest["threshold"].notna()
+    outside = forest[splits & ~forest["feature"].between(0, width - 1)]
+    if len(outside):
+        first = outside.iloc[0]
+        raise ValueError(f"forest of {first['log_type']} splits on feature {first['feature']}, the matrix has {width}")
     packed = {}
     for log_type, rows in forest.groupby("log_type"):
         depth = int(rows["node"].max()).bit_length() - 1
@@ -164,7 +170,7 @@ def path_lengths(df: DataFrame, forest: DataFrame, features: list[str], log_type
     """
     if not features:
         return F.lit(None).cast("double")
-    packed = df.sparkSession.sparkContext.broadcast(pack(forest.toPandas()))
+    packed = df.sparkSession.sparkContext.broadcast(pack(forest.toPandas(), len(features)))
 
     @F.pandas_udf("double")
     def walk(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

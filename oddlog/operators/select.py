@@ -10,6 +10,7 @@ from ..functions.scoring import MAX_CARDINALITY, NUMERIC_ENTROPY, normalised_ent
 TARGET = 10  # fixed values
 TRAINING_COVERAGES = (0.6, 0.5, 0.3, 0.1)
 DETECTION_COVERAGE = 0.7
+SCORE_DIGITS = 9
 
 
 def with_ordinal(features: DataFrame, by: list[str]) -> DataFrame:
@@ -34,7 +35,9 @@ def with_quality(features: DataFrame) -> DataFrame:
         }
     )
     temporal = F.col("feature").isin(*TEMPORAL_FEATURES)
-    return scored.withColumn("score", quality(F.col("coverage"), F.col("cardinality"), F.col("entropy"), temporal))
+    score = quality(F.col("coverage"), F.col("cardinality"), F.col("entropy"), temporal)
+    # sums of floats depend on the order of partial sums; rounded, equal features tie and column order decides
+    return scored.withColumn("score", F.round(score, SCORE_DIGITS))
 
 
 def rank_features(scored: DataFrame, group: list[str], coverage: Column, target: int = TARGET) -> DataFrame:

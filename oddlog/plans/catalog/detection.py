@@ -22,11 +22,13 @@ from .views import K_SQL, events, fixed_sql, r6
 BY = ["log_type"]
 OFFSET, LIMIT = -0.7, -0.02
 COLUMNS = ["user_id", "value", "tier", "agent", "props.k", "hour", "day_of_week"]
-# slots of the resulting model: agent 0, tier 1, hour 2, day_of_week 3, user_id 4, value 5, props.k 6
+# nodes name features; their slots follow from the selection of each log type
 FIXED_FOREST = [
-    (0, 1, 5, 1.0, None), (0, 2, None, None, 6.0), (0, 3, 2, 0.5, None), (0, 6, None, None, 2.5), (0, 7, None, None, 3.5),
-    (1, 1, 1, 0.5, None), (1, 2, None, None, 4.0), (1, 3, None, None, 5.5),
-    (2, 1, 6, -1.0, None), (2, 2, None, None, 3.0), (2, 3, 4, 0.2, None), (2, 6, None, None, 7.25), (2, 7, None, None, 4.75),
+    (0, 1, "value", 1.0, None), (0, 2, None, None, 6.0), (0, 3, "hour", 0.5, None), (0, 6, None, None, 2.5),
+    (0, 7, None, None, 3.5),
+    (1, 1, "tier", 0.5, None), (1, 2, None, None, 4.0), (1, 3, None, None, 5.5),
+    (2, 1, "props.k", -1.0, None), (2, 2, None, None, 3.0), (2, 3, "user_id", 0.2, None), (2, 6, None, None, 7.25),
+    (2, 7, None, None, 4.75),
 ]
 SOURCES = {"click": "IAM.amazonaws.com", "view": "config.amazonaws.com", "purchase": "vpc-flow-logs.amazonaws.com"}
 
@@ -59,18 +61,21 @@ EVENTS_SQL = f"""d AS (
          CASE WHEN user_id % 150 < 90 THEN 'agent-a' WHEN user_id % 150 < 135 THEN 'agent-b' WHEN user_id % 150 < 149
            THEN 'agent-c' ELSE 'agent-d' END AS agent FROM events),
 st AS (
-  SELECT log_type, count(*) AS n, count(tier) AS n_tier, {", ".join(
+  SELECT log_type, count(*) AS n, count(tier) AS n_tier, count(DISTINCT agent) AS agents, {", ".join(
       f"avg({x}) AS m_{x}, stddev_samp({x}) AS s_{x}, stddev_pop({x}) AS p_{x}"
       for x in ("hour", "dow", "user_id", "value", "k")
   )} FROM d WHERE log_type IS NOT NULL GROUP BY log_type),
 ac AS (SELECT log_type, agent, count(*) AS cnt FROM d GROUP BY ALL),
+tn AS (SELECT log_type, tier, count(*) AS tier_cnt FROM d WHERE tier IS NOT NULL GROUP BY ALL),
 tc AS (SELECT log_type, tier, row_number() OVER (PARTITION BY log_type ORDER BY tier) - 1 AS code
   FROM (SELECT DISTINCT log_type, coalesce(tier, 'unknown') AS tier FROM d)),
 x AS (
   SELECT d.*, st.n, ac.cnt, tc.code AS x1, {", ".join(
       f"({v} - m_{v}) / s_{v} AS z_{v}, ({v} - m_{v}) / p_{v} AS x_{v}" for v in ("hour", "dow", "user_id", "value", "k")
-  )}, 1 - ac.cnt / st.n AS rare
+  )}, CASE WHEN agents > 1 THEN 1 - ac.cnt / st.n END AS rare, agents,
+    CASE WHEN n_tier >= 0.7 * n THEN tier_cnt END AS tier_cnt, n_tier
   FROM d LEFT JOIN st USING (log_type) LEFT JOIN ac ON ac.log_type = d.log_type AND ac.agent = d.agent
+  LEFT JOIN tn ON tn.log_type = d.log_type AND tn.tier = d.tier
   LEFT JOIN tc ON tc.log_type = d.log_type AND tc.tier = coalesce(d.tier, 'unknown')),
 p AS (
   SELECT *, (CASE WHEN x_value <= 1.0 THEN 6.0 WHEN x_hour <= 0.5 THEN 2.5 ELSE 3.5 END
@@ -82,7 +87,8 @@ s AS (
     -pow(2.0, -path / (2 * (ln(psi - 1) + 0.5772156649) - 2.0 * (psi - 1) / psi)) END AS score FROM p),
 notable AS (
   SELECT *, score - ({OFFSET}) AS decision,
-    list_filter([CASE WHEN rare > 0.8 THEN 'agent (rarity: ' || {fixed_sql('rare', 2)} || ')' END, {", ".join(
+    list_filter([CASE WHEN rare > 0.8 THEN 'agent (rarity: ' || {fixed_sql('rare', 2)} || ')' END,
+      CASE WHEN 1 - tier_cnt / n_tier > 0.8 THEN 'tier (rarity: ' || {fixed_sql('1 - tier_cnt / n_tier', 2)} || ')' END, {", ".join(
       f"CASE WHEN abs(z_{v}) > 2 THEN '{f} (z-score: ' || {fixed_sql(f'z_{v}', 1)} || ')' END"
       for v, f in (("hour", "hour"), ("dow", "day_of_week"), ("user_id", "user_id"), ("value", "value"), ("k", "props.k"))
   )}], lambda e: e IS NOT NULL) AS notable FROM s),
@@ -113,9 +119,13 @@ def fixed_model(spark: SparkSession, folder: str) -> Model:
     models = sizes.withColumns(
         {"psi": F.least(F.lit(256), F.col("training_samples")).cast("int"), "offset": F.lit(OFFSET)}
     )
-    forest = spark.createDataFrame(
+    nodes = spark.createDataFrame(
         [(log_type, *node) for log_type in MODELS for node in FIXED_FOREST],
-        "log_type string, tree int, node int, feature int, threshold double, path_length double",
+        "log_type string, tree int, node int, feature string, threshold double, path_length double",
+    )
+    slots = features.select("log_type", "feature", F.col("slot").cast("int").alias("slot"))
+    forest = nodes.join(slots, ["log_type", "feature"], "left").select(
+        "log_type", "tree", "node", F.col("slot").alias("feature"), "threshold", "path_length"
     )
     return Model(stage(models, "models"), features, values, forest)
 
@@ -157,7 +167,7 @@ def route_explicit(spark, folder):
 @query(
     f"WITH {EVENTS_SQL} SELECT event_id, log_type, is_anomaly, round(decision, 6) AS anomaly_score,"
     f" CASE WHEN n IS NOT NULL THEN {LIMIT}::DOUBLE END AS anomaly_threshold, explanation,"
-    " n AS training_samples, CAST(CASE WHEN n IS NOT NULL THEN 6 END AS INTEGER) AS features_found, error FROM res"
+    " n AS training_samples, CAST(CASE WHEN n IS NOT NULL THEN 5 + (agents > 1)::INT + (tier_cnt IS NOT NULL)::INT END AS INTEGER) AS features_found, error FROM res"
 )
 def detect_batch(spark, folder):
     info = F.col("model_info")
@@ -215,7 +225,9 @@ def anomaly_rate(spark, folder):
     " AS rarity_score, CASE WHEN type = 'categorical' THEN CASE WHEN rare > 0.95 THEN 'extremely_rare' WHEN rare > 0.8 THEN"
     " 'rare' WHEN rare > 0.5 THEN 'uncommon' ELSE 'common' END WHEN abs(z) > 3 THEN 'extreme' WHEN abs(z) > 2 THEN 'high'"
     " WHEN abs(z) > 1 THEN 'moderate' ELSE 'normal' END AS deviation_level FROM ("
-    " SELECT event_id, 'agent' AS feature, 'categorical' AS type, NULL AS z, cnt, n, rare FROM res WHERE n IS NOT NULL"
+    " SELECT event_id, 'agent' AS feature, 'categorical' AS type, NULL AS z, cnt, n, rare FROM res WHERE agents > 1"
+    " UNION ALL SELECT event_id, 'tier', 'categorical', NULL, tier_cnt, n_tier, 1 - tier_cnt / n_tier FROM res"
+    " WHERE tier_cnt IS NOT NULL"
     + "".join(
         f" UNION ALL SELECT event_id, '{f}', 'numerical', z_{v}, NULL, n, rare FROM res WHERE n IS NOT NULL"
         for v, f in (("hour", "hour"), ("dow", "day_of_week"), ("user_id", "user_id"), ("value", "value"), ("k", "props.k"))
@@ -236,7 +248,8 @@ def feature_deviations(spark, folder):
     )
 
 
-@query(f"WITH {EVENTS_SQL} SELECT event_id, agent AS value, cnt AS frequency FROM res WHERE n IS NOT NULL")
+@query(f"WITH {EVENTS_SQL} SELECT event_id, agent AS value, cnt AS frequency FROM res WHERE agents > 1"
+    " UNION ALL SELECT event_id, tier, tier_cnt FROM res WHERE tier_cnt IS NOT NULL")
 def frequency_join(spark, folder):
     """Training frequency of every event's category."""
     rows = _detected(spark, folder).select("event_id", F.inline("feature_deviations"))
@@ -349,7 +362,7 @@ def _u(purpose: str) -> str:
 
 @query(
     f"""WITH {EVENTS_SQL},
-vals AS (SELECT log_type, 'agent' AS feature, agent AS value, count(*) AS cnt FROM d WHERE log_type IS NOT NULL GROUP BY ALL
+vals AS (SELECT log_type, 'agent' AS feature, agent AS value, count(*) AS cnt FROM d JOIN st USING (log_type) WHERE agents > 1 GROUP BY ALL
   UNION ALL SELECT log_type, 'tier', tier, count(*) FROM d WHERE log_type IS NOT NULL AND tier IS NOT NULL GROUP BY ALL),
 ladder AS (SELECT *, sum(cnt) OVER (PARTITION BY log_type, feature ORDER BY value) AS upto,
   sum(cnt) OVER (PARTITION BY log_type, feature) AS total,

@@ -308,7 +308,8 @@ def extents_of(docs: DataFrame, unique: bool, length: int, gram: int, most: int)
     """For ``docs`` (uid, text): repeated anchors (uid, at, gram, context), and the extents of repeated contexts."""
     found = stage(docs.mapInArrow(anchor_rows(length, gram), "uid long, at long, gram long, context long"), "anchors")
     counts = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("several"))
-    repeated = stage(found.join(counts.where("n > 1").select("gram", "several"), "gram"), "repeated")
+    counts = stage(counts.where("n > 1").select("gram", "several"), "grams")  # staged, so that the join can split hot ones
+    repeated = stage(found.join(counts, "gram"), "repeated")
     contexts = repeated.groupBy("gram", "context", "several").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"))
     contexts = stage(contexts, "contexts")
     place, right = F.shiftright("one.at", 16), F.col("one.at").bitwiseAND(0xFFFF).cast("int")

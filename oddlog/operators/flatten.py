@@ -76,15 +76,18 @@ def normalise_names(df: DataFrame, aliases: dict[str, str] = FIELD_ALIASES) -> D
 
     When an event carries both spellings the canonical one is used and the alias fills its gaps.
     """
-    present = set(df.columns)
+    names = df.columns
+    # columns are taken by position: two spellings are one name to a session that ignores case
+    numbered = df.toDF(*[f"_field_{i}" for i in range(len(names))])
+    at = {name: F.col(f"_field_{i}") for i, name in enumerate(names)}
     out = []
-    for name in df.columns:
+    for name in names:
         target = aliases.get(name, name)
-        if target != name and target in present:
+        if target != name and target in at:
             continue
-        spare = [a for a, t in aliases.items() if t == target and a in present and a != name]
-        out.append(F.coalesce(c(name), *[c(a) for a in spare]).alias(target) if spare else c(name).alias(target))
-    return df.select(*out)
+        spare = [at[a] for a, t in aliases.items() if t == target and a in at and a != name]
+        out.append((F.coalesce(at[name], *spare) if spare else at[name]).alias(target))
+    return numbered.select(*out)
 
 
 def drop_internal(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

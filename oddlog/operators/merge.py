@@ -12,6 +12,7 @@ from ..functions.text import truthy
 from ..session import join_side, stage
 
 RECENT_ROWS = 1000  # fixed value: rows the density estimate looks at
+SHARES = 64
 
 
 def first_truthy(df: DataFrame, fields: tuple[str, ...]) -> Column:
@@ -145,33 +146,46 @@ def latest_timestamp(df: DataFrame, by: list[str], as_of: datetime | str, fields
     return found.select(*keys, F.coalesce("raw", fallback).alias("latest_timestamp"))
 
 
-def density(df: DataFrame, by: list[str], window_days: int, order: list, fields: tuple[str, ...] = TIME_FIELDS_INGEST) -> DataFrame:
+def density(
+    df: DataFrame,
+    by: list[str],
+    window_days: int,
+    order: list,
+    fields: tuple[str, ...] = TIME_FIELDS_INGEST,
+    groups: DataFrame | None = None,
+) -> DataFrame:
     """Per group: rows, estimated total for the window, progress in percent and the time range looked at.
 
-    The estimate uses the last 1000 rows in ``order``. That limit is applied in every task before the shuffle, and
-    the row count is an ordinary aggregate.
+    The estimate uses the last 1000 rows in ``order``, found in two steps: of each group and share of the tasks, then of
+    the group. The last step sees at most 1000 rows for each of the ``SHARES``, however many tasks there are. ``groups``
+    names groups that must have a row; without rows they read 0, 0 and "No data", as does an empty log without ``by``.
     """
     keys = [c(k) for k in by]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("current_count"))
-    window = Window.partitionBy(*keys).orderBy(*[o.desc() if isinstance(o, Column) else F.desc(o) for o in order])
-    recent = (
-        df.withColumn("_at", event_instant(df, fields))
-        .withColumn("_place", F.row_number().over(window))
-        .where(F.col("_place") <= RECENT_ROWS)
-        .groupBy(*keys)
-        .agg(F.count("_at").alias("timed"), F.min("_at").alias("first"), F.max("_at").alias("last"))
+    latest_first = [o.desc() if isinstance(o, Column) else F.desc(o) for o in order]
+    recent = df.withColumn("_at", event_instant(df, fields)).withColumn("_share", F.spark_partition_id() % SHARES)
+    for level in (["_share"], []):
+        window = Window.partitionBy(*keys, *level, F.lit(0)).orderBy(*latest_first)
+        recent = recent.withColumn("_place", F.row_number().over(window)).where(F.col("_place") <= RECENT_ROWS)
+    recent = recent.groupBy(*keys).agg(
+        F.count("_at").alias("timed"), F.min("_at").alias("first"), F.max("_at").alias("last")
     )
-    joined = counts.join(recent, by)
+    joined = counts.join(recent, by) if by else counts.crossJoin(recent)  # without keys each side is one row
+    if groups is not None:
+        joined = groups.select(*keys).join(joined, by, "left")
+    count = F.coalesce(F.col("current_count"), F.lit(0))
     span = F.greatest(F.lit(0.1), timefeat.days_between(F.col("last"), F.col("first")))
     expected = F.floor(F.col("timed") / span * window_days).cast("bigint")
-    enough = F.col("timed") >= 2
-    total = F.when(enough, F.greatest(F.col("current_count"), expected)).otherwise(F.col("current_count") * 2)
+    enough = F.coalesce(F.col("timed") >= 2, F.lit(False))
+    total = F.when(enough, F.greatest(count, expected)).otherwise(count * 2)
+    progress = F.when(enough, F.least(F.lit(100.0), count / F.when(enough, total) * 100)).otherwise(50.0)
     return joined.select(
         *keys,
-        "current_count",
+        count.alias("current_count"),
         total.alias("estimated_total"),
-        F.when(enough, F.least(F.lit(100.0), F.col("current_count") / total * 100)).otherwise(50.0).alias("progress_pct"),
-        F.when(enough, timefeat.range_label(F.col("first"), F.col("last")))
+        F.when(count == 0, 0.0).otherwise(progress).alias("progress_pct"),
+        F.when(count == 0, "No data")
+        .when(enough, timefeat.range_label(F.col("first"), F.col("last")))
         .otherwise("Insufficient timestamp data for estimation")
         .alias("time_range"),
     )

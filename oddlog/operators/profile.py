@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.names import c, is_port, is_port_name
 from ..functions.scoring import MAX_CARDINALITY, MIN_VARIANCE
@@ -136,11 +136,32 @@ def value_counts(df: DataFrame, by: list[str], columns: list[str], only: DataFra
     return long.groupBy(*[c(k) for k in by], "feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def bounded_counts(counts: DataFrame, by: list[str], max_cardinality: int = MAX_CARDINALITY) -> DataFrame:
-    """Value counts of the features with at most ``max_cardinality`` values, which may be ranked within a feature."""
+def ranked_counts(counts: DataFrame, by: list[str], order: list, label: str = "ranked") -> DataFrame:
+    """Value counts with ``place`` (from 1 in ``order``) and ``size`` (values of the feature), for any number of values.
+
+    Values are sorted over all tasks, by feature and order. A place is the number of the feature's values in earlier
+    parts of the sort, plus the place within the part; so no feature is sorted or numbered in one task.
+    """
     keys = [*by, "feature"]
-    sizes = counts.groupBy(*[c(k) for k in keys]).agg(F.count("value").alias("n")).where(F.col("n") <= max_cardinality)
-    return counts.join(join_side(sizes.drop("n"), "bounded"), keys, "left_semi")
+    ordered = counts.orderBy(*[c(k) for k in keys], *order).withColumn("_at", F.monotonically_increasing_id())
+    ordered = stage(ordered.withColumn("_part", F.shiftright("_at", 33)), label)
+    sizes = ordered.groupBy(*[c(k) for k in keys], "_part").agg(F.count("value").alias("_n"))
+    before = Window.partitionBy(*[c(k) for k in keys])
+    sizes = sizes.select(
+        *[c(k) for k in keys],
+        "_part",
+        (F.sum("_n").over(before.orderBy("_part")) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(before).alias("size"),
+    )
+    within = F.row_number().over(Window.partitionBy(*[c(k) for k in keys], "_part").orderBy("_at"))
+    numbered = ordered.withColumn("_within", within).join(sizes, [*keys, "_part"])
+    return numbered.withColumn("place", F.col("_before") + F.col("_within")).drop("_at", "_part", "_within", "_before")
+
+
+def rarest(counts: DataFrame, by: list[str]) -> DataFrame:
+    """The least frequent tenth of each feature's values, at least one, with their ``place``."""
+    ranked = ranked_counts(counts, by, ["cnt", "value"])
+    return ranked.where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("size") / 10))).drop("size")
 
 
 def distinct_counts(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

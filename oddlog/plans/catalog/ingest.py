@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ...functions import timefeat
@@ -10,7 +12,7 @@ from ...operators import merge, reports
 from ...operators.flatten import drop_internal, exclude, flatten, normalise_names, project_fill, time_source
 from ...session import new_path
 from ...sources import logs, state as states
-from ..collect import LogQuery, collect_all
+from ..collect import LogQuery, collect_all, read_collected
 from ..train import enough_rows
 from .registry import query, table
 from .views import K_SQL, events, fixed_sql, r6
@@ -84,13 +86,15 @@ def project_fill_absent(spark, folder):
 
 
 @query(
-    'SELECT c_custkey AS "eventId", c_name AS "eventName", c_mktsegment AS "awsRegion",'
+    'SELECT c_custkey AS "eventId", coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, c_name) AS "eventName",'
+    ' c_mktsegment AS "awsRegion",'
     ' c_nationkey AS "userIdentity.type", c_acctbal AS balance FROM customer'
 )
 def normalize_fields(spark, folder):
     lower = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("eventid"),
         F.col("c_name").alias("eventname"),
+        F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("eventName"),
         F.col("c_mktsegment").alias("awsregion"),
         F.col("c_nationkey").alias("useridentity.type"),
         F.col("c_acctbal").alias("balance"),
@@ -215,14 +219,14 @@ def seen_id_anti(spark, folder):
 
 
 @query(
-    "SELECT count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM"
-    " (SELECT DISTINCT lang, n_chars, text FROM documents)"
+    "SELECT lang, source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM"
+    " (SELECT DISTINCT text, lang, source, n_chars FROM documents) GROUP BY ALL"
 )
 def dedupe_whole_record(spark, folder):
     """Records without any id are compared as a whole, however long; exact copies collapse."""
-    docs = table(spark, folder, "documents").select("lang", "n_chars", "text")
+    docs = table(spark, folder, "documents").drop("doc_id")
     unique = merge.keep_first(docs, merge.identity(docs), ["lang"])
-    return unique.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+    return unique.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
 # ---- time windows, state --------------------------------------------------------------------------------------------
@@ -275,12 +279,14 @@ est AS (SELECT *, greatest(n, CAST(floor(timed / greatest(0.1, date_diff('micros
     f"WITH {RECENT_SQL} SELECT g AS title, n AS current_count, total AS estimated_total,"
     " round(least(100.0, n / total * 100), 6) AS progress_pct,"
     " strftime(a, '%m/%d %H:%M') || ' to ' || strftime(b, '%m/%d %H:%M') AS time_range FROM est"
+    " UNION ALL SELECT 3, 0, 0, 0.0, 'No data'"
 )
 def event_density(spark, folder):
     titled = table(spark, folder, "events").select(
         (F.col("user_id") % 3).alias("title"), "event_id", F.col("ts").alias("timestamp")
     )
-    out = merge.density(titled, ["title"], 30, [F.col("event_id")])
+    titles = titled.select("title").distinct().union(spark.range(3, 4))  # one title has no rows
+    out = merge.density(titled, ["title"], 30, [F.col("event_id")], groups=titles)
     return out.withColumn("progress_pct", r6("progress_pct"))
 
 
@@ -347,6 +353,14 @@ def paged_read_by_key(spark, folder):
     return logs.page(table(spark, folder, "orders"), "o_orderkey", 500, after=600).select("o_orderkey", "o_totalprice")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def paged_read_all(spark, folder):
+    """The whole table page by page, on a key that repeats."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    found = logs.pages(lines, "l_orderkey", logs.chunk_size(lines).first().chunk_rows // 25)
+    return reduce(DataFrame.union, found, lines.limit(0))
+
+
 @query("SELECT event_type AS title, count(*) AS n_logs FROM events GROUP BY ROLLUP (event_type)")
 def collection_rollup(spark, folder):
     return reports.collection_summary(table(spark, folder, "events"), "event_type")
@@ -373,6 +387,32 @@ def collect_all_queries(spark, folder):
     return report.select("title", "n_logs", F.col("error").isNull().alias("ok"))
 
 
+RETURNING = ("2024-01-10", "2024-01-12", "2024-01-25", "2024-01-28")
+
+
+def _pull_sql(day: str) -> str:
+    return (
+        f"SELECT event_id % 4000 AS id, min(ts) AS ts FROM events WHERE ts >= TIMESTAMP '{day}' - INTERVAL 1 DAY AND ts <"
+        f" TIMESTAMP '{day}' GROUP BY ALL"
+    )
+
+
+@query(
+    f"WITH a AS ({_pull_sql(RETURNING[2])}), b AS ({_pull_sql(RETURNING[3])})"
+    " SELECT id, ts FROM a UNION ALL SELECT id, ts FROM b WHERE id NOT IN (SELECT id FROM a)"
+)
+def collect_returning_id(spark, folder):
+    """Four runs with a window of five days: ids of the first two have expired when they return in the third."""
+    path = new_path(spark, "returning")
+    for day in RETURNING:
+        end = F.lit(day).cast("timestamp_ntz")
+        ev = table(spark, folder, "events").where((F.col("ts") >= end - F.expr("INTERVAL 1 DAY")) & (F.col("ts") < end))
+        pull = ev.groupBy((F.col("event_id") % 4000).alias("id")).agg(F.min("ts").alias("ts"))
+        last = LogQuery("returning", 5, pull, "ts", key_fields=("id",))
+        collect_all(spark, [last], path, f"{day} 00:00:00")
+    return read_collected(spark, last, path, f"{RETURNING[-1]} 00:00:00")
+
+
 # ---- labels ---------------------------------------------------------------------------------------------------------
 
 

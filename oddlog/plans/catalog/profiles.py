@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ...functions import scoring
 from ...functions.names import c
 from ...operators import profile as profiles
 from ...operators.select import with_ordinal, with_quality
-from ...operators.synth import rare_values as rarest
+from ...operators.profile import rarest
 from .registry import query, table
 from .views import (
     CATEGORY_SQL,
@@ -170,23 +170,32 @@ def feature_score(spark, folder):
     return _scored(spark, folder).select("log_type", "feature", r6("entropy").alias("entropy"), r6("score").alias("score"))
 
 
+MANY_SQL = (
+    f"{view_sql()}, {long_text_sql()}, {COUNTS_SQL}, many AS (SELECT log_type, 'visit' AS feature,"
+    " 'visit-' || event_id // 3 AS value, count(*) AS cnt FROM lg GROUP BY ALL UNION ALL SELECT * FROM vc)"
+)
+
+
+def _many(spark, folder):
+    """Value counts of the text columns and of one with a third as many values as there are events."""
+    view = log_view(spark, folder).withColumn("visit", F.concat(F.lit("visit-"), F.expr("event_id div 3")))
+    return profiles.value_counts(view, BY, [*TEXT_COLUMNS, "visit"])
+
+
 @query(
-    f"WITH {view_sql()}, {long_text_sql()}, {COUNTS_SQL} SELECT log_type, feature, value, cnt FROM (SELECT *,"
+    f"WITH {MANY_SQL} SELECT log_type, feature, value, cnt FROM (SELECT *,"
     " row_number() OVER (PARTITION BY log_type, feature ORDER BY cnt, value) AS place,"
-    " count(*) OVER (PARTITION BY log_type, feature) AS k FROM vc) WHERE place <= greatest(1, k // 10) AND k <= 1000"
+    " count(*) OVER (PARTITION BY log_type, feature) AS k FROM many) WHERE place <= greatest(1, k // 10)"
 )
 def rare_values(spark, folder):
-    counts = profiles.value_counts(log_view(spark, folder), BY, TEXT_COLUMNS)
-    return rarest(profiles.bounded_counts(counts, BY), ["log_type", "feature"]).drop("place")
+    return rarest(_many(spark, folder), BY).select("log_type", "feature", "value", "cnt")
 
 
 @query(
-    f"WITH {view_sql()}, {long_text_sql()}, {COUNTS_SQL} SELECT log_type, feature, value, cnt,"
-    " CAST(row_number() OVER (PARTITION BY log_type, feature ORDER BY cnt DESC, value) AS INTEGER) AS place FROM vc"
-    " QUALIFY count(*) OVER (PARTITION BY log_type, feature) <= 1000"
+    f"WITH {MANY_SQL} SELECT log_type, feature, value, cnt,"
+    " row_number() OVER (PARTITION BY log_type, feature ORDER BY cnt DESC, value) AS place FROM many"
 )
 def value_count_order(spark, folder):
-    """Values of each categorical feature (at most 1000 values) from the most common down."""
-    counts = profiles.value_counts(log_view(spark, folder), BY, TEXT_COLUMNS)
-    order = Window.partitionBy(*[c(k) for k in (*BY, "feature")]).orderBy(F.desc("cnt"), "value")
-    return profiles.bounded_counts(counts, BY).withColumn("place", F.row_number().over(order))
+    """Values of each categorical feature from the most common down."""
+    ranked = profiles.ranked_counts(_many(spark, folder), BY, [F.desc("cnt"), "value"])
+    return ranked.select("log_type", "feature", "value", "cnt", "place")

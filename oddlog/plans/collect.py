@@ -14,10 +14,11 @@ from ..functions.names import IDENTITY_FIELDS, c
 from ..functions.text import rate_label
 from ..operators import merge
 from ..operators.flatten import exclude
-from ..session import stage
 from ..sources import state as states
 
 DAY = "collected_day"  # partition column of stored datasets
+ROW_ID, ROW_AT = "collected_key", "collected_at"  # key and time of a stored row
+ROW_TIME = "collected_time"
 
 
 @dataclass
@@ -45,50 +46,76 @@ def time_fields(query: LogQuery, df: DataFrame) -> tuple[str, ...]:
     return tuple(f for f in dict.fromkeys((*merge.TIME_FIELDS_INGEST, query.time_field)) if f in df.columns)
 
 
+def first_day(as_of: datetime | str, window_days: int):
+    return (timefeat.moment(as_of) - F.make_dt_interval(F.lit(window_days))).cast("date")
+
+
 def read_collected(spark: SparkSession, query: LogQuery, path: str, as_of: datetime | str) -> DataFrame:
     """The dataset of a query as of a moment: rows inside its window. Folders of earlier days are not opened."""
     stored = spark.read.option("mergeSchema", "true").parquet(f"{path}/data/{query.title}")
-    first_day = (timefeat.moment(as_of) - F.make_dt_interval(F.lit(query.window_days))).cast("date")
-    recent = stored.where(F.col(DAY).isNull() | (F.col(DAY) >= first_day)).drop(DAY)
+    recent = stored.where(F.col(DAY).isNull() | (F.col(DAY) >= first_day(as_of, query.window_days))).drop(DAY, ROW_ID, ROW_AT)
     return merge.retain(recent, as_of, query.window_days, time_fields(query, recent))
 
 
-def write_days(df: DataFrame, query: LogQuery, path: str, mode: str) -> None:
-    """Write a dataset in one folder per event day.
+def write_days(df: DataFrame, query: LogQuery, path: str) -> None:
+    """Add rows to a dataset, in one folder per event day.
 
     Rebalancing gives files of even size: many small days share a task, a large day is split over several.
     """
-    day = merge.event_instant(df, time_fields(query, df)).cast("date")
-    rows = df.withColumn(DAY, day).hint("rebalance", DAY)
-    rows.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(DAY).parquet(
-        f"{path}/data/{query.title}"
-    )
+    rows = df.withColumn(DAY, F.col(ROW_TIME).cast("date")).drop(ROW_TIME).hint("rebalance", DAY)
+    rows.write.mode("append").partitionBy(DAY).parquet(f"{path}/data/{query.title}")
+
+
+def drop_expired(spark: SparkSession, query: LogQuery, path: str, as_of: datetime | str) -> list[str]:
+    """Delete the folders of days that lie wholly before the window; their names."""
+    day = spark.range(1).select(first_day(as_of, query.window_days).cast("string")).first()[0]
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/data/{query.title}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for entry in files.listStatus(folder) if files.exists(folder) else []:
+        name, _, value = entry.getPath().getName().partition("=")
+        if name == DAY and value[:1].isdigit() and value < day:
+            files.delete(entry.getPath(), True)
+            gone.append(value)
+    return gone
 
 
 def collect_one(
     spark: SparkSession, query: LogQuery, state: DataFrame | None, path: str, as_of: datetime | str
-) -> DataFrame:
-    """Bring one dataset up to date and return the rows fetched in this run.
+) -> tuple[int, str | None]:
+    """Bring one dataset up to date; rows fetched and the raw text of their latest time.
 
-    The first run stores the full window as it comes. The second merges the shortened window into it, which removes
-    duplicates on both sides and replaces the dataset. From then on the stored rows are known to be unique: only unseen
-    rows are appended, whatever the size of the dataset, and expired rows are left out when reading.
+    Every run follows one rule: of the fetched rows the first of each key is stored, unless a stored row inside the
+    window has that key. Expired rows hide nothing, and the folders of expired days are deleted. Keys are stored next to
+    the rows, so of the history only the keys and times of days inside the window are read. A pull is written once;
+    its size and latest time are read from its time fields alone.
     """
     known = None if state is None else states.get(merge.next_windows(state, as_of), query.title).first()
-    if known is None or not _exists(spark, f"{path}/data/{query.title}"):
-        fetched = stage(extract(query, as_of, query.window_days), "fetched")
-        write_days(fetched, query, path, "overwrite")
-        return fetched
-    fetched = stage(extract(query, as_of, known.next_days), "fetched")
-    stored = spark.read.option("mergeSchema", "true").parquet(f"{path}/data/{query.title}").drop(DAY)
-    if known.last_run == known.created_at:
-        times = time_fields(query, fetched)
-        merged = merge.merge_incremental(stored, fetched, as_of, query.window_days, query.key_fields, times)
-        # written aside first, since it is computed from the files it replaces
-        write_days(stage(merged, "merged"), query, path, "overwrite")
-    else:
-        write_days(merge.unseen(stored, fetched, query.key_fields), query, path, "append")
-    return fetched
+    dataset = f"{path}/data/{query.title}"
+    stored_before = _exists(spark, dataset)
+    days = query.window_days if known is None or not stored_before else known.next_days
+    pull = extract(query, as_of, days)
+    times = time_fields(query, pull)
+    at = merge.event_instant(pull, times)
+    raw = merge.first_truthy(pull, times)
+    timed = pull.select(at.alias("at"), raw.alias("raw"))
+    found = timed.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.max_by(F.when(F.col("at").isNotNull(), F.col("raw")), F.struct("at", "raw")).alias("latest"),
+    ).first()
+    keyed = pull.withColumns({ROW_ID: merge.identity(pull, query.key_fields), ROW_TIME: at})
+    ties = [F.xxhash64(*[c(n) for n in pull.columns])]
+    fresh = merge.keep_first(keyed, F.col(ROW_ID), ties)
+    if stored_before:
+        keys = spark.read.schema(f"{ROW_ID} string, {DAY} date, {ROW_AT} timestamp_ntz").parquet(dataset)
+        since = timefeat.moment(as_of) - F.make_dt_interval(F.lit(query.window_days))
+        inside = keys.where(F.col(DAY).isNull() | (F.col(DAY) >= first_day(as_of, query.window_days)))
+        inside = inside.where(F.col(ROW_AT).isNull() | (F.col(ROW_AT) >= since))
+        fresh = fresh.join(inside.select(ROW_ID), ROW_ID, "left_anti")
+    write_days(fresh.withColumn(ROW_AT, F.col(ROW_TIME)), query, path)
+    drop_expired(spark, query, path, as_of)
+    return found["rows"], found["latest"]
 
 
 def collect_all(
@@ -104,12 +131,10 @@ def collect_all(
     for query in queries:
         start = time.perf_counter()
         try:
-            fetched = collect_one(spark, query, known, path, as_of)
+            fetched, latest = collect_one(spark, query, known, path, as_of)
             count = read_collected(spark, query, path, as_of).count()
             # a run that fetched nothing leaves the state as it was
-            latest = None
-            if not fetched.isEmpty():
-                latest = merge.latest_timestamp(fetched, [], as_of, time_fields(query, fetched)).first()[0]
+            latest = (latest or states.stamp(as_of)) if fetched else None
             rows.append((query.title, query.window_days, count, latest, time.perf_counter() - start, None))
         except Exception as problem:  # noqa: BLE001 - reported per title
             rows.append((query.title, query.window_days, 0, None, time.perf_counter() - start, str(problem)))

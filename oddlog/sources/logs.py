@@ -67,13 +67,37 @@ def halved(chunk_rows: int) -> int:
 
 
 def page(df: DataFrame, key: str, size: int, after=None) -> DataFrame:
-    """The next ``size`` rows in key order after the key ``after``.
+    """The next ``size`` rows in key order after the key ``after``, and all further rows of the page's last key.
 
     Pages continue from the last key instead of counting an offset, so a late page costs no more than the first and
-    the filter reaches the scan; with a unique key they never overlap.
+    the filter reaches the scan. As a key is never cut, pages cover every row once even if keys repeat. Rows without a
+    key are part of the first page.
     """
     rest = df if after is None else df.where(c(key) > F.lit(after))
-    return rest.orderBy(c(key)).limit(size)
+    last = rest.where(c(key).isNotNull()).orderBy(c(key)).limit(size).agg(F.max(c(key))).first()[0]
+    if last is None:
+        return rest
+    inside = c(key) <= F.lit(last)
+    return rest.where(inside | c(key).isNull() if after is None else inside)
+
+
+def pages(df: DataFrame, key: str, size: int, most_bytes: int = CHUNK_BYTES):
+    """All pages of a table from first to last; one that holds more than ``most_bytes`` is read again at half the size.
+
+    Yields DataFrames; of each the driver reads its row count, bytes and last key.
+    """
+    after = None
+    while True:
+        rows = page(df, key, size, after)
+        n, held, last = rows.agg(F.count(F.lit(1)), F.sum(record_size(rows)), F.max(c(key))).first()
+        if n and held > most_bytes and halved(size) < size:
+            size = halved(size)
+            continue
+        if n:
+            yield rows
+        if not n or last is None:
+            return
+        after = last
 
 
 def offset_page(df: DataFrame, key: str, size: int, offset: int) -> DataFrame:

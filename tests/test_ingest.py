@@ -131,17 +131,45 @@ def test_collect_shortens_the_window_and_merges(spark):
     )
     query = LogQuery("logs", 30, newest, equals={"source": "s"}, drop=("p_row_id",))
     before = set(spark.read.parquet(f"{path}/data/logs").inputFiles())
+    assert not any("2024-01-10" in f for f in before)  # a day before the window of the second run
     third = collect_all(spark, [query], path, "2024-02-14 12:00:00").collect()
     assert [(r.title, r.n_logs, r.error) for r in third] == [("logs", 6, None)]
     rows = read_collected(spark, query, path, "2024-02-14 12:00:00").collect()
     assert sorted((r.id, r.extra) for r in rows) == [(6, None), (7, None), (8, None), (9, None), (50, None), (60, "x")]
-    assert before < set(spark.read.parquet(f"{path}/data/logs").inputFiles())  # nothing stored was rewritten
+    after = set(spark.read.parquet(f"{path}/data/logs").inputFiles())  # no stored file is written again
+    assert {f for f in before if "2024-01-1" not in f} < after and len(after - before) == 1
 
     # a run that finds nothing leaves the state alone
     collect_all(spark, [LogQuery("logs", 30, newest.limit(0))], path, "2024-02-15 00:00:00")
     assert states.get(states.load(spark, f"{path}/state"), "logs").first().last_run == "2024-02-14T12:00:00Z"
 
 
+def test_an_expired_id_may_return(spark):
+    path = new_path(spark, "t-returning")
+
+    def run(day, *rows):
+        table = spark.createDataFrame([(str(i), t) for i, t in rows], "id string, p_event_time string")
+        report = collect_all(spark, [LogQuery("logs", 5, table)], path, f"2024-01-{day:02d} 00:00:00").first()
+        stored = read_collected(spark, LogQuery("logs", 5, table), path, f"2024-01-{day:02d} 00:00:00")
+        return report.n_logs, sorted((r.id, r.p_event_time[8:10]) for r in stored.collect())
+
+    first, other = (1, "2024-01-01T12:00:00Z"), (2, "2024-01-02T12:00:00Z")
+    assert run(2, first, first) == (1, [("1", "01")])
+    assert run(3, first, other) == (2, [("1", "01"), ("2", "02")])
+    back = (1, "2024-01-19T12:00:00Z")
+    assert run(20, back) == (1, [("1", "19")])
+    assert run(21, back, (3, "2024-01-20T12:00:00Z")) == (2, [("1", "19"), ("3", "20")])
+    assert {f.split("collected_day=")[1][:10] for f in spark.read.parquet(f"{path}/data/logs").inputFiles()} == {"2024-01-19", "2024-01-20"}
+
+
+def test_pages_never_cut_a_key(spark):
+    df = spark.range(100).selectExpr("id", "id div 10 AS k").union(spark.sql("SELECT 100L, null"))
+    found = [[r.id for r in p.collect()] for p in logs.pages(df, "k", 25)]
+    assert sorted(i for p in found for i in p) == list(range(101)) and len(found) == 4
+    halves = list(logs.pages(spark.range(4000), "id", 4000, most_bytes=25_000))  # about 13 bytes a record
+    assert sum(p.count() for p in halves) == 4000 and len(halves) > 1
+
+
 def test_datasets_replace_only_their_log_type(spark, tmp_path):
     path = str(tmp_path / "d")
     logs.write_dataset(spark.createDataFrame([(1, "a"), (2, "b")], "x int, log_type string"), path)
@@ -162,7 +190,7 @@ def test_json_array_files_and_empty_input(spark, tmp_path):
 def test_pages_cover_the_table_once(spark):
     df = spark.range(2500).withColumnRenamed("id", "k")
     seen, after = [], None
-    while rows := [r.k for r in logs.page(df, "k", 1000, after).collect()]:
+    while rows := sorted(r.k for r in logs.page(df, "k", 1000, after).collect()):
         seen += rows
         after = rows[-1]
     assert seen == list(range(2500))

@@ -179,8 +179,11 @@ def links(nodes: DataFrame, longest: int = LONGEST) -> DataFrame:
         found.append(stage(dealt.mapInArrow(link_lists, "a long, b long"), "links"))
         if not more:
             break
+        # masks are made by rule, at most five times as many per level: a small table, whatever the input
+        open_masks = {row["mask"] for row in long.select("mask").distinct().collect()}
+        masks = [m for m in masks if signed(m) in open_masks]
         steps = [(signed(m), signed(child)) for m in masks for child in finer(m)]
-        below = spark.createDataFrame(steps, "mask long, child long")  # a few entries per level, whatever the input
+        below = spark.createDataFrame(steps, "mask long, child long")
         finer_lists = lists.join(long, ["mask", "value"], "left_semi").join(F.broadcast(below), "mask")
         lists = stage(finer_lists.select(F.col("child").alias("mask"), "fp", "node").distinct(), "lists")
         masks = sorted({child for m in masks for child in finer(m)})

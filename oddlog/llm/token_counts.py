@@ -26,6 +26,7 @@ from .common import slices
 
 MARK = "▁"
 ROOM = 1 << 18  # words whose counts a worker remembers
+LAST = {"": 1}  # what is left of a single space at the end of a text: the library's own mark, one token
 SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
 
@@ -46,7 +47,7 @@ class Counter:
         kept = [self.library.decode(ids) for ids in plain] == ["a  b ", "① ﬁ"]
         self.by_word = kept and not crossing and len(self.library.encode(" ")) == 1
         self.words = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+$")
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = dict(LAST)
 
     def __reduce__(self):
         return Counter, (self.model,)
@@ -63,8 +64,8 @@ class Counter:
         split = [self.split(text) if text else [] for text in texts]
         new = {word for words in split for word in words}.difference(self.known)
         if len(self.known) + len(new) > ROOM:
-            self.known = {}
-            new = {word for words in split for word in words}
+            self.known = dict(LAST)
+            new = {word for words in split for word in words}.difference(LAST)
         order = list(new)
         self.known.update(zip(order, map(len, self.library.encode(order, num_threads=1))))
         return [sum(map(self.known.__getitem__, words)) for words in split]

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import nested, stage, unnested
 
 SWEEPS = 10
+AT_ONCE = 5  # sweeps planned as one job
 RATE = 0.5
 TARGETS: dict[str, float | dict[str, float]] = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 FEW = 100_000  # cells up to which they are kept in one task and broadcast
@@ -62,13 +63,21 @@ def goal(dim: str, wanted: float | dict[str, float]) -> Column:
     return total * F.pow("mine", F.lit(float(wanted))) / F.sum(part).over(everything)
 
 
-def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], sweeps: int = SWEEPS) -> DataFrame:
-    """``cells`` (one column per dimension, tokens double) with ``factor``; cells without tokens have factor 1."""
-    fitted = cells.withColumn("fitted", F.col("tokens"))
+def rake(
+    cells: DataFrame, targets: dict[str, float | dict[str, float]], sweeps: int = SWEEPS, few: bool = False
+) -> DataFrame:
+    """``cells`` (one column per dimension, tokens double) with ``factor``; cells without tokens have factor 1.
+
+    ``few`` cells are kept in one task, which spares all shuffles. Lineage is cut every ``AT_ONCE`` sweeps.
+    """
+    fitted = (cells.coalesce(1) if few else cells).withColumn("fitted", F.col("tokens"))
     for dim, wanted in targets.items():
         fitted = fitted.withColumn("mine", F.sum("tokens").over(Window.partitionBy(dim)))
         fitted = fitted.withColumn(f"goal_{dim}", goal(dim, wanted)).drop("mine")
-    for _ in range(sweeps):
+    for sweep in range(sweeps):
+        if sweep and sweep % AT_ONCE == 0:
+            fitted = stage(fitted, "raked")
+            fitted = fitted.coalesce(1) if few else fitted
         for dim in targets:
             now = F.sum("fitted").over(Window.partitionBy(dim))
             fitted = fitted.withColumn("fitted", F.col("fitted") * F.coalesce(F.try_divide(F.col(f"goal_{dim}"), now), F.lit(0.0)))
@@ -107,7 +116,7 @@ def mix(
     cells = stage(cells, "cells")
     n, size = cells.agg(F.count("*"), F.sum(sum((F.octet_length(d) for d in dims), F.lit(0)))).first()
     few = n <= FEW and (size or 0) <= FEW_BYTES
-    factors = stage(rake(cells.coalesce(1) if few else cells, targets, sweeps), "factors")
+    factors = stage(rake(cells, targets, sweeps, few), "factors")
     right = factors.select(F.struct(*dims).alias("cell"), "factor")
     key = F.coalesce(F.col(id_col).cast("string"), F.col(text_col)).alias("key")
     marked = docs.select(nested(docs), key, described.alias("mixing"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import cached_property
+
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.names import c
 from ..functions.scoring import (
@@ -15,13 +18,16 @@ from ..functions.scoring import (
     rarity_level,
     z_score,
 )
+from ..session import BROADCAST_ROWS, fits
 from ..sources.models import Model
 from . import encode
 from .flatten import flatten, normalise_names, with_time_features
-from .forest import anomaly_score, path_lengths
+from .forest import anomaly_score, path_lengths, share_forest
+from .requests import BAD_JSON, read_requests
 from .route import missing_model, route
 
 FOREST_ROWS = 2_000_000  # node rows broadcast at a time, about 50 MB packed; more log types are scored in turns
+CORRUPT = "_corrupt_record"
 DEVIATION = (
     "struct<feature:string,type:string,value:string,mean:double,std:double,z_score:double,frequency:bigint,"
     "total_samples:bigint,rarity_score:double,deviation_level:string>"
@@ -29,9 +35,10 @@ DEVIATION = (
 
 
 class Scorer:
-    """A model made ready for scoring: slot plans on the driver, tables checked for broadcast.
+    """A model made ready for scoring: slot plans on the driver, tables checked for broadcast, forests shared.
 
-    What is read back here is one row per (log type, slot), at most ten slots each.
+    What is read back here is one row per (log type, slot), at most ten slots each, and the trees in checked portions.
+    Afterwards scoring is planned without a job.
     """
 
     def __init__(self, model: Model):
@@ -41,8 +48,10 @@ class Scorer:
         ).collect()
         self.slots = 1 + max((r.slot for r in rows), default=-1)
         self.rows = rows
-        self.log_types = sorted(r.log_type for r in model.models.select("log_type").collect())
-        self.small = model.values.count() <= encode.LOOKUP_ROWS
+        models = model.models.select("log_type", "psi").collect()
+        self.log_types = sorted(r.log_type for r in models)
+        self.psis = sorted({r.psi for r in models})
+        self.small = fits(model.values, encode.LOOKUP_ROWS, encode.LOOKUP_BYTES)
         self.parameters = self._parameters()
 
     def plan(self, slot: int, where) -> list[tuple[str, str]]:
@@ -67,8 +76,9 @@ class Scorer:
         return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
 
     def with_parameters(self, df: DataFrame, how: str) -> DataFrame:
-        """Attach the parameters; one row per configured log type, so the side is always broadcast."""
-        return df.join(F.broadcast(self.parameters), "log_type", how)
+        """Attach the parameters, one row per configured log type."""
+        few = len(self.log_types) <= BROADCAST_ROWS
+        return df.join(F.broadcast(self.parameters) if few else self.parameters, "log_type", how)
 
     def slot_values(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """Only ``keep``, the log type and the slots' raw values: ``text_i``, ``number_i`` and whether they are there.
@@ -121,8 +131,11 @@ class Scorer:
     def matrix(self) -> list[str]:
         return [f"x_{i}" for i in range(self.slots)]
 
-    def score(self, encoded: DataFrame) -> DataFrame:
-        """Add ``score``; forests too many to broadcast at once are applied one set of log types at a time."""
+    @cached_property
+    def forests(self) -> list[tuple[list[str], Broadcast]]:
+        """Sets of log types whose trees fit one broadcast, each shared once, at the first scoring."""
+        if not self.matrix:
+            return []
         counts = {r[0]: r[1] for r in self.model.forest.groupBy("log_type").count().collect()}
         sets: list[list[str]] = [[]]
         room = FOREST_ROWS
@@ -132,26 +145,26 @@ class Scorer:
                 room = FOREST_ROWS
             sets[-1].append(log_type)
             room -= counts.get(log_type, 0)
-        if len(sets) == 1:
-            path = path_lengths(encoded, self.model.forest, self.matrix)
-            return self._with_score(encoded, path)
-        parts = []
-        for group in sets:
-            part = encoded.where(c("log_type").isin(group))
-            parts.append(self._with_score(part, path_lengths(part, self._forest_of(group), self.matrix)))
+        trees = self.model.forest
+        parts = [trees] if len(sets) == 1 else [trees.where(F.col("log_type").isin(group)) for group in sets]
+        return [(group, share_forest(part, self.slots)) for group, part in zip(sets, parts)]
+
+    def score(self, encoded: DataFrame) -> DataFrame:
+        """Add ``score``; forests too many to broadcast at once are applied one set of log types at a time."""
+        if not self.forests:
+            return encoded.withColumn("score", F.lit(None).cast("double"))
+        if len(self.forests) == 1:
+            return self._with_score(encoded, path_lengths(self.forests[0][1], self.matrix))
         rest = encoded.where(c("log_type").isNull() | ~c("log_type").isin(self.log_types))
         out = rest.withColumn("score", F.lit(None).cast("double"))
-        for part in parts:
-            out = out.unionByName(part)
+        for group, packed in self.forests:
+            part = encoded.where(c("log_type").isin(group))
+            out = out.unionByName(self._with_score(part, path_lengths(packed, self.matrix)))
         return out
 
-    def _forest_of(self, group: list[str]) -> DataFrame:
-        return self.model.forest.where(F.col("log_type").isin(group))
-
     def _with_score(self, df: DataFrame, path: Column) -> DataFrame:
-        sizes = {r.psi for r in self.model.models.select("psi").distinct().collect()}
         normal = F.lit(None).cast("double")
-        for psi in sizes:
+        for psi in self.psis:
             normal = F.when(F.col("psi") == psi, F.lit(average_path(psi))).otherwise(normal)
         return df.withColumn("score", anomaly_score(path, F.when(normal > 0, normal).otherwise(1.0)))
 
@@ -242,14 +255,18 @@ def detect(
     explicit: str | None = None,
     keep: tuple[str, ...] = (),
     fill: str = "zero",
+    corrupt: str | None = CORRUPT,
     **routing,
 ) -> DataFrame:
-    """Score every event: one result row each, with an error text where no model fits.
+    """Score every event: one result row each, with an error text where no model fits or the text was no JSON.
 
+    ``corrupt`` names the column in which a JSON reader leaves text that it could not parse, if there is one.
     ``explicit`` names a column with the log type given by the caller, ``threshold`` a number or a column (a missing
     value means the default), ``keep`` the identifying columns to carry into the result.
     """
     scorer = model if isinstance(model, Scorer) else Scorer(model)
+    broken = corrupt is not None and corrupt in events.columns
+    kept, keep = keep, (*keep, corrupt) if broken else keep
     carried = {f"_keep_{k}": c(k) for k in dict.fromkeys([*keep, *([explicit] if explicit else [])])}
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     tagged = events.withColumns({**carried, "_threshold": F.coalesce(limit.cast("double"), F.lit(DEFAULT_THRESHOLD))})
@@ -261,7 +278,33 @@ def detect(
     held = [f"_keep_{k}" for k in keep]
     scored = scorer.score(scorer.encode(ready, [*held, "_threshold"], fill))
     out = results(scorer, scored, F.col("_threshold"), held)
-    return out.withColumnsRenamed({f"_keep_{k}": k for k in keep if k not in out.columns})
+    if broken:
+        text = F.col(f"_keep_{corrupt}")
+        out = out.withColumn("error", F.when(text.isNotNull(), BAD_JSON).otherwise(F.col("error"))).drop(f"_keep_{corrupt}")
+    return out.withColumnsRenamed({f"_keep_{k}": k for k in kept if k not in out.columns})
+
+
+def score_requests(
+    requests: DataFrame, body: str, event_schema: T.StructType, model: Model | Scorer, keep: tuple[str, ...] = (), **routing
+) -> DataFrame:
+    """Answer every request: checked, routed, scored and explained, or kept with what is wrong with it.
+
+    ``body`` holds the request text. One pass without a shuffle; bad requests are not told apart before the end.
+    """
+    asked = read_requests(requests.select(*[c(k) for k in keep], c(body)), body, event_schema)
+    own = {f"_request_{k}": c(k) for k in keep}
+    events = asked.select(
+        *[column.alias(name) for name, column in own.items()],
+        F.col("error").alias("_request_error"),
+        F.col("log_type").alias("_request_type"),
+        F.col("anomaly_threshold").alias("_request_limit"),
+        "event_data.*",
+    )
+    found = detect(
+        events, model, F.col("_request_limit"), "_request_type", (*own, "_request_error"), **routing
+    )
+    answered = found.withColumn("error", F.coalesce("_request_error", "error")).drop("_request_error")
+    return answered.withColumnsRenamed({f"_request_{k}": k for k in keep})
 
 
 def alerts(results: DataFrame) -> DataFrame:

@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import c
+from ..session import BROADCAST_BYTES, plan_bytes
 from .profile import as_number, as_text
 
 UNKNOWN = "unknown"
-LOOKUP_ROWS = 5_000_000  # lookups up to this many rows are broadcast, larger ones are joined by shuffle
+# lookups up to this size are broadcast, larger ones are joined by shuffle
+LOOKUP_ROWS = 5_000_000
+LOOKUP_BYTES = 128 << 20
 
 
 def fit_values(selected: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
@@ -24,7 +27,8 @@ def fit_values(selected: DataFrame, counts: DataFrame, by: list[str]) -> DataFra
     wanted = selected.where(F.col("is_category") | (F.col("type") == "categorical")).select(
         *[c(k) for k in keys], "slot", "is_category", (F.col("non_null") < F.col("rows")).alias("gaps")
     )
-    known = counts.join(F.broadcast(wanted), keys).select(*[c(k) for k in keys], "slot", "is_category", "value", "cnt")
+    few = F.broadcast(wanted) if plan_bytes(selected) <= BROADCAST_BYTES else wanted
+    known = counts.join(few, keys).select(*[c(k) for k in keys], "slot", "is_category", "value", "cnt")
     filler = wanted.where("is_category AND gaps").select(
         *[c(k) for k in keys], "slot", "is_category", F.lit(UNKNOWN).alias("value"), F.lit(0).cast("bigint").alias("cnt")
     )

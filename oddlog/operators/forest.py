@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import c
 from ..functions.scoring import average_path
-from ..session import join_side
+from ..session import BROADCAST_ROWS, join_side
 from .quantiles import exact_quantiles
 
 TREES, MAX_SAMPLES, CONTAMINATION, SEED = 100, 256, 0.1, 42  # fixed values
@@ -60,7 +61,8 @@ def draw_samples(
     spark = df.sparkSession
     draws = spark.createDataFrame(plan, "log_type string, _draw_p double, _draw_trees int, _draw_count int")
     key = F.xxhash64(*[c(k) for k in row_key]) if row_key else F.rand(seed)
-    keyed = df.withColumn("_draw_key", key).join(F.broadcast(draws), "log_type")
+    few = F.broadcast(draws) if len(plan) <= BROADCAST_ROWS else draws
+    keyed = df.withColumn("_draw_key", key).join(few, "log_type")
 
     def draw(r: Column) -> Column:
         u = uniform(F.col("_draw_key"), r, F.lit(seed))
@@ -162,15 +164,18 @@ def mean_path(packed: tuple[np.ndarray, np.ndarray, np.ndarray, int], x: np.ndar
     return total / len(feature)
 
 
-def path_lengths(df: DataFrame, forest: DataFrame, features: list[str], log_type: str = "log_type") -> Column:
-    """Column expression with the mean path length of each row.
+def share_forest(forest: DataFrame, width: int) -> Broadcast:
+    """A forest packed and sent to the executors once: at most 100 trees x 511 nodes per log type.
 
-    The forest goes to the executors as one broadcast value: at most 100 trees x 511 nodes per log type. Its size is
-    checked by the caller (:data:`oddlog.operators.detect.FOREST_ROWS`).
+    Its size is checked by the caller (:data:`oddlog.operators.detect.FOREST_ROWS`).
     """
+    return forest.sparkSession.sparkContext.broadcast(pack(forest.toPandas(), width))
+
+
+def path_lengths(packed: Broadcast, features: list[str], log_type: str = "log_type") -> Column:
+    """Column expression with the mean path length of each row in its log type's shared forest."""
     if not features:
         return F.lit(None).cast("double")
-    packed = df.sparkSession.sparkContext.broadcast(pack(forest.toPandas(), len(features)))
 
     @F.pandas_udf("double")
     def walk(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

@@ -9,6 +9,7 @@ Three steps, each over all columns at once:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -228,11 +229,17 @@ class Profile:
 
 
 def profile(
-    df: DataFrame, by: list[str], max_cardinality: int = MAX_CARDINALITY, columns: list[str] | None = None
+    df: DataFrame,
+    by: list[str],
+    max_cardinality: int = MAX_CARDINALITY,
+    columns: list[str] | None = None,
+    hold: Callable[[list[str]], DataFrame] | None = None,
 ) -> Profile:
     """Profile ``df`` per ``by`` and keep the candidate features with their statistics.
 
-    Which columns the second pass has to read is brought to the driver: one row per column.
+    Which columns the second pass has to read is brought to the driver: one row per column. ``hold`` may return a stored
+    copy of ``df`` with these columns, which counts and quantiles then read instead. Value counts are stored, as both
+    the statistics and the caller use them.
     """
     summary = classify(summarise(df, by, columns))
     limit = max_cardinality * APPROX_MARGIN
@@ -246,7 +253,9 @@ def profile(
     counted = sorted((r.feature for r in used if r.counted), key=position.get)
     measured = sorted((r.feature for r in used if r.measured), key=position.get)
 
-    counts = value_counts(df, by, counted, roles)
+    if hold is not None:
+        df = hold([n for n in df.columns if n in counted or n in measured])
+    counts = stage(value_counts(df, by, counted, roles), "value-counts")
     stats = categorical_stats(counts, by)
     joined = roles.join(stats, [*by, "feature"], "left")
     if measured:

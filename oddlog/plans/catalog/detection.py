@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ...operators import encode, forest as trees, reports
-from ...operators.detect import Scorer, alerts, detect
+from ...operators.detect import Scorer, alerts, detect, score_requests
 from ...operators.flatten import flatten, prepare
 from ...operators.profile import Profile, profile
 from ...operators.requests import read_requests
@@ -16,7 +14,7 @@ from ...operators.synth import synthesise
 from ...session import stage
 from ...sources.models import Model
 from .. import train
-from .registry import query, table
+from .registry import query, remembered, table
 from .views import K_SQL, events, fixed_sql, r6
 
 BY = ["log_type"]
@@ -106,13 +104,13 @@ res AS (
     END AS explanation FROM r)"""
 
 
-@lru_cache(maxsize=4)
+@remembered("events")
 def fixed_model(spark: SparkSession, folder: str) -> Model:
     """Statistics, selection and encoders learnt from the events; the forest is given."""
     raw = security_events(spark, folder)
     routed = flatten(raw).withColumn("log_type", route(flatten(raw), MODELS)).where("log_type IS NOT NULL")
     found = profile(prepare(routed), BY, columns=COLUMNS)
-    found = Profile(BY, stage(found.features, "profile"), stage(found.counts, "value-counts"))
+    found = Profile(BY, stage(found.features, "profile"), found.counts)
     features = stage(train.model_features(found), "features")
     values = stage(encode.fit_values(features, found.counts, BY), "values")
     sizes = features.groupBy("log_type").agg(F.max("rows").alias("training_samples"))
@@ -130,7 +128,7 @@ def fixed_model(spark: SparkSession, folder: str) -> Model:
     return Model(stage(models, "models"), features, values, forest)
 
 
-@lru_cache(maxsize=4)
+@remembered("events")
 def fixed_scorer(spark: SparkSession, folder: str) -> Scorer:
     return Scorer(fixed_model(spark, folder))
 
@@ -356,6 +354,39 @@ def request_validation(spark, folder):
     )
 
 
+REQUEST = "p_event_time string, eventsource string, user_id bigint, value double, tier string, agent string, props struct<k:bigint>"
+
+
+@query(
+    f"WITH {EVENTS_SQL}, q AS (SELECT *, CASE event_type WHEN 'click' THEN -0.35 WHEN 'view' THEN -0.2 END AS t,"
+    " CASE event_type WHEN 'purchase' THEN 'Invalid JSON in request body' WHEN 'signup' THEN"
+    " 'anomaly_threshold must be a number' WHEN 'error' THEN CASE WHEN user_id % 2 = 0 THEN 'Missing ''event_data'' in request'"
+    " ELSE 'No model available for log type: None' END END AS problem FROM res)"
+    " SELECT event_id, CASE WHEN problem IS NULL THEN log_type END AS log_type, CASE WHEN problem IS NULL THEN decision < t END AS"
+    " is_anomaly, CASE WHEN problem IS NULL THEN round(decision, 6) END AS anomaly_score, t::DOUBLE AS anomaly_threshold,"
+    " problem AS error FROM q"
+)
+def request_scoring(spark, folder):
+    """Requests with all four kinds of error among scored ones."""
+    kind = F.col("event_type")
+    raw = security_events(spark, folder).join(table(spark, folder, "events").select("event_id", "event_type"), "event_id")
+    event = F.struct(*T.StructType.fromDDL(REQUEST).names).alias("event_data")
+    limited = F.to_json(F.struct(event, F.lit(-0.35).alias("anomaly_threshold")))
+    body = (
+        F.when(kind == "click", limited)
+        .when(kind == "purchase", F.substring(limited, 1, 40))
+        .when(kind == "signup", F.to_json(F.struct(event, F.lit("low").alias("anomaly_threshold"))))
+        .when((kind == "error") & (F.col("user_id") % 2 == 0), F.lit('{"anomaly_threshold": 1}'))
+        .otherwise(F.to_json(F.struct(event)))
+    )
+    asked = raw.select("event_id", body.alias("body"))
+    schema = T.StructType.fromDDL(REQUEST)
+    found = score_requests(asked, "body", schema, fixed_scorer(spark, folder), ("event_id",))
+    return found.select(
+        "event_id", "log_type", "is_anomaly", r6("anomaly_score").alias("anomaly_score"), "anomaly_threshold", "error"
+    )
+
+
 def _u(purpose: str) -> str:
     return f"(('0x' || substr(md5('42:' || event_id || ':' || feature || ':{purpose}'), 1, 8))::BIGINT / 4294967296.0)"
 

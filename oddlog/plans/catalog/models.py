@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import SparkSession, functions as F
 
 from ...functions.names import c
@@ -13,7 +11,7 @@ from ...operators.profile import Profile, profile
 from ...session import join_side, new_path, stage
 from ...sources.models import Model
 from .. import train
-from .registry import query, table
+from .registry import query, remembered, table
 from .views import SCORED_SQL, VIEW_COLUMNS, candidates_sql, log_view, profile_sql, r6, selection_sql
 
 BY = ["log_type"]
@@ -27,16 +25,16 @@ SELECTED_SQL = (
 )
 
 
-@lru_cache(maxsize=4)
+@remembered("events")
 def _fitted(spark: SparkSession, folder: str) -> Model:
     return train.fit(log_view(spark, folder, TYPES), row_key=["event_id"], columns=VIEW_COLUMNS)
 
 
-@lru_cache(maxsize=4)
+@remembered("events")
 def _untrained(spark: SparkSession, folder: str) -> Model:
     """Feature and value tables only; enough to encode."""
     found = profile(log_view(spark, folder, TYPES), BY, columns=VIEW_COLUMNS)
-    found = Profile(BY, stage(found.features, "profile"), stage(found.counts, "value-counts"))
+    found = Profile(BY, stage(found.features, "profile"), found.counts)
     features = stage(train.model_features(found), "features")
     values = stage(encode.fit_values(features, found.counts, BY), "values")
     sizes = features.groupBy("log_type").agg(F.max("rows").alias("training_samples"))

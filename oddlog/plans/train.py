@@ -48,15 +48,23 @@ def fit(
 ) -> Model:
     """Train one isolation forest per log type.
 
-    The log table is read three times: moments, value counts with quantiles, and the draw; scoring the training rows
-    for the offset is the fourth. ``row_key`` names columns that identify an event, see
+    The log table is read for the moments, for the sketches of columns that may be categories, and once more for the
+    columns that can still become features. These are stored; value counts, quantiles, the draw and the scoring of
+    the training rows for the offset read the stored columns. ``row_key`` names columns that identify an event, see
     :func:`oddlog.operators.forest.draw_samples`; they are never features themselves unless listed in ``columns``.
     """
     view = training_view(logs, log_type, tuple(row_key or ()))
     candidates = columns or [n for n in view.columns if n != "log_type" and n not in (row_key or [])]
-    found = profile(view, BY, columns=candidates)
-    # both tables are small and used several times by the selection
-    found = Profile(BY, stage(found.features, "profile"), stage(found.counts, "value-counts"))
+    keys = [n for n in row_key or []]
+    held: list[DataFrame] = []
+
+    def hold(names: list[str]) -> DataFrame:
+        held.append(stage(view.select("log_type", *[c(n) for n in dict.fromkeys([*keys, *names])]), "candidates"))
+        return held[0]
+
+    found = profile(view, BY, columns=candidates, hold=hold)
+    # small and used several times by the selection
+    found = Profile(BY, stage(found.features, "profile"), found.counts)
     features = stage(model_features(found, target), "features")
     values = stage(encode.fit_values(features, found.counts, BY), "values")
 
@@ -70,7 +78,7 @@ def fit(
         return untrained(models, features, values)
     scorer = Scorer(Model(models, features, values, features))
     used = sorted({r.feature for r in scorer.rows})
-    narrow = view.select("log_type", *[c(n) for n in dict.fromkeys([*(row_key or []), *used])])
+    narrow = held[0].select("log_type", *[c(n) for n in dict.fromkeys([*keys, *used])])
     drawn = trees.draw_samples(narrow, rows, row_key, n_trees, seed)
     grown = stage(trees.fit_forest(scorer.encode(drawn, ["_tree"], "median", "inner"), scorer.matrix, seed), "forest")
 

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-BROADCAST_ROWS = 500_000  # narrow rows, some tens of MB
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20  # of a table's files
 
 
 def get_spark(app: str = "oddlog", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
@@ -62,11 +63,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes the optimizer expects; for a table read from files, their size. Needs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table is small enough to be broadcast, by its bytes and its rows."""
+    return plan_bytes(df) <= size and df.count() <= rows
+
+
 def join_side(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A derived table made ready to be joined to a large one: written once, and broadcast if it proved small.
 
     Left to itself, adaptive execution would learn the size only after it had shuffled the large side as well. Beyond
-    ``limit`` rows the table is joined by shuffle, where adaptive execution splits skewed keys.
+    ``limit`` rows or ``BROADCAST_BYTES`` the table is joined by shuffle, where adaptive execution splits skewed keys.
     """
     staged = stage(df, label)
-    return F.broadcast(staged) if staged.count() <= limit else staged
+    return F.broadcast(staged) if fits(staged, limit) else staged

@@ -11,12 +11,24 @@ from ..operators.flatten import record_size
 CHUNK_BYTES, SAMPLE_ROWS, MIN_CHUNK, SMALLEST_CHUNK = 80_000_000, 1000, 1000, 500
 
 
-def read_json_logs(spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool = True) -> DataFrame:
+def with_corrupt(schema: T.StructType, corrupt: str | None) -> T.StructType:
+    """``schema`` with a text column for what is no JSON."""
+    if corrupt is None or corrupt in schema.names:
+        return schema
+    return T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+
+
+def read_json_logs(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool = True, corrupt: str | None = None
+) -> DataFrame:
     """JSON logs, one object per line; ``lines=False`` for files holding one array. No rows is an error.
 
-    Files of lines are split across tasks, a file holding one array is read by a single task.
+    Files of lines are split across tasks, a file holding one array is read by a single task. ``corrupt`` names a column
+    for the text of lines that cannot be parsed, which detection reports as such.
     """
-    reader = spark.read.schema(schema) if schema else spark.read
+    reader = spark.read.schema(with_corrupt(schema, corrupt)) if schema else spark.read
+    if corrupt:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
     df = reader.option("multiLine", str(not lines).lower()).json(path)
     if not df.columns or df.isEmpty():
         raise ValueError(f"no data found in {path}")

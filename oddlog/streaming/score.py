@@ -7,11 +7,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scoring import DEFAULT_THRESHOLD
 from ..operators.detect import Scorer, alerts, detect
+from ..sources.logs import with_corrupt
 from ..sources.models import Model
 
 
-def read_events(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", **options) -> DataFrame:
-    """A stream of event files; the schema must be given, a stream cannot look ahead."""
+def read_events(
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", corrupt: str | None = None, **options
+) -> DataFrame:
+    """A stream of event files; the schema must be given, a stream cannot look ahead.
+
+    ``corrupt`` names a column for text that is no JSON; detection gives such events their own error.
+    """
+    if corrupt:
+        schema, options = with_corrupt(schema, corrupt), {**options, "columnNameOfCorruptRecord": corrupt}
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
 
 

@@ -5,13 +5,15 @@ import pytest
 from pyspark.sql import Window, functions as F, types as T
 
 from oddlog.operators import detect as detection
-from oddlog.operators.detect import Scorer, alerts, detect
+from oddlog.operators.detect import Scorer, alerts, detect, score_requests
+from oddlog.operators.forest import share_forest
 from oddlog.operators.reports import threshold_sweep
 from oddlog.operators.requests import read_requests
 from oddlog.operators.route import route
 from oddlog.operators.synth import synthesise
 from oddlog.plans import train
 from oddlog.session import new_path
+from oddlog.sources.logs import read_json_logs
 from oddlog.sources.models import Model
 from oddlog.streaming.score import detect_stream, read_events, write_results
 
@@ -139,6 +141,45 @@ def test_shuffled_lookup_gives_the_same(monkeypatch, model, scorer, logs):
     assert dict(detect(logs, large, keep=("p_row_id",)).select("p_row_id", "anomaly_score").collect()) == want
 
 
+def test_planning_a_detection_needs_no_job(scorer, logs):
+    detect(logs, scorer).limit(1).collect()
+    tracker = logs.sparkSession.sparkContext.statusTracker()
+    logs.sparkSession.sparkContext.setJobGroup("planning", "")
+    detect(logs, scorer)._jdf.queryExecution().executedPlan()
+    assert not tracker.getJobIdsForGroup("planning")
+    logs.sparkSession.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_corrupt_text_is_an_error_of_its_own(spark, scorer, tmp_path):
+    (tmp_path / "x.json").write_text('{"eventsource": "iam.amazonaws.com", "bytes": 7}\n{"eventsource": "iam.amaz\n')
+    schema = T.StructType.fromDDL(EVENT)
+    read = read_json_logs(spark, str(tmp_path), schema, corrupt="_corrupt_record").cache()
+    rows = detect(read, scorer, keep=("bytes",)).collect()
+    assert {(r.bytes, r.error) for r in rows} == {(7, None), (None, "Invalid JSON in request body")}
+
+
+def test_requests_are_answered_or_kept_with_their_error(spark, scorer):
+    bodies = [
+        (1, '{"event_data":{"eventsource":"iam.amazonaws.com","bytes":900}}'),
+        (2, '{"event_data":{"eventsource":"iam.amazonaws.com"},"log_type":"none such","anomaly_threshold":-0.5}'),
+        (3, "{"), (4, "{}"), (5, '{"event_data":{"bytes":1},"anomaly_threshold":"x"}'),
+    ]
+    asked = spark.createDataFrame(bodies, "id int, body string")
+    got = {r.id: r for r in score_requests(asked, "body", T.StructType.fromDDL(EVENT), scorer, ("id",)).collect()}
+    assert got[1].error is None and got[1].anomaly_threshold == -0.2 and got[1].explanation
+    assert [got[i].error for i in (2, 3, 4, 5)] == [
+        "No model available for log type: none such", "Invalid JSON in request body", "Missing 'event_data' in request",
+        "anomaly_threshold must be a number",
+    ]
+
+
+def test_a_forest_of_another_selection_is_refused(spark, scorer):
+    nodes = [("t", 0, 1, 9, 0.5, None), ("t", 0, 2, None, None, 1.0), ("t", 0, 3, None, None, 1.0)]
+    forest = spark.createDataFrame(nodes, "log_type string, tree int, node int, feature int, threshold double, path_length double")
+    with pytest.raises(ValueError, match="splits on feature 9"):
+        share_forest(forest, 3)
+
+
 def test_thresholds_are_monotone(scorer, logs):
     sweep = threshold_sweep(detect(logs, scorer)).orderBy("threshold").collect()
     assert [r.threshold for r in sweep] == [-0.5, -0.3, -0.1, 0.0]

@@ -26,7 +26,7 @@ def test_vector_walk_equals_node_walk():
     x = rng.normal(size=(300, 4))
     x[:, 3] = 1.0
     trees = pd.concat([forest.grow("t", i, x[rng.choice(300, size)]) for i, size in enumerate([256, 256, 100, 3, 1])])
-    packed = forest.pack(trees, 2)["t"]
+    packed = forest.pack(trees, 4)["t"]
     got = forest.mean_path(packed, x)
     total = np.zeros(len(x))
     for _, rows in trees.groupby("tree"):

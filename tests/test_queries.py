@@ -17,7 +17,7 @@ import check_queries  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 
-SHORT = ["detect_batch", "feature_matrix", "incremental_merge", "numeric_profile", "schema_union", "synthetic_events", "top_features"]
+SHORT = ["collect_returning_id", "paged_read_all", "request_scoring", "value_count_order", "detect_batch", "feature_matrix", "incremental_merge", "numeric_profile", "schema_union", "synthetic_events", "top_features"]
 NAMES = list(entry.queries()) if os.environ.get("ALL_QUERIES") else SHORT
 
 
@@ -28,8 +28,31 @@ def test_query_equals_sql(spark, name):
 
 
 def test_entry(spark):
-    df = entry.entry(spark)
-    assert df.count() == 1000 and "explanation" in df.columns
+    rows = entry.entry(spark).collect()
+    assert len(rows) == 1000 and sum(r.explanation is not None for r in rows) == 600
+
+
+@pytest.mark.parametrize("name", ["detect_batch", "feature_deviations", "request_scoring"])
+def test_scoring_equals_sql_on_the_smallest_tables(spark, name):
+    ok, message = check_queries.compare(name, entry.queries()[name], entry.oracle_sql()[name], spark, entry.SMOKE_DIR)
+    assert ok, message
+
+
+def test_remembered_models_follow_the_data(spark, tmp_path):
+    from oddlog.plans.catalog.registry import remembered, table
+
+    built = []
+
+    @remembered("events")
+    def largest(session, folder):
+        built.append(folder)
+        return table(session, folder, "events").selectExpr("max(id)").first()[0]
+
+    folder = str(tmp_path)
+    spark.range(5).write.parquet(f"{folder}/events.parquet")
+    assert [largest(spark, folder), largest(spark, folder)] == [4, 4] and len(built) == 1
+    spark.range(9).write.mode("overwrite").parquet(f"{folder}/events.parquet")
+    assert largest(spark, folder) == 8 and len(built) == 2
 
 
 def test_every_oracle_has_a_query():

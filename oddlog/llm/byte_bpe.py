@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -27,6 +28,7 @@ MASK = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
 MEMO = 1 << 19  # pre-tokens a worker remembers
+PORTION = 2 << 20  # bytes of text encoded together
 LONG = 1 << 20  # characters from which a text is pre-tokenised piecewise
 
 
@@ -173,9 +175,9 @@ class Vocabulary:
         sizes = np.array(self.sizes, np.int64)[codes] if words else np.zeros(0, np.int64)
         known = np.array(self.known, np.int32)[ragged(np.array(self.starts, np.int64)[codes], sizes)] if words else []
         self.memo: dict[str, int] = dict(zip(words, range(len(words))))
-        self.starts: list[int] = (np.cumsum(sizes) - sizes).tolist()
-        self.sizes: list[int] = sizes.tolist()
-        self.known: list[int] = list(known)
+        self.starts = array("q", (np.cumsum(sizes) - sizes).tolist())
+        self.sizes = array("q", sizes.tolist())
+        self.known = array("i", known)
 
     def whole(self, keys: list[bytes]) -> np.ndarray:
         """Id of every key that is a token as a whole, otherwise -1."""
@@ -282,7 +284,7 @@ class Vocabulary:
             for portion in self.words(text):
                 waiting.extend(portion)
                 pending.append((doc, len(portion)))
-                if len(waiting) > 1 << 20:
+                if len(waiting) > 1 << 19:
                     flush()
         if pending:
             flush()
@@ -308,7 +310,7 @@ def encoder(spark: SparkSession, path: str, pattern: str):
     def ids(texts: pa.Array) -> pa.Array:
         words = shared.value
         parts, counts = [], []
-        for portion in slices(texts):
+        for portion in slices(texts, PORTION):
             found, sizes = words.encode(portion)
             parts.append(found)
             counts += sizes

@@ -16,7 +16,7 @@ from oddlog.session import stage
 LETTERS = re.compile(r"[^\W\d_]+")
 SLICE_BYTES = 4 << 20  # text handled at once by a Python task
 
-__all__ = ["LETTERS", "table", "stage", "released", "fold", "slices", "ragged", "nested", "unnested", "drawn", "Scores"]
+__all__ = ["LETTERS", "table", "stage", "released", "fold", "slices", "ragged", "batch", "nested", "unnested", "drawn", "Scores"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - before, lengths)
 
 
+def batch(kinds: dict[str, pa.DataType], columns) -> pa.RecordBatch:
+    """A record batch from columns in the order of ``kinds``."""
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
+
+
 def nested(rows: DataFrame) -> Column:
     """All columns of a row in one struct, so that an operator's own columns cannot clash with them."""
     return F.struct(*(rows[c] for c in rows.columns)).alias("row")

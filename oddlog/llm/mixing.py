@@ -80,14 +80,16 @@ def rake(
             fitted = fitted.coalesce(1) if few else fitted
         for dim in targets:
             now = F.sum("fitted").over(Window.partitionBy(dim))
-            fitted = fitted.withColumn("fitted", F.col("fitted") * F.coalesce(F.try_divide(F.col(f"goal_{dim}"), now), F.lit(0.0)))
+            step = F.coalesce(F.try_divide(F.col(f"goal_{dim}"), now), F.lit(0.0))
+            fitted = fitted.withColumn("fitted", F.col("fitted") * step)
     factor = F.coalesce(F.try_divide("fitted", "tokens"), F.lit(1.0))
     return fitted.select(*targets, "tokens", factor.alias("factor"))
 
 
 def draw(key: Column) -> Column:
     """A number from 0 to 1 that depends on the key only."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(key, F.lit("")), F.lit(":mix")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    digest = F.md5(F.concat(F.coalesce(key, F.lit("")), F.lit(":mix")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
 def mix(
@@ -109,18 +111,22 @@ def mix(
     own = [d for d in targets if d not in docs.columns and d != "topic"]
     if own:
         raise ValueError(f"no such columns: {own}")
-    dims = {d: topic(F.col(text_col)) if d not in docs.columns else F.coalesce(F.col(d).cast("string"), F.lit(NONE)) for d in targets}
+    dims = {
+        d: F.coalesce(F.col(d).cast("string"), F.lit(NONE)) if d in docs.columns else topic(F.col(text_col)) for d in targets
+    }
     weight = F.col(token_col).cast("long") if token_col else tokens(F.col(text_col))
-    described = F.struct(*(c.alias(d) for d, c in dims.items()), F.coalesce(weight, F.lit(0)).cast("double").alias("tokens"))
-    cells = docs.select(described.alias("m")).groupBy(*(F.col(f"m.{d}").alias(d) for d in dims)).agg(F.sum("m.tokens").alias("tokens"))
-    cells = stage(cells, "cells")
+    amount = F.coalesce(weight, F.lit(0)).cast("double").alias("tokens")
+    described = F.struct(*(c.alias(d) for d, c in dims.items()), amount)
+    cells = docs.select(described.alias("m")).groupBy(*(F.col(f"m.{d}").alias(d) for d in dims))
+    cells = stage(cells.agg(F.sum("m.tokens").alias("tokens")), "cells")
     n, size = cells.agg(F.count("*"), F.sum(sum((F.octet_length(d) for d in dims), F.lit(0)))).first()
     few = n <= FEW and (size or 0) <= FEW_BYTES
     factors = stage(rake(cells, targets, sweeps, few), "factors")
     right = factors.select(F.struct(*dims).alias("cell"), "factor")
     key = F.coalesce(F.col(id_col).cast("string"), F.col(text_col)).alias("key")
     marked = docs.select(nested(docs), key, described.alias("mixing"))
-    joined = marked.join(F.broadcast(right) if few else right, F.struct(*(F.col(f"mixing.{d}").alias(d) for d in dims)) == F.col("cell"))
+    own_cell = F.struct(*(F.col(f"mixing.{d}").alias(d) for d in dims))
+    joined = marked.join(F.broadcast(right) if few else right, own_cell == F.col("cell"))
     chance = F.least(F.lit(1.0), F.lit(rate) * F.col("factor"))
     kept = joined.where(draw(F.col("key")) < chance)
     more = F.struct("mixing.*", chance.alias("probability"), (F.lit(rate) * F.col("factor") / chance).alias("weight"))

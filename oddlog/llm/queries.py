@@ -57,7 +57,8 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held_out = fold(F.col("doc_id"), 3, 1)
     detector = toxicity.fit(docs.where(~held_out), table(spark, folder, "labels").where(~held_out))
-    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.probability(docs, detector, F.col("text")).alias("score"))
+    score = toxicity.probability(docs, detector, F.col("text")).alias("score")
+    scored = docs.select("doc_id", held_out.alias("held_out"), score)
     return scored.withColumn("predicted", (F.col("score") >= toxicity.LIMIT).cast("int"))
 
 
@@ -122,4 +123,5 @@ def op3_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_templates(spark: SparkSession, folder: str) -> DataFrame:
     pages = templates.extract(table(spark, folder, "pages"))
-    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+    size = F.char_length("main_text").cast("long").alias("n_chars")
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), size)

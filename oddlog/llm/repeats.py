@@ -310,17 +310,19 @@ def extents_of(docs: DataFrame, unique: bool, length: int, gram: int, most: int)
     counts = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("several"))
     counts = stage(counts.where("n > 1").select("gram", "several"), "grams")  # staged, so that the join can split hot ones
     repeated = stage(found.join(counts, "gram"), "repeated")
-    contexts = repeated.groupBy("gram", "context", "several").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"))
-    contexts = stage(contexts, "contexts")
+    one = F.min(F.struct("uid", "at")).alias("one")
+    contexts = stage(repeated.groupBy("gram", "context", "several").agg(F.count("*").alias("n"), one), "contexts")
     place, right = F.shiftright("one.at", 16), F.col("one.at").bitwiseAND(0xFFFF).cast("int")
     left = F.least(place, F.lit(length - gram)).cast("int")
     nothing = [F.lit(None).cast("int").alias(c) for c in ("part", "part_left", "part_length")]
     same = contexts.where((F.col("n") > 1) & (left + right >= length))
     same = same.select("gram", "context", left.alias("left"), right.alias("right"), *nothing)
-    asked = contexts.where("several").select(F.col("one.uid").alias("uid"), F.struct(F.col("one.at").alias("at"), "gram", "context").alias("w"))
+    wanted = F.struct(F.col("one.at").alias("at"), "gram", "context").alias("w")
+    asked = contexts.where("several").select(F.col("one.uid").alias("uid"), wanted)
     asked = asked.groupBy("uid").agg(F.collect_list("w").alias("wanted"))  # at most the anchors of one text
     texts = docs if unique else docs.groupBy("uid").agg(F.first("text").alias("text"))
-    bytes_of = texts.join(asked, "uid").select("text", "wanted").mapInArrow(context_rows(length, gram), "gram long, context long, left int, bytes binary")
+    bytes_of = texts.join(asked, "uid").select("text", "wanted")
+    bytes_of = bytes_of.mapInArrow(context_rows(length, gram), "gram long, context long, left int, bytes binary")
     big = stage(contexts.where("several").groupBy("gram").count().where(F.col("count") > most).select("gram"), "big")
     schema = "gram long, context long, left int, right int, part int, part_left int, part_length int"
     more = not big.isEmpty()
@@ -333,13 +335,18 @@ def extents_of(docs: DataFrame, unique: bool, length: int, gram: int, most: int)
         counted = windows_counted(bytes_of.join(big, "gram", "left_semi"), length, gram)
         extents = extents.unionByName(counted.select("*", *nothing))
     extents = extents.groupBy("gram", "context").agg(
-        F.max("left").alias("left"), F.max("right").alias("right"), F.max(F.struct("part_length", "part_left", "part")).alias("group")
+        F.max("left").alias("left"),
+        F.max("right").alias("right"),
+        F.max(F.struct("part_length", "part_left", "part")).alias("group"),
     )
     return repeated, stage(extents, "extents")
 
 
 def spans(docs: DataFrame, unique: bool, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """(uid, spans) of ``docs`` (uid, text): the repeated stretches (start, end in bytes) of each text that has any, unordered and overlapping."""
+    """(uid, spans) of ``docs`` (uid, text): repeated stretches (start, end in bytes) of each text that has any.
+
+    They are in no order and may overlap.
+    """
     repeated, extents = extents_of(docs, unique, length, gram, most)
     place = F.shiftright("at", 16)
     hits = repeated.join(extents, ["gram", "context"])
@@ -360,7 +367,9 @@ def repeat_groups(
     whole = F.col("group.part").isNull()
     hits = repeated.join(extents, ["gram", "context"])
     hits = hits.select(
-        F.when(whole, F.xxhash64("gram", "context")).otherwise(F.xxhash64("gram", "group.part", "group.part_length")).alias("repeat"),
+        F.when(whole, F.xxhash64("gram", "context"))
+        .otherwise(F.xxhash64("gram", "group.part", "group.part_length"))
+        .alias("repeat"),
         F.when(whole, F.col("left") + F.col("right")).otherwise(F.col("group.part_length")).alias("length"),
         "uid",
         (F.shiftright("at", 16) - F.when(whole, F.col("left")).otherwise(F.col("group.part_left"))).alias("start"),

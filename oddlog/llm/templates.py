@@ -54,6 +54,7 @@ ASIDE_WORDS = set(
     " comment comments reply replies discussion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header"
     " masthead share sharing social related newsletter subscribe popup modal widget pagination pager login search".split()
 )
+TEXTUAL = ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")  # hold text, but are no place for an article
 ROOMS = {"article": 3, "main": 2}
 
 
@@ -175,7 +176,7 @@ def best_slot(found) -> str | None:
             if not element.aside:
                 mass[element.path] += len(text) - 2 * len(linked)
                 rooms[element.path] = ROOMS.get(element.path.rsplit("/", 1)[-1].split(".")[0], 0)
-    containers = [p for p in mass if p.rsplit("/", 1)[-1].split(".")[0] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")]
+    containers = [p for p in mass if p.rsplit("/", 1)[-1].split(".")[0] not in TEXTUAL]
     return max(containers, key=lambda p: (rooms[p], mass[p], len(p), p), default=None) or None
 
 
@@ -184,7 +185,11 @@ def main_text(page: str, slot: str | None) -> str:
     found, counts = blocks(page)
     if slot not in counts:
         slot = best_slot(found)
-    lines = [tidy(text) for elements, text, _ in found if (slot is None or any(e.path == slot for e in elements)) and not (elements and elements[-1].aside)]
+    lines = []
+    for elements, text, _ in found:
+        inside = slot is None or any(e.path == slot for e in elements)
+        if inside and not (elements and elements[-1].aside):
+            lines.append(tidy(text))
     return "\n".join(line for line in lines if line)
 
 
@@ -218,7 +223,8 @@ def template(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         F.max("t.aside").alias("aside"),
     )
     alike = ["host", "vector", "pages", "n"]
-    classes = per_token.groupBy(*alike).agg(F.count("*").alias("tokens"), F.collect_list(F.struct("path", "mass", "aside")).alias("members"))
+    members = F.collect_list(F.struct("path", "mass", "aside")).alias("members")
+    classes = per_token.groupBy(*alike).agg(F.count("*").alias("tokens"), members)
     valid = classes.where((F.col("tokens") >= TOKENS) & (F.col("pages") >= PAGES))
     nested = valid.select("host", F.col("vector").alias("class"), "tokens", "pages", F.explode("members").alias("m"))
     return nested.select("host", "m.path", "class", "tokens", "pages", "m.mass", "m.aside")
@@ -229,7 +235,7 @@ def main_slots(tokens: DataFrame) -> DataFrame:
     last = F.regexp_extract("path", r"([^/.]+)(?:\.[^/]*)?$", 1)
     room = F.create_map(*(F.lit(x) for pair in ROOMS.items() for x in pair))
     named = tokens.where(~F.col("aside")).withColumn("room", F.coalesce(room[last], F.lit(0)))
-    named = named.where(~last.isin("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "html"))
+    named = named.where(~last.isin(*TEXTUAL, "html"))
     best = F.max_by("path", F.struct("room", "mass", F.length("path").alias("depth"), "path"))
     return named.groupBy("host").agg(best.alias("slot"))
 

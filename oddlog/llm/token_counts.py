@@ -110,7 +110,8 @@ def add_misses(docs: DataFrame, model: bytes, path: str, text_col: str = "text")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(digest(text).alias("digest"), text.alias("text"))
     misses = keyed.join(mine, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
-    counted = misses.select(F.lit(version(model)).alias("tokenizer"), "digest", counter(spark, model)(F.col("text")).alias("n_tokens"))
+    count = counter(spark, model)(F.col("text")).alias("n_tokens")
+    counted = misses.select(F.lit(version(model)).alias("tokenizer"), "digest", count)
     counted.write.mode("append").parquet(path)
 
 
@@ -127,7 +128,8 @@ def count_tokens(
         model = file.read()
     path = cache or new_path(spark, "token-counts")
     add_misses(docs, model, path, text_col)
-    stored = read_cache(spark, path).where(F.col("tokenizer") == version(model)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    mine = read_cache(spark, path).where(F.col("tokenizer") == version(model))
+    stored = mine.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"),

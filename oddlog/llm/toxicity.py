@@ -1,9 +1,10 @@
 """Toxic passages: maximum-scoring segments over token log-odds, judged by extreme-value statistics.
 
-A token is a word in lower case. Its score is the log of how much more often toxic documents use it than clean ones,
-with a Dirichlet prior on both rates. The prior is informative: an entry's prior is what its shorter spelling shows
-(the word, then its first 6, 5, 4, 3 characters, then no preference), so an unseen word is scored by its beginning.
-``DRIFT`` is subtracted from every score, which keeps the expected score of clean text negative.
+A token is a word in lower case. Its score is the log of how many more toxic documents use it than clean ones, with a
+Dirichlet prior on both rates; a word that a text repeats counts where it first occurs. The prior is informative: an
+entry's prior is what its shorter spelling shows (the word, then its first 6, 5, 4, 3 characters, then no preference),
+so an unseen word is scored by its beginning. ``DRIFT`` is subtracted from every score, which keeps the expected score
+of clean text negative.
 
 One linear scan finds all maximal-scoring segments of a document (Ruzzo and Tompa 1999). For a segment of score S in a
 text of n tokens, chance gives about E = K n exp(-lambda S) segments as good (Karlin and Altschul 1990). lambda is the
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LETTERS, Scores, drawn, slices, stage
+from .common import LETTERS, Scores, batch, drawn, slices, stage
 
 SAMPLE = 24_000
 ENTRIES = 150_000
@@ -35,6 +36,7 @@ PRIOR = 4.0  # weight of the shorter spelling, in tokens
 DRIFT = 1.0
 SIGNIFICANT = 0.05
 LIMIT = 0.7
+COUNTED = {"toxic": pa.int32(), "entry": pa.string(), "n": pa.int64()}
 BIN = 0.05  # width of the bins in which scores of clean tokens are counted
 
 
@@ -63,9 +65,14 @@ class LogOdds:
         return np.array([math.log(ratio) - DRIFT])
 
     def scores(self, words: list[str]) -> np.ndarray:
+        """Scores of a text's tokens: a word tells something where it first occurs, its repetitions tell nothing."""
         if not hasattr(self, "kept"):
             self.kept = Scores(1, self.score)
-        return self.kept.of(words)[:, 0] if words else np.zeros(0)
+        out = np.full(len(words), -DRIFT)
+        if words:
+            first = dict(zip(reversed(words), range(len(words) - 1, -1, -1)))
+            out[list(first.values())] = self.kept.of(list(first))[:, 0]
+        return out
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -127,14 +134,14 @@ class Detector:
 
 
 def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of labelled texts (toxic, text), counted batch by batch; ``""`` counts the tokens."""
-    for batch in batches:
+    """Entries of labelled texts (toxic, text), a word once per text, batch by batch; ``""`` counts the tokens."""
+    for rows in batches:
         words: tuple[Counter, Counter] = (Counter(), Counter())
-        marks = batch.column(0).to_pylist()
+        marks = rows.column(0).to_pylist()
         at = 0
-        for part in slices(batch.column(1)):
+        for part in slices(rows.column(1)):
             for text in part:
-                words[marks[at]].update(LETTERS.findall(text.lower()))
+                words[marks[at]].update(set(LETTERS.findall(text.lower())))
                 at += 1
         for mark in (0, 1):
             entries: Counter = Counter()
@@ -142,9 +149,7 @@ def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 entries[""] += n
                 for entry in spellings(word):
                     entries[entry] += n
-            names = ["toxic", "entry", "n"]
-            columns = [pa.array([mark] * len(entries), pa.int32()), pa.array(list(entries), pa.string()), pa.array(list(entries.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield batch(COUNTED, ([mark] * len(entries), list(entries), list(entries.values())))
 
 
 def root_of(values: np.ndarray, weights: np.ndarray) -> float:
@@ -255,8 +260,8 @@ def passages(docs: DataFrame, detector: Detector, text: Column) -> Column:
 
     @F.arrow_udf("array<struct<start:long,end:long,worth:double>>")
     def found(texts: pa.Array) -> pa.Array:
-        rows = ([dict(zip(("start", "end", "worth"), p)) for p in shared.value.passages(t)] for part in slices(texts) for t in part)
-        return pa.array(list(rows), kind)
+        every = (shared.value.passages(t) for part in slices(texts) for t in part)
+        return pa.array([[dict(zip(("start", "end", "worth"), p)) for p in one] for one in every], kind)
 
     return found(text)
 

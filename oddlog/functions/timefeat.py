@@ -14,8 +14,13 @@ OFFSET = r"([+-])(\d{2}):?(\d{2})$"
 
 
 def wall_clock(col: Column, dtype: T.DataType) -> Column:
-    """The date and time as written, null when unparseable. Numbers are not read as epochs."""
-    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+    """The date and time as written, null when unparseable. Numbers are not read as epochs.
+
+    A timestamp with a zone has none written; it is read in UTC, whatever the session's zone.
+    """
+    if isinstance(dtype, T.TimestampType):
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), col.cast("timestamp_ntz"))
+    if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
         return col.cast("timestamp_ntz")
     if isinstance(dtype, T.StringType):
         return col.try_cast("timestamp_ntz")

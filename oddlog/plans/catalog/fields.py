@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ...functions import scoring, timefeat
 from ...functions.names import is_port
@@ -261,8 +261,9 @@ def _rarity_of_customers(spark, folder):
     """Rarity of every order's customer among the users of the event log; customers without events are unseen."""
     ev, orders = table(spark, folder, "events"), table(spark, folder, "orders")
     counts = ev.groupBy(F.col("user_id").alias("o_custkey")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.lit(ev.count())
-    return orders.join(counts, "o_custkey", "left").select("o_orderkey", scoring.rarity(F.col("n"), total).alias("r"))
+    total = F.broadcast(ev.agg(F.count(F.lit(1)).alias("total")))  # one row
+    seen = orders.join(join_side(counts, "counts"), "o_custkey", "left").crossJoin(total)
+    return seen.select("o_orderkey", scoring.rarity(F.col("n"), F.col("total")).alias("r"))
 
 
 @query(f"SELECT o_orderkey, round(r, 6) AS rarity_score FROM ({RARITY_SQL})")
@@ -280,7 +281,8 @@ def rarity(spark, folder):
 def rarity_level(spark, folder):
     lines = table(spark, folder, "lineitem").withColumn("big", F.col("l_quantity") >= 45)
     counts = lines.groupBy("l_returnflag", "big").agg(F.count(F.lit(1)).alias("n"))
-    score = scoring.rarity(F.col("n"), F.lit(lines.count()))
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy()))  # two rows per flag
+    score = scoring.rarity(F.col("n"), F.col("total"))
     return lines.join(join_side(counts, "counts"), ["l_returnflag", "big"]).select(
         "l_orderkey", "l_linenumber", scoring.rarity_level(score).alias("level")
     )

@@ -88,3 +88,16 @@ def test_canonical_text(spark):
     assert one(spark, "double", 443.0, lambda s: canonical_text(s, T.DoubleType())) == "443"
     assert one(spark, "double", 1.5, lambda s: canonical_text(s, T.DoubleType())) == "1.5"
     assert one(spark, "int", 443, lambda s: canonical_text(s, T.IntegerType())) == "443"
+
+
+def test_zoned_timestamps_are_read_in_utc_whatever_the_session(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            at = spark.sql("SELECT timestamp '2024-01-01 03:30:00+00:00' AS s")
+            kind = T.TimestampType()
+            row = at.select(timefeat.hour(F.col("s"), kind).alias("h"), timefeat.instant(F.col("s"), kind).alias("i")).first()
+            assert (row.h, row.i) == (3, dt.datetime(2024, 1, 1, 3, 30))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

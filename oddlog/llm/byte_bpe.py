@@ -22,13 +22,12 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ragged, slices
+from .common import ragged, slices, text_batches
 
 MASK = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
-MEMO = 1 << 19  # pre-tokens a worker remembers
-PORTION = 2 << 20  # bytes of text encoded together
+MEMO = 1 << 18  # pre-tokens a worker remembers
 LONG = 1 << 20  # characters from which a text is pre-tokenised piecewise
 
 
@@ -304,13 +303,13 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 def encoder(spark: SparkSession, path: str, pattern: str):
     """A function from a text column to its ids (array of int). ``path``: the rank file as the driver sees it."""
-    shared = spark.sparkContext.broadcast(vocabulary(path, pattern))
+    shared = text_batches(spark).sparkContext.broadcast(vocabulary(path, pattern))
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         words = shared.value
         parts, counts = [], []
-        for portion in slices(texts, PORTION):
+        for portion in slices(texts):
             found, sizes = words.encode(portion)
             parts.append(found)
             counts += sizes
@@ -323,7 +322,7 @@ def encoder(spark: SparkSession, path: str, pattern: str):
 def decoder(spark: SparkSession, path: str):
     """A function from an id column to the decoded bytes (binary). Null ids decode to empty bytes."""
     by_id = {i: token for token, i in read_ranks(path).items()}
-    shared = spark.sparkContext.broadcast([by_id.get(i, b"") for i in range(max(by_id) + 1)])
+    shared = text_batches(spark).sparkContext.broadcast([by_id.get(i, b"") for i in range(max(by_id) + 1)])
 
     @F.arrow_udf("binary")
     def text(ids: pa.Array) -> pa.Array:

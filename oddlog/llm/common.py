@@ -14,15 +14,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from oddlog.session import stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
-SLICE_BYTES = 4 << 20  # text handled at once by a Python task
+SLICE_BYTES = 1 << 20  # text handled at once by a Python task
+BATCH_ROWS = 1000  # texts handed to a Python task at once
 
-__all__ = ["LETTERS", "table", "stage", "released", "fold", "slices", "ragged", "batch", "nested", "unnested", "drawn", "Scores"]
+__all__ = ["LETTERS", "table", "stage", "text_batches", "released", "fold", "slices", "ragged", "batch", "nested", "unnested", "drawn", "Scores"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession) -> SparkSession:
+    """The session, set to hand texts to Python in batches of at most ``BATCH_ROWS``.
+
+    Texts, and the ids or spans made of them, are much longer than the rows that Spark's own size is meant for.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 @contextmanager
 def released(spark: SparkSession):
     """Within it, the shuffle files of a staged table are deleted as soon as the table is written."""

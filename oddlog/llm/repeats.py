@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import nested, released, slices, stage, unnested
+from .common import nested, released, slices, stage, text_batches, unnested
 
 LENGTH = 200
 GRAM = 40
@@ -306,6 +306,7 @@ def with_uid(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bo
 
 def extents_of(docs: DataFrame, unique: bool, length: int, gram: int, most: int) -> tuple[DataFrame, DataFrame]:
     """For ``docs`` (uid, text): repeated anchors (uid, at, gram, context), and the extents of repeated contexts."""
+    text_batches(docs.sparkSession)
     found = stage(docs.mapInArrow(anchor_rows(length, gram), "uid long, at long, gram long, context long"), "anchors")
     counts = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("several"))
     counts = stage(counts.where("n > 1").select("gram", "several"), "grams")  # staged, so that the join can split hot ones

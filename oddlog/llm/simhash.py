@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices, stage
+from .common import slices, stage, text_batches
 from .components import components
 
 WIDTH = 4
@@ -202,6 +202,7 @@ def near_groups(
     count as linked. A row whose id is null forms no links; it is in the component of its fingerprint, or of none (null)
     if no row with an id has that one.
     """
+    text_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = stage(read.select("doc_id", fingerprint(F.col("text"), width, seed).alias("fp")), "fingerprints")
     nodes = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))

@@ -26,7 +26,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import nested, slices, stage, unnested
+from .common import nested, slices, stage, text_batches, unnested
 
 TOKENS = 3
 PAGES = 3
@@ -213,6 +213,7 @@ def template(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     The digest of an occurrence vector is the exclusive or of hashes of (page, count). Pages are told apart by their
     address and content; pages equal in both count alike for all their tokens.
     """
+    text_batches(pages.sparkSession)
     page = F.xxhash64(url_col, html_col).alias("page")
     seen = pages.select(host(F.col(url_col)).alias("host"), page, F.explode(tokens(F.col(html_col))).alias("t"))
     per_token = seen.groupBy("host", F.col("t.path").alias("path")).agg(

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from oddlog.session import new_path
 
-from .common import slices
+from .common import slices, text_batches
 
 MARK = "▁"
 ROOM = 1 << 18  # words whose counts a worker remembers
@@ -81,7 +81,7 @@ def digest(text: Column) -> Column:
 
 
 def counter(spark: SparkSession, model: bytes):
-    shared = spark.sparkContext.broadcast(Counter(model))
+    shared = text_batches(spark).sparkContext.broadcast(Counter(model))
 
     @F.arrow_udf("long")
     def counts(texts: pa.Array) -> pa.Array:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LETTERS, Scores, batch, drawn, slices, stage
+from .common import LETTERS, Scores, batch, drawn, slices, stage, text_batches
 
 SAMPLE = 24_000
 ENTRIES = 150_000
@@ -200,6 +200,7 @@ def fit(
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
+    text_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total, toxic_total = marks.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not total or not toxic_total or toxic_total == total:
@@ -244,7 +245,7 @@ def fit(
 
 
 def evidence(docs: DataFrame, detector: Detector, text: Column) -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(detector)
+    shared = text_batches(docs.sparkSession).sparkContext.broadcast(detector)
 
     @F.arrow_udf("double")
     def weighed(texts: pa.Array) -> pa.Array:
@@ -255,7 +256,7 @@ def evidence(docs: DataFrame, detector: Detector, text: Column) -> Column:
 
 def passages(docs: DataFrame, detector: Detector, text: Column) -> Column:
     """A column with the significant passages of a text: start and end (code points) and -log E."""
-    shared = docs.sparkSession.sparkContext.broadcast(detector)
+    shared = text_batches(docs.sparkSession).sparkContext.broadcast(detector)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("worth", pa.float64())]))
 
     @F.arrow_udf("array<struct<start:long,end:long,worth:double>>")
@@ -268,7 +269,7 @@ def passages(docs: DataFrame, detector: Detector, text: Column) -> Column:
 
 def probability(docs: DataFrame, detector: Detector, text: Column) -> Column:
     """A column with the score (0 to 1) of every whole text; null and empty texts have no evidence."""
-    shared = docs.sparkSession.sparkContext.broadcast(detector)
+    shared = text_batches(docs.sparkSession).sparkContext.broadcast(detector)
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:

@@ -3,7 +3,8 @@
 Token weights of the cells (source x language x topic) are scaled in turn so that each dimension meets its target
 shares, for ``sweeps`` rounds. A cell's factor is its fitted weight over its tokens, about 1 on average. A document is
 then drawn with probability min(1, rate * factor), by a hash of its id, so the same documents are drawn every time. Where
-that is capped at 1, the column ``weight`` says how often a document should be seen for the marginals to hold.
+that is capped at 1, the column ``weight`` says how often a document should be seen for the marginals to hold. Without a
+rate it is one over the largest factor: nothing is capped, all weights are 1, and the drawn rows alone meet the marginals.
 
 A target is either a dictionary of shares (what is not listed shares the rest in proportion to its tokens) or a number:
 the exponent to which the present shares are raised (1 keeps them, 0 makes all values equal).
@@ -95,7 +96,7 @@ def draw(key: Column) -> Column:
 def mix(
     docs: DataFrame,
     targets: dict[str, float | dict[str, float]] = TARGETS,
-    rate: float = RATE,
+    rate: float | None = RATE,
     sweeps: int = SWEEPS,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -122,6 +123,8 @@ def mix(
     n, size = cells.agg(F.count("*"), F.sum(sum((F.octet_length(d) for d in dims), F.lit(0)))).first()
     few = n <= FEW and (size or 0) <= FEW_BYTES
     factors = stage(rake(cells, targets, sweeps, few), "factors")
+    if rate is None:
+        rate = 1.0 / (factors.where("tokens > 0").agg(F.max("factor")).first()[0] or 1.0)
     right = factors.select(F.struct(*dims).alias("cell"), "factor")
     key = F.coalesce(F.col(id_col).cast("string"), F.col(text_col)).alias("key")
     marked = docs.select(nested(docs), key, described.alias("mixing"))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from oddlog.llm import mixing
 
 TARGETS = {"source": {"a": 0.5, "b": 0.3}, "lang": 0.5, "topic": 1}
@@ -62,3 +63,22 @@ def test_edge_rows(spark, docs):
 def test_no_python_in_the_plan(docs):
     plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_of_the_pipeline_meet_the_targets_without_weights(spark):
+    number = F.col("id")
+    text = F.concat(F.repeat(F.lit("word "), (5 + number % 9).cast("int")), F.when(number % 23 == 0, "Copyright").otherwise(""))
+    rows = spark.range(40_000).select(
+        number.alias("doc_id"),
+        text.alias("text"),
+        F.when(number % 7 > 0, "a").otherwise("b").alias("source"),
+        F.when(number % 25 > 0, "en").otherwise("es").alias("lang"),
+    )
+    kept = corpus_pipeline.mixed(spark, rows, "")
+    assert kept.columns == rows.columns
+    whole, drawn = (df.withColumn("topic", mixing.topic(F.col("text"))).withColumn("n", mixing.tokens(F.col("text"))) for df in (rows, kept))
+    for dim, power in mixing.TARGETS.items():
+        present = {r[dim]: float(r.n) for r in whole.groupBy(dim).agg(F.sum("n").alias("n")).collect()}
+        got = {r[dim]: float(r.n) for r in drawn.groupBy(dim).agg(F.sum("n").alias("n")).collect()}
+        wanted = {k: v**power / sum(x**power for x in present.values()) for k, v in present.items()}
+        assert {k: v / sum(got.values()) for k, v in got.items()} == pytest.approx(wanted, abs=0.025)

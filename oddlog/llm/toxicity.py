@@ -1,7 +1,7 @@
 """Toxic passages: maximum-scoring segments over token log-odds, judged by extreme-value statistics.
 
 A token is a word in lower case. Its score is the log of how many more toxic documents use it than clean ones, with a
-Dirichlet prior on both rates; a word that a text repeats counts where it first occurs. The prior is informative: an
+Dirichlet prior on both rates; the model learns a word once per text, the scan scores it once per ``NEAR`` tokens. The prior is informative: an
 entry's prior is what its shorter spelling shows (the word, then its first 6, 5, 4, 3 characters, then no preference),
 so an unseen word is scored by its beginning. ``DRIFT`` is subtracted from every score, which keeps the expected score
 of clean text negative.
@@ -34,6 +34,7 @@ ENTRIES = 150_000
 PREFIXES = (6, 5, 4, 3)
 PRIOR = 4.0  # weight of the shorter spelling, in tokens
 DRIFT = 1.0
+NEAR = 32
 SIGNIFICANT = 0.05
 LIMIT = 0.7
 COUNTED = {"toxic": pa.int32(), "entry": pa.string(), "n": pa.int64()}
@@ -65,13 +66,16 @@ class LogOdds:
         return np.array([math.log(ratio) - DRIFT])
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """Scores of a text's tokens: a word tells something where it first occurs, its repetitions tell nothing."""
+        """Scores of a text's tokens; a word again within ``NEAR`` tokens of where it was scored tells nothing new."""
         if not hasattr(self, "kept"):
             self.kept = Scores(1, self.score)
-        out = np.full(len(words), -DRIFT)
-        if words:
-            first = dict(zip(reversed(words), range(len(words) - 1, -1, -1)))
-            out[list(first.values())] = self.kept.of(list(first))[:, 0]
+        out = self.kept.of(words)[:, 0].copy()
+        scored: dict[str, int] = {}
+        for at, word in enumerate(words):
+            if at - scored.get(word, -NEAR) < NEAR:
+                out[at] = -DRIFT
+            else:
+                scored[word] = at
         return out
 
 

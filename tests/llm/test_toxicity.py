@@ -106,3 +106,12 @@ def test_edge_rows(spark, detector, tables):
     assert none.probability(none.evidence("scumbag")) < 0.01
     assert toxicity.fit(docs, labels.where("toxic = 1")).probability(0.0) > 0.99
     assert odd.limit(0).select(toxicity.probability(odd, detector, F.col("text"))).count() == 0
+
+
+def test_a_passage_is_found_again_where_its_words_are_repeated(detector):
+    calm = "the an stre re ou st " * 30
+    once, twice = calm + "scumbag idiotic vileness", calm + "scumbag idiotic vileness " + calm + "scumbag idiotic vileness"
+    assert len(detector.passages(once)) == 1 and len(detector.passages(twice)) == 2
+    spread = "scumbag " + calm + "idiotic " + calm + "vileness " + calm + "scumbag idiotic vileness"
+    assert any(spread[a:b] == "scumbag idiotic vileness" for a, b, _ in detector.passages(spread))
+    assert detector.evidence(twice) > detector.evidence(once)

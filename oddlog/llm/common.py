@@ -17,7 +17,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SLICE_BYTES = 1 << 20  # text handled at once by a Python task
 BATCH_ROWS = 1000  # texts handed to a Python task at once
 
-__all__ = ["LETTERS", "table", "stage", "text_batches", "released", "fold", "slices", "ragged", "batch", "nested", "unnested", "drawn", "Scores"]
+__all__ = ["LETTERS", "table", "stage", "text_batches", "released", "fold", "slices", "ragged", "batch", "nested", "unnested", "drawn", "crc32_sql", "Scores"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -90,6 +90,14 @@ def drawn(key: Column, share: Column | float) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("drawn")), F.lit(1_000_003)) < share * 1_000_003
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text as SQL that has no such function, bit by bit."""
+    bit = "lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), {byte}), 4294967295)"
+
+
 class Scores:
     """Rows of numbers per word, worked out at a word's first use and kept while there is room."""
 

@@ -11,6 +11,7 @@ from . import (
     byte_bpe,
     fingerprints,
     language,
+    merkle,
     mixing,
     pivot_search,
     repeats,
@@ -19,7 +20,7 @@ from . import (
     token_counts,
     toxicity,
 )
-from .common import fold, table
+from .common import crc32_sql, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +126,26 @@ def op4_templates(spark: SparkSession, folder: str) -> DataFrame:
     pages = templates.extract(table(spark, folder, "pages"))
     size = F.char_length("main_text").cast("long").alias("n_chars")
     return pages.select("page_id", "url", F.col("main_text").alias("text"), size)
+
+
+@query
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    other = F.when(touched, merkle.leaf(*head, F.translate("text", merkle.UPPER, merkle.LOWER)))
+    keep = F.struct("doc_id", other.alias("other"))
+    rows = merkle.manifest(docs, merkle.leaf(*head, F.col("text")), F.col("lang"), F.col("doc_id"), keep)
+    rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("keep.other", "leaf"), F.col("path")))
+    return rows.select(
+        "keep.doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+ORACLES["op13_merkle"] = merkle.SQL.format(crc=crc32_sql("doc_id::VARCHAR"), upper=merkle.UPPER, lower=merkle.LOWER)

@@ -27,6 +27,7 @@ COLUMNS = {
     8: "doc_id n_bytes n_tokens over_limit",
     9: "doc_id source lang topic n_tokens probability weight",
     10: "doc_id held_out lang_pred score",
+    13: "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
@@ -46,10 +47,11 @@ def test_columns_and_rows(spark, number):
     assert rows == whole if number not in (3, 9) else 0 < rows
 
 
-def test_mixing_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
     import check_queries
 
-    ok, message = check_queries.compare("op9_mixing", QUERIES["op9_mixing"], ORACLES["op9_mixing"], spark, FOLDER)
+    ok, message = check_queries.compare(name, QUERIES[name], ORACLES[name], spark, FOLDER)
     assert ok, message
 
 

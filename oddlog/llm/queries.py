@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from oddlog.session import new_path
+
 from . import (
     byte_bpe,
     fingerprints,
@@ -19,6 +21,7 @@ from . import (
     templates,
     token_counts,
     toxicity,
+    warc,
 )
 from .common import crc32_sql, fold, table
 
@@ -128,6 +131,28 @@ def op4_templates(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", "url", F.col("main_text").alias("text"), size)
 
 
+@query
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(table(spark, folder, "pages"), path)
+    found = warc.read(spark, path, payloads=False)
+    sound = F.coalesce(F.raise_error(F.concat_ws(": ", "archive", "problem")), F.lit(False))
+    return found.where(F.when(F.col("problem").isNotNull(), sound).otherwise(True)).select(
+        warc.page_of(F.col("record_id")).cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_of(F.col("refers_to")).cast("long").alias("refers_to"),
+    )
+
+
+ORACLES["op12_warc"] = f"""WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
+    f AS (SELECT *, CASE WHEN n >= {warc.LEAST} THEN max(page_id) OVER (PARTITION BY digest, n) END AS o FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+    CASE WHEN o IS NOT NULL AND page_id IS DISTINCT FROM o THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM o THEN o END AS refers_to FROM f"""
+
+
 @query
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

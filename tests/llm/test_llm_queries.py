@@ -27,6 +27,7 @@ COLUMNS = {
     8: "doc_id n_bytes n_tokens over_limit",
     9: "doc_id source lang topic n_tokens probability weight",
     10: "doc_id held_out lang_pred score",
+    12: "page_id payload_bytes payload_digest record_type refers_to",
     13: "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
@@ -42,7 +43,7 @@ def test_columns_and_rows(spark, number):
     df = QUERIES[name](spark, FOLDER)
     assert " ".join(df.columns) == COLUMNS[number]
     rows = df.count()
-    tables = {3: "embeddings", 4: "pages"}
+    tables = {3: "embeddings", 4: "pages", 12: "pages"}
     whole = spark.read.parquet(f"{FOLDER}/{tables.get(number, 'documents')}.parquet").count()
     assert rows == whole if number not in (3, 9) else 0 < rows
 

@@ -17,7 +17,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SLICE_BYTES = 1 << 20  # text handled at once by a Python task
 BATCH_ROWS = 1000  # texts handed to a Python task at once
 
-__all__ = ["LETTERS", "table", "stage", "text_batches", "released", "fold", "slices", "ragged", "batch", "nested", "unnested", "drawn", "crc32_sql", "Scores"]
+__all__ = ["LETTERS", "table", "stage", "text_batches", "released", "group_key", "fold", "slices", "ragged", "batch", "nested", "unnested", "drawn", "crc32_sql", "Scores"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def released(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+def group_key(value: Column) -> Column:
+    """A value as a text that is never null and, for texts, sorts bytewise with null first."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
 def fold(key: Column, parts: int, remainder: int) -> Column:
     """True where crc32 of the key as text leaves ``remainder``; a null key belongs to no such fold."""
     return F.coalesce(F.crc32(key.cast("string")) % parts == remainder, F.lit(False))

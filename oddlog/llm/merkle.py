@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from oddlog.session import join_side
 
-from .common import stage
+from .common import group_key, stage
 
 ARITY = 8
 LEVELS = 3  # levels that a block folds
@@ -41,11 +41,6 @@ def leaf(*values: Column) -> Column:
     return F.sha2(F.concat(*map(field, values)), 256)
 
 
-def group_key(value: Column) -> Column:
-    """A group's name as a text that is never null and sorts bytewise, null first."""
-    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
-
-
 def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """``rows`` with ``place`` (from 0 in its ``group``, by ``order``) and ``size`` (rows of the group).
 

@@ -11,6 +11,7 @@ from oddlog.session import new_path
 
 from . import (
     byte_bpe,
+    conversations,
     fingerprints,
     language,
     merkle,
@@ -23,7 +24,7 @@ from . import (
     toxicity,
     warc,
 )
-from .common import crc32_sql, fold, table
+from .common import crc32_sql, fold, group_key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,6 +132,25 @@ def op4_templates(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", "url", F.col("main_text").alias("text"), size)
 
 
+@query
+def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    fixed = conversations.repair(conversations.damaged(rows))
+    whole = fixed.messages.groupBy("key").agg(F.max_by("digest", "step").alias("repaired_sha256"))
+    ids = rows.select("conv_id", group_key(F.col("conv_id")).alias("key")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    found = ids.join(fixed.conversations.drop("conv_id"), "key", "left").join(whole, "key", "left")
+    return found.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+ORACLES["op11_repair"] = conversations.SQL
+
+
 @query
 def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "warc")

@@ -22,12 +22,14 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ragged, slices, text_batches
+from .common import slices, text_batches
 
 MASK = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
-MEMO = 1 << 18  # pre-tokens a worker remembers
+ROOM = 64 << 20  # bytes of the pre-tokens that a worker remembers from one turn of its memo; it holds two
+ENTRY = 190  # bytes that a remembered pre-token takes besides its letters and ids
+PAIRS = 1 << 18  # pairs of tokens whose merge a worker remembers
 LONG = 1 << 20  # characters from which a text is pre-tokenised piecewise
 
 
@@ -136,6 +138,17 @@ class PerfectHash:
         return (h ^ (h >> 32)) % self.size
 
 
+class Pairs(dict):
+    """What a function gives for a key, worked out at its first use."""
+
+    def __init__(self, work_out):
+        self.work_out = work_out
+
+    def __missing__(self, key: int) -> int:
+        found = self[key] = self.work_out(key)
+        return found
+
+
 class Vocabulary:
     """Ranks behind a perfect hash, with what a worker has learnt so far."""
 
@@ -159,24 +172,33 @@ class Vocabulary:
         self.tokens = {i: key for key, i in zip(self.keys, self.ids)}
         self.byte_ids = self.whole([bytes([b]) for b in range(256)]).tolist()
         ids = self.byte_ids
-        self.pairs: dict[int, int] = {}
-        self.byte_pairs = {(a, b): self.pair(ids[a] << 32 | ids[b]) for a in range(256) for b in range(256)}
+        self.pairs = Pairs(self.pair)
+        self.byte_pairs = [[self.pairs[ids[a] << 32 | ids[b]] for b in range(256)] for a in range(256)]
         self.forget()
 
     def __getstate__(self):
         return {name: self.__dict__[name] for name in ("hash", "keys", "ids", "pattern")}
 
-    def forget(self, wanted: list[str] = ()) -> None:
-        """Start a new memo with those pre-tokens of the last one that are wanted just now."""
-        old = getattr(self, "memo", {})
-        words = list(set(wanted).intersection(old))
-        codes = np.array([old[w] for w in words], np.int64)
-        sizes = np.array(self.sizes, np.int64)[codes] if words else np.zeros(0, np.int64)
-        known = np.array(self.known, np.int32)[ragged(np.array(self.starts, np.int64)[codes], sizes)] if words else []
-        self.memo: dict[str, int] = dict(zip(words, range(len(words))))
-        self.starts = array("q", (np.cumsum(sizes) - sizes).tolist())
-        self.sizes = array("q", sizes.tolist())
-        self.known = array("i", known)
+    def forget(self) -> None:
+        """Start with an empty memo: the pre-tokens used since its last turn, and those of the turn before."""
+        self.memo: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
+        self.held = 0
+
+    def remember(self, words: set[str]) -> None:
+        """Make the ids of all words known: from the turn before where they are still there, otherwise learnt."""
+        memo, last = self.memo, self.last
+        missing = words.difference(memo)
+        again = missing.intersection(last)
+        for word in again:
+            memo[word] = last[word]
+        self.held += sum(ENTRY + len(w) + len(memo[w]) for w in again)
+        self.learn(list(missing.difference(again)))
+
+    def turn(self) -> None:
+        """When the memo has used its room, what was not used since its last turn goes."""
+        if self.held > ROOM:
+            self.memo, self.last, self.held = {}, self.memo, 0
 
     def whole(self, keys: list[bytes]) -> np.ndarray:
         """Id of every key that is a token as a whole, otherwise -1."""
@@ -185,11 +207,10 @@ class Vocabulary:
         return np.fromiter((ids[s] if stored[s] == k else -1 for s, k in zip(slots, keys)), np.int64, len(keys))
 
     def pair(self, code: int) -> int:
-        """Id of two joined tokens (their ids packed into ``code``), or -1; looked up once per pair."""
+        """Id of two joined tokens (their ids packed into ``code``), or -1."""
         key = self.tokens[code >> 32] + self.tokens[code & 0xFFFFFFFF]
         slot = self.hash.find_one(key)
-        found = self.pairs[code] = self.ids[slot] if self.keys[slot] == key else -1
-        return found
+        return self.ids[slot] if self.keys[slot] == key else -1
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token that is no token itself: merges of lowest rank first, the leftmost among equals.
@@ -197,16 +218,15 @@ class Vocabulary:
         ``after`` and ``before`` link the parts that are left; ``best`` is the rank at which a part joins its successor.
         A heap entry holds a rank and a place, and is stale if ``best`` has changed there.
         """
-        first = self.byte_pairs
-        parts = [self.byte_ids[b] for b in word]
+        first, ids, known = self.byte_pairs, self.byte_ids, self.pairs
+        parts = [ids[b] for b in word]
         n = len(parts)
-        best = [first[pair] for pair in zip(word, word[1:])]
+        best = [first[a][b] for a, b in zip(word, word[1:])]
         best.append(-1)
         heap = [rank << 32 | at for at, rank in enumerate(best) if rank >= 0]
         heapify(heap)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        known, look = self.pairs, self.pair
         while heap:
             entry = heappop(heap)
             at = entry & 0xFFFFFFFF
@@ -214,36 +234,31 @@ class Vocabulary:
             if best[at] != part:
                 continue
             right = after[at]
-            parts[at] = part
-            parts[right] = best[right] = best[at] = -1
             follow = after[at] = after[right]
+            parts[at] = part
+            parts[right] = best[right] = -1
             if follow < n:
                 before[follow] = at
-                code = part << 32 | parts[follow]
-                found = known[code] if code in known else look(code)
+                found = best[at] = known[part << 32 | parts[follow]]
                 if found >= 0:
-                    best[at] = found
                     heappush(heap, found << 32 | at)
+            else:
+                best[at] = -1
             left = before[at]
             if left >= 0:
-                code = parts[left] << 32 | part
-                found = known[code] if code in known else look(code)
-                best[left] = found
+                found = best[left] = known[parts[left] << 32 | part]
                 if found >= 0:
                     heappush(heap, found << 32 | left)
         return [p for p in parts if p >= 0]
 
     def learn(self, words: list[str]) -> None:
         """Ids of new pre-tokens: the perfect hash first, merging for what it does not hold."""
-        if len(self.pairs) > MEMO:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         raw = [w.encode() for w in words]
         for word, key, found in zip(words, raw, self.whole(raw).tolist()):
-            ids = [found] if found >= 0 else self.merge(key)
-            self.memo[word] = len(self.starts)
-            self.starts.append(len(self.known))
-            self.sizes.append(len(ids))
-            self.known.extend(ids)
+            ids = self.memo[word] = array("i", (found,) if found >= 0 else self.merge(key)).tobytes()
+            self.held += ENTRY + len(key) + len(ids)
 
     def words(self, text: str) -> Iterator[list[str]]:
         """Pre-tokens in portions, so that a very long text needs no list of all of them."""
@@ -260,23 +275,16 @@ class Vocabulary:
         out, counts, waiting, pending = [], [], [], []
 
         def flush():
-            new = list(set(waiting).difference(self.memo))
-            if new:
-                if len(self.memo) + len(new) > MEMO:
-                    self.forget(waiting)
-                    new = list(set(waiting).difference(self.memo))
-                self.learn(new)
-            codes = np.fromiter(map(self.memo.__getitem__, waiting), np.int64, len(waiting))
-            sizes = np.array(self.sizes, np.int64)[codes]
-            ids = np.array(self.known, np.int32)[ragged(np.array(self.starts, np.int64)[codes], sizes)]
-            out.append(ids)
-            at = np.concatenate([[0], np.cumsum(sizes)])
+            self.remember(set(waiting))
+            found = [self.memo[word] for word in waiting]
+            out.append(np.frombuffer(b"".join(found), np.int32))
             first = 0
             for doc, n in pending:
-                counts[doc] += int(at[first + n] - at[first])
+                counts[doc] += sum(map(len, found[first : first + n])) // 4
                 first += n
             waiting.clear()
             pending.clear()
+            self.turn()
 
         for doc, text in enumerate(texts):
             counts.append(0)

@@ -51,10 +51,24 @@ def test_ids_equal_the_library(words, library):
 
 
 def test_memo_may_be_forgotten(words, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "MEMO", 20)
-    texts = [" ".join(f"wort{i * 7 + j}x" for j in range(9)) for i in range(30)]
+    monkeypatch.setattr(byte_bpe, "ROOM", 5000)
+    words.forget()
+    texts = [" ".join([f"wort{i * 7 + j}x" for j in range(9)] + ["allezeit"]) for i in range(30)]
+    merged = []
+    merge = words.merge
+    monkeypatch.setattr(words, "merge", lambda word: merged.append(word) or merge(word))
     found = [ids for text in texts for ids in encoded(words, [text])]
     assert found == [library.encode_ordinary(t) for t in texts]
+    assert merged.count(b" allezeit") == 1  # what is used again stays through all turns
+    assert len(words.memo) + len(words.last) < 80
+
+
+def test_memo_is_bounded_in_bytes(words, library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "ROOM", 100_000)
+    words.forget()
+    texts = [f"{'x' * 50_000}{i}" for i in range(8)]
+    assert encoded(words, texts[:1]) + [ids for t in texts[1:] for ids in encoded(words, [t])] == [library.encode_ordinary(t) for t in texts]
+    assert sum(map(len, [*words.memo, *words.last])) < 300_000
 
 
 def test_long_text_in_portions(words, library, monkeypatch):

@@ -26,6 +26,7 @@ LANGUAGES = 500
 WORDS = 100_000
 GRAMS = 100_000
 LONGEST = 4
+RUN, PIECE = 200, 20  # letters above which a run is cut, and of its pieces
 UNKNOWN = "und"
 SHARED = 0.05  # weight of an entry's mean frequency over all languages
 COUNTED = {"lang": pa.string(), "word": pa.string(), "n": pa.int64()}
@@ -37,10 +38,23 @@ def grams(word: str, size: int) -> list[str]:
     return [marked[i : i + size] for i in range(max(1, len(marked) - size + 1))]
 
 
+def cut(words: list[str]) -> list[str]:
+    """``words`` with runs of more than ``RUN`` letters, such as texts without spaces, as overlapping pieces.
+
+    The pieces of a run hold all its n-grams, and each counts as a word, so a run weighs by its length.
+    """
+    if not any(len(word) > RUN for word in words):
+        return words
+    step = PIECE + 1 - LONGEST
+    return [
+        piece for word in words for piece in ([word] if len(word) <= RUN else [word[i : i + PIECE] for i in range(0, len(word) - LONGEST + 1, step)])
+    ]
+
+
 def words_of(text: str) -> list[str]:
     """Words in lower case; none if what looks like words are numbers such as fractions and no letter is among them."""
     words = LETTERS.findall(text.lower())
-    return words if any(map(str.isalpha, words)) or any(map(str.isalpha, text)) else []
+    return cut(words) if any(map(str.isalpha, words)) or any(map(str.isalpha, text)) else []
 
 
 class Model:
@@ -62,8 +76,6 @@ class Model:
         found = self.words.get(word)
         if found is not None:
             return found
-        if len(word) > 200:
-            word = word[:100] + word[-100:]  # the ends tell enough of an unseen word without word breaks
         return np.mean([self.piece(g) for g in grams(word, LONGEST)], axis=0)
 
     def scorer(self) -> Scores:
@@ -102,7 +114,7 @@ def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(rows.column(1)):
             for text in part:
                 lang, at = langs[at], at + 1
-                for word, n in Counter(LETTERS.findall(text.lower())).items():
+                for word, n in Counter(cut(LETTERS.findall(text.lower()))).items():
                     found[lang, word] += n
         yield batch(COUNTED, ([lang for lang, _ in found], [entry for _, entry in found], list(found.values())))
 

@@ -4,7 +4,8 @@ Token weights of the cells (source x language x topic) are scaled in turn so tha
 shares, for ``sweeps`` rounds. A cell's factor is its fitted weight over its tokens, about 1 on average. A document is
 then drawn with probability min(1, rate * factor), by a hash of its id, so the same documents are drawn every time. Where
 that is capped at 1, the column ``weight`` says how often a document should be seen for the marginals to hold. Without a
-rate it is one over the largest factor: nothing is capped, all weights are 1, and the drawn rows alone meet the marginals.
+rate the weights are raked within what each cell has (``rake_within``): no probability is above 1, all weights are 1, and
+the drawn rows alone meet the marginals but for ``SLACK``, which a few rare values may lack.
 
 A target is either a dictionary of shares (what is not listed shares the rest in proportion to its tokens) or a number:
 the exponent to which the present shares are raised (1 keeps them, 0 makes all values equal).
@@ -21,7 +22,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import nested, stage, unnested
 
 SWEEPS = 10
-AT_ONCE = 5  # sweeps planned as one job
+BOUNDED_SWEEPS = 20  # where no cell may be asked for more than it has
+AT_ONCE = 2  # sweeps planned as one job; each sweep sorts the cells once a dimension
+RATES = [i / 50 for i in range(1, 51)]  # at which goals are tried to be met within what there is
+SLACK = 0.025  # of the tokens, which may miss their goals in each dimension
 RATE = 0.5
 TARGETS: dict[str, float | dict[str, float]] = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 FEW = 100_000  # cells up to which they are kept in one task and broadcast
@@ -50,18 +54,43 @@ def topic(text: Column) -> Column:
     return reduce(lambda found, test: found.when(test[1], test[0]), tests[1:], first).otherwise("prose")
 
 
-def goal(dim: str, wanted: float | dict[str, float]) -> Column:
-    """The tokens that the cell's value of ``dim``, which now has ``mine``, should have in all."""
-    everything = Window.partitionBy()
-    total = F.sum("tokens").over(everything)
-    if isinstance(wanted, dict):
-        listed = F.create_map(*(F.lit(x) for pair in wanted.items() for x in pair))[F.col(dim)]
-        rest = max(0.0, 1.0 - sum(wanted.values()))
-        others = F.sum(F.when(listed.isNull(), F.col("tokens"))).over(everything)
-        return total * F.coalesce(listed, F.try_divide(F.lit(rest) * F.col("mine"), others), F.lit(0.0))
-    # Summed over cells, tokens * mine ** (wanted - 1) is mine ** wanted summed over values.
-    part = F.when(F.col("tokens") > 0, F.col("tokens") * F.pow("mine", F.lit(wanted - 1.0)))
-    return total * F.pow("mine", F.lit(float(wanted))) / F.sum(part).over(everything)
+def with_sums(cells: DataFrame, by: str | None, few: bool, **sums: Column) -> DataFrame:
+    """``cells`` with sums over the cells that share the value ``by``, or over all. Few cells are summed where they are."""
+    if few:
+        whole = Window.partitionBy(by) if by else Window.partitionBy()
+        return cells.withColumns({name: F.sum(what).over(whole) for name, what in sums.items()})
+    summed = cells.groupBy(*([by] if by else [])).agg(*(F.sum(what).alias(name) for name, what in sums.items()))
+    return cells.join(summed, by) if by else cells.crossJoin(F.broadcast(summed))  # one row
+
+
+def with_goals(cells: DataFrame, targets: dict[str, float | dict[str, float]], few: bool) -> DataFrame:
+    """``cells`` with ``goal_`` columns: the tokens that the cell's value of each dimension should have in all."""
+    for dim, wanted in targets.items():
+        cells = with_sums(cells, dim, few, mine=F.col("tokens"))
+        if isinstance(wanted, dict):
+            listed = F.create_map(*(F.lit(x) for pair in wanted.items() for x in pair))[F.col(dim)]
+            rest = max(0.0, 1.0 - sum(wanted.values()))
+            part = F.when(listed.isNull(), F.col("tokens"))
+            share = F.coalesce(listed, F.try_divide(F.lit(rest) * F.col("mine"), "parts"), F.lit(0.0))
+        else:
+            # Summed over cells, tokens * mine ** (wanted - 1) is mine ** wanted summed over values.
+            part = F.when(F.col("tokens") > 0, F.col("tokens") * F.pow("mine", F.lit(wanted - 1.0)))
+            share = F.pow("mine", F.lit(float(wanted))) / F.col("parts")
+        cells = with_sums(cells, None, few, total=F.col("tokens"), parts=part)
+        cells = cells.withColumns({f"goal_{dim}": F.col("total") * share, f"has_{dim}": F.col("mine")})
+        cells = cells.drop("mine", "total", "parts")
+    return cells
+
+
+def swept(fitted: DataFrame, targets, sweeps: int, few: bool, step) -> DataFrame:
+    """``fitted`` after ``step(rows, dim)`` for every dimension, ``sweeps`` times. Lineage is cut after ``AT_ONCE`` sweeps."""
+    for sweep in range(sweeps):
+        if sweep % AT_ONCE == 0:
+            fitted = stage(fitted, "raked")
+            fitted = fitted.coalesce(1) if few else fitted
+        for dim in targets:
+            fitted = step(fitted, dim)
+    return fitted
 
 
 def rake(
@@ -69,20 +98,56 @@ def rake(
 ) -> DataFrame:
     """``cells`` (one column per dimension, tokens double) with ``factor``; cells without tokens have factor 1.
 
-    ``few`` cells are kept in one task, which spares all shuffles. Lineage is cut every ``AT_ONCE`` sweeps.
+    ``few`` cells are kept in one task, which spares all shuffles.
     """
-    fitted = (cells.coalesce(1) if few else cells).withColumn("fitted", F.col("tokens"))
-    for dim, wanted in targets.items():
-        fitted = fitted.withColumn("mine", F.sum("tokens").over(Window.partitionBy(dim)))
-        fitted = fitted.withColumn(f"goal_{dim}", goal(dim, wanted)).drop("mine")
-    for sweep in range(sweeps):
-        if sweep and sweep % AT_ONCE == 0:
-            fitted = stage(fitted, "raked")
-            fitted = fitted.coalesce(1) if few else fitted
-        for dim in targets:
-            now = F.sum("fitted").over(Window.partitionBy(dim))
-            step = F.coalesce(F.try_divide(F.col(f"goal_{dim}"), now), F.lit(0.0))
-            fitted = fitted.withColumn("fitted", F.col("fitted") * step)
+
+    def step(fitted: DataFrame, dim: str) -> DataFrame:
+        summed = with_sums(fitted, dim, few, now=F.col("fitted"))
+        scale = F.coalesce(F.try_divide(f"goal_{dim}", "now"), F.lit(0.0))
+        return summed.withColumn("fitted", F.col("fitted") * scale).drop("now")
+
+    fitted = with_goals(cells.coalesce(1) if few else cells, targets, few).withColumn("fitted", F.col("tokens"))
+    fitted = swept(fitted, targets, sweeps, few, step)
+    factor = F.coalesce(F.try_divide("fitted", "tokens"), F.lit(1.0))
+    return fitted.select(*targets, "tokens", factor.alias("factor"))
+
+
+def short(goals: DataFrame, dim: str) -> dict[float, float]:
+    """Per rate, the part of the goals of ``dim`` that its values have no tokens for."""
+    values = goals.groupBy(dim).agg(F.max(f"goal_{dim}").alias("goal"), F.max(f"has_{dim}").alias("has"))
+    missed = [F.sum(F.greatest(F.lit(0.0), F.col("goal") - F.col("has") / r)).alias(str(r)) for r in RATES]
+    row = values.agg(F.sum("goal").alias("all"), *missed).first()
+    return {r: (row[str(r)] or 0.0) / (row["all"] or 1.0) for r in RATES}
+
+
+def rake_within(
+    cells: DataFrame,
+    targets: dict[str, float | dict[str, float]],
+    slack: float = SLACK,
+    sweeps: int = BOUNDED_SWEEPS,
+    few: bool = False,
+) -> DataFrame:
+    """``cells`` with ``factor``, which is never above 1: no cell is asked for more tokens than it has.
+
+    All goals are multiplied by one rate, the largest of ``RATES`` at which the values of each dimension that have less
+    than their goals miss at most ``slack`` of all tokens together. Such values are kept whole, all others meet their
+    goals. In a sweep, a value below its goal gains in those cells that are not yet whole; a value above it loses in all
+    its cells.
+    """
+    fitted = stage(with_goals(cells.coalesce(1) if few else cells, targets, few), "goals")
+    missed = [short(fitted, dim) for dim in targets]
+    rate = max((r for r in RATES if all(part[r] <= slack for part in missed)), default=RATES[0])
+
+    def step(fitted: DataFrame, dim: str) -> DataFrame:
+        whole = F.when(F.col("fitted") >= F.col("tokens"), F.col("fitted")).otherwise(0.0)
+        summed = with_sums(fitted, dim, few, now=F.col("fitted"), full=whole)
+        goal = F.col(f"goal_{dim}") * rate
+        more = F.coalesce(F.try_divide(goal - F.col("full"), F.col("now") - F.col("full")), F.lit(1.0))
+        grown = F.least(F.col("tokens"), F.col("fitted") * F.when(F.col("fitted") >= F.col("tokens"), 1.0).otherwise(more))
+        cut = F.col("fitted") * F.coalesce(F.try_divide(goal, "now"), F.lit(0.0))
+        return summed.withColumn("fitted", F.when(F.col("now") > goal, cut).otherwise(grown)).drop("now", "full")
+
+    fitted = swept(fitted.withColumn("fitted", F.col("tokens") * rate), targets, sweeps, few, step)
     factor = F.coalesce(F.try_divide("fitted", "tokens"), F.lit(1.0))
     return fitted.select(*targets, "tokens", factor.alias("factor"))
 
@@ -122,9 +187,9 @@ def mix(
     cells = stage(cells.agg(F.sum("m.tokens").alias("tokens")), "cells")
     n, size = cells.agg(F.count("*"), F.sum(sum((F.octet_length(d) for d in dims), F.lit(0)))).first()
     few = n <= FEW and (size or 0) <= FEW_BYTES
-    factors = stage(rake(cells, targets, sweeps, few), "factors")
-    if rate is None:
-        rate = 1.0 / (factors.where("tokens > 0").agg(F.max("factor")).first()[0] or 1.0)
+    raked = rake_within(cells, targets, few=few) if rate is None else rake(cells, targets, sweeps, few)
+    rate = 1.0 if rate is None else rate
+    factors = stage(raked, "factors")
     right = factors.select(F.struct(*dims).alias("cell"), "factor")
     key = F.coalesce(F.col(id_col).cast("string"), F.col(text_col)).alias("key")
     marked = docs.select(nested(docs), key, described.alias("mixing"))

@@ -59,3 +59,42 @@ def test_edge_rows(spark, docs):
     assert nothing.predict(["abc", ""]) == (["und", "und"], [0.0, 0.0])
     assert language.fit(odd.where("lang is null")).languages == []
     assert odd.limit(0).select(language.identify(odd, model)).count() == 0
+
+
+def test_long_runs_are_read_whole_and_weigh_by_their_length(docs):
+    model = language.fit(docs)
+    middle = "aku" * 33 + "schichun" * 12_500 + "aku" * 33
+    assert model.predict([middle])[0] == ["bb"]
+    assert model.predict([middle + " bakulo loku kuba"])[0] == ["bb"]
+    assert len(language.cut(["x" * 100_000])) > 5000 and language.cut(["x" * 200]) == ["x" * 200]
+    pieces = language.cut(["".join(chr(97 + i % 26) for i in range(1000))])
+    grams = {g for p in pieces for g in (p[i : i + 4] for i in range(len(p) - 3))}
+    assert len(grams) == 26 and all(len(p) <= language.PIECE for p in pieces)
+
+
+def test_predictions_equal_a_plain_version(docs):
+    import math
+
+    model = language.fit(docs, words=40, grams=60)
+    rng = random.Random(9)
+    texts = [sentence(rng, rng.choice(sorted(SOUNDS)), rng.randint(1, 15)) + rng.choice(["", " zz", " unknown 77"]) for _ in range(50)]
+
+    def piece(gram, lang):
+        known = model.pieces[len(gram) - 1].get(gram)
+        if known is not None:
+            return known[lang]
+        return 0.0 if len(gram) == 1 else (piece(gram[:-1], lang) + piece(gram[1:], lang)) / 2
+
+    for text, got, score in zip(texts, *model.predict(texts)):
+        words = [w for w in text.split() if w.isalpha()]
+        sums = []
+        for lang in range(3):
+            total = 0.0
+            for w in words:
+                marked = f"<{w}>"
+                parts = [marked[i : i + 4] for i in range(max(1, len(marked) - 3))]
+                total += model.words[w][lang] if w in model.words else sum(piece(p, lang) for p in parts) / len(parts)
+            sums.append(total / len(words))
+        want = max(range(3), key=lambda i: sums[i])
+        assert got == model.languages[want]
+        assert score == pytest.approx(1 / sum(math.exp((s - sums[want]) * min(len(words), 10)) for s in sums))

@@ -57,6 +57,16 @@ def test_query_equals_sql(spark, name):
     assert ok, message
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    names = ("cut", "language_found", "copy_of_row", "mixing", "row", "found", "whole")
+    odd = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        odd = corpus_pipeline.stage(function(spark, odd, FOLDER), name)
+        assert odd.columns == docs.columns + list(names)
+        assert odd.where(" or ".join(f"{n} <> concat('{n}', doc_id)" for n in names)).count() == 0 < odd.count()
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     extra = [(100_001, None), (100_002, "12 34 !!"), (100_003, ""), (None, None)]

@@ -82,3 +82,31 @@ def test_rows_of_the_pipeline_meet_the_targets_without_weights(spark):
         got = {r[dim]: float(r.n) for r in drawn.groupBy(dim).agg(F.sum("n").alias("n")).collect()}
         wanted = {k: v**power / sum(x**power for x in present.values()) for k, v in present.items()}
         assert {k: v / sum(got.values()) for k, v in got.items()} == pytest.approx(wanted, abs=0.025)
+
+
+def test_one_tiny_cell_does_not_decide_how_much_is_kept(spark):
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 10).alias("text"), F.lit("a").alias("source"), F.lit("en").alias("lang"))
+    rows = rows.union(spark.createDataFrame([(9999, "just three words", "b", "en")], rows.schema))
+    kept = mixing.mix(rows, rate=None)
+    assert kept.count() > 1900 and kept.where("source = 'b'").count() == 1
+
+
+def test_raking_within_what_there_is(spark):
+    """Against a plain version: no cell above its tokens, values with enough tokens meet their goals at the chosen rate."""
+    rows = [(s, x, t, float((7 * i * i) % 97 + 1) * w) for i, (s, w) in enumerate([("a", 100), ("b", 30), ("c", 4), ("d", 1)]) for x in ("en", "es", "fr") for t in ("p", "q")]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    total = sum(r[3] for r in rows)
+    found = mixing.rake_within(cells, mixing.TARGETS, few=True).collect()
+    assert all(0 <= r.factor <= 1 for r in found) and len(found) == len(rows)
+    kept = sum(r.factor * r.tokens for r in found)
+    rate = next(r for r in mixing.RATES if kept <= r * total * (1 + 1e-9))
+    for at, (dim, power) in enumerate(mixing.TARGETS.items()):
+        has = {v: sum(r[3] for r in rows if r[at] == v) for v in {r[at] for r in rows}}
+        whole = sum(n**power for n in has.values())
+        for v, n in has.items():
+            goal = rate * total * n**power / whole
+            got = sum(r.factor * r.tokens for r in found if r[dim] == v)
+            assert got == pytest.approx(min(n, goal), rel=0.03), (dim, v)
+    few, many = (mixing.rake_within(cells, mixing.TARGETS, sweeps=2, few=way).collect() for way in (True, False))
+    assert {r[:3]: pytest.approx(r.factor) for r in many} == {r[:3]: r.factor for r in few}
+

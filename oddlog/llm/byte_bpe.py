@@ -27,7 +27,7 @@ from .common import slices, text_batches
 MASK = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
-ROOM = 64 << 20  # bytes of the pre-tokens that a worker remembers from one turn of its memo; it holds two
+ROOM = 96 << 20  # bytes of the pre-tokens that a worker remembers from one turn of its memo; it holds two
 ENTRY = 190  # bytes that a remembered pre-token takes besides its letters and ids
 PAIRS = 1 << 18  # pairs of tokens whose merge a worker remembers
 LONG = 1 << 20  # characters from which a text is pre-tokenised piecewise

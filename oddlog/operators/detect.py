@@ -23,6 +23,7 @@ from ..sources.models import Model
 from . import encode
 from .flatten import flatten, normalise_names, with_time_features
 from .forest import anomaly_score, path_lengths, share_forest
+from .prepared import Prepared
 from .requests import BAD_JSON, read_requests
 from .route import missing_model, route
 
@@ -53,6 +54,13 @@ class Scorer:
         self.psis = sorted({r.psi for r in models})
         self.small = fits(model.values, encode.LOOKUP_ROWS, encode.LOOKUP_BYTES)
         self.parameters = self._parameters()
+        self.kept: dict[tuple, list[Column]] = {}
+
+    def once(self, key: tuple, build) -> list[Column]:
+        """The columns of a step, worked out at its first use."""
+        if key not in self.kept:
+            self.kept[key] = build()
+        return self.kept[key]
 
     def plan(self, slot: int, where) -> list[tuple[str, str]]:
         return [(r.log_type, r.feature) for r in self.rows if r.slot == slot and where(r)]
@@ -214,13 +222,17 @@ class Scorer:
         return total
 
 
-def results(scorer: Scorer, scored: DataFrame, threshold: Column, keep: list[str]) -> DataFrame:
+def results(scorer: Scorer | Prepared, scored: DataFrame, threshold: Column, keep: list[str]) -> DataFrame:
     """Assemble the result row from a scored, encoded table."""
-    out = scorer.with_deviations(
-        scored.withColumns({"anomaly_score": F.col("score") - F.col("offset"), "anomaly_threshold": threshold})
-    )
-    out = out.withColumn("is_anomaly", F.col("anomaly_score") < F.col("anomaly_threshold"))
-    out = out.withColumn("notable", notable_text(F.col("feature_deviations"), F.col("is_anomaly")))
+    margin = F.col("score") - F.col("offset")
+    decided = {"anomaly_score": margin, "anomaly_threshold": threshold, "is_anomaly": margin < threshold}
+    out = scorer.with_deviations(scored).withColumns(decided)
+    notable, *columns = scorer.once(("results", *keep), lambda: result_columns(scorer, keep))
+    return out.withColumn("notable", notable).select(*columns)
+
+
+def result_columns(scorer: Scorer | Prepared, keep: list[str]) -> list[Column]:
+    """The text of the notable features, then the columns of a result row."""
     count = F.size("s_feature")
     used = F.size("features_used")
     info = F.struct(
@@ -235,22 +247,23 @@ def results(scorer: Scorer, scored: DataFrame, threshold: Column, keep: list[str
     sentence = explanation(
         F.col("feature_deviations"), F.col("notable"), F.col("anomaly_score"), F.col("is_anomaly")
     )
-    return out.select(
+    return [
+        notable_text(F.col("feature_deviations"), F.col("is_anomaly")),
         *[c(k) for k in keep],
-        "log_type",
-        "is_anomaly",
-        "anomaly_score",
+        F.col("log_type"),
+        F.col("is_anomaly"),
+        F.col("anomaly_score"),
         F.when(known, F.col("anomaly_threshold")).alias("anomaly_threshold"),
         F.when(known, sentence).alias("explanation"),
         F.when(known, F.col("feature_deviations")).alias("feature_deviations"),
         F.when(known, info).alias("model_info"),
         F.when(~known, missing_model(F.col("log_type"))).alias("error"),
-    )
+    ]
 
 
 def detect(
     events: DataFrame,
-    model: Model | Scorer,
+    model: Model | Scorer | Prepared,
     threshold: float | Column = DEFAULT_THRESHOLD,
     explicit: str | None = None,
     keep: tuple[str, ...] = (),
@@ -261,10 +274,11 @@ def detect(
     """Score every event: one result row each, with an error text where no model fits or the text was no JSON.
 
     ``corrupt`` names the column in which a JSON reader leaves text that it could not parse, if there is one.
+    ``model`` may be a :class:`Scorer`, for tables, or a :class:`oddlog.operators.prepared.Prepared`, for single events.
     ``explicit`` names a column with the log type given by the caller, ``threshold`` a number or a column (a missing
     value means the default), ``keep`` the identifying columns to carry into the result.
     """
-    scorer = model if isinstance(model, Scorer) else Scorer(model)
+    scorer = Scorer(model) if isinstance(model, Model) else model
     broken = corrupt is not None and corrupt in events.columns
     kept, keep = keep, (*keep, corrupt) if broken else keep
     carried = {f"_keep_{k}": c(k) for k in dict.fromkeys([*keep, *([explicit] if explicit else [])])}
@@ -285,7 +299,7 @@ def detect(
 
 
 def score_requests(
-    requests: DataFrame, body: str, event_schema: T.StructType, model: Model | Scorer, keep: tuple[str, ...] = (), **routing
+    requests: DataFrame, body: str, event_schema: T.StructType, model: Model | Scorer | Prepared, keep: tuple[str, ...] = (), **routing
 ) -> DataFrame:
     """Answer every request: checked, routed, scored and explained, or kept with what is wrong with it.
 

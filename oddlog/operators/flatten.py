@@ -77,6 +77,8 @@ def normalise_names(df: DataFrame, aliases: dict[str, str] = FIELD_ALIASES) -> D
     When an event carries both spellings the canonical one is used and the alias fills its gaps.
     """
     names = df.columns
+    if not any(aliases.get(name, name) != name for name in names):
+        return df
     # columns are taken by position: two spellings are one name to a session that ignores case
     numbered = df.toDF(*[f"_field_{i}" for i in range(len(names))])
     at = {name: F.col(f"_field_{i}") for i, name in enumerate(names)}
@@ -122,7 +124,8 @@ def with_time_features(df: DataFrame, fields: tuple[str, ...] = TIME_FIELDS_TRAI
     source = time_source(df, fields)
     if source is None:
         return df
-    dtype = df.select(source.alias("s")).schema["s"].dataType
+    types = {df.schema[f].dataType for f in fields if f in df.columns}
+    dtype = types.pop() if len(types) == 1 else T.StringType()
     return df.withColumns({"hour": timefeat.hour(source, dtype), "day_of_week": timefeat.day_of_week(source, dtype)})
 
 

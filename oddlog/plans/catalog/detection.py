@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ...operators import encode, forest as trees, reports
 from ...operators.detect import Scorer, alerts, detect, score_requests
 from ...operators.flatten import flatten, prepare
+from ...operators.prepared import Prepared
 from ...operators.profile import Profile, profile
 from ...operators.requests import read_requests
 from ...operators.route import route
@@ -162,14 +163,47 @@ def route_explicit(spark, folder):
     return flat.select("event_id", route(flat, ["AWS IAM", "alert_logs", "audit_logs"], "stated").alias("log_type"))
 
 
-@query(
+DETECTED_SQL = (
     f"WITH {EVENTS_SQL} SELECT event_id, log_type, is_anomaly, round(decision, 6) AS anomaly_score,"
     f" CASE WHEN n IS NOT NULL THEN {LIMIT}::DOUBLE END AS anomaly_threshold, explanation,"
     " n AS training_samples, CAST(CASE WHEN n IS NOT NULL THEN 5 + (agents > 1)::INT + (tier_cnt IS NOT NULL)::INT END AS INTEGER) AS features_found, error FROM res"
 )
+
+
+@query(DETECTED_SQL)
 def detect_batch(spark, folder):
+    return _facts(_detected(spark, folder))
+
+
+@remembered("events")
+def prepared_model(spark: SparkSession, folder: str) -> Prepared:
+    return Prepared(fixed_model(spark, folder))
+
+
+@query(DETECTED_SQL)
+def detect_prepared(spark, folder):
+    """The same events through the model that answers single ones: no join and no Python worker in the plan."""
+    return _facts(detect(security_events(spark, folder), prepared_model(spark, folder), LIMIT, keep=("event_id",)))
+
+
+@query(
+    f"WITH {EVENTS_SQL} SELECT event_id, list_sort(list_filter([CASE WHEN agents > 1 THEN 'agent' END,"
+    " CASE WHEN tier_cnt IS NOT NULL THEN 'tier' END, 'hour', 'day_of_week', 'user_id', 'value', 'props.k'],"
+    " lambda f: f IS NOT NULL)) AS features, round(list_sum(list_transform([z_hour, z_dow, z_user_id, z_value, z_k],"
+    " lambda z: abs(z))), 4) AS distance FROM res WHERE n IS NOT NULL"
+)
+def prepared_deviations(spark, folder):
+    """Deviations of the prepared model: which features, and how far the numbers lie from their means in all."""
+    found = detect(security_events(spark, folder), prepared_model(spark, folder), LIMIT, keep=("event_id",))
+    each = F.col("feature_deviations")
+    far = F.aggregate(each, F.lit(0.0), lambda total, d: total + F.coalesce(F.abs(d["z_score"]), F.lit(0.0)))
+    features = F.sort_array(F.transform(each, lambda d: d["feature"]))
+    return found.where("error IS NULL").select("event_id", features.alias("features"), F.round(far, 4).alias("distance"))
+
+
+def _facts(found: DataFrame) -> DataFrame:
     info = F.col("model_info")
-    return _detected(spark, folder).select(
+    return found.select(
         "event_id",
         "log_type",
         "is_anomaly",

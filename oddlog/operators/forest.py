@@ -5,8 +5,8 @@ Liu, Ting, Zhou: "Isolation Forest", ICDM 2008. 100 trees on at most 256 rows ea
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +20,8 @@ from ..session import BROADCAST_ROWS, join_side
 from .quantiles import exact_quantiles
 
 TREES, MAX_SAMPLES, CONTAMINATION, SEED = 100, 256, 0.1, 42  # fixed values
-FOREST_SCHEMA = "log_type string, tree int, node int, feature int, threshold double, path_length double"
+FOREST_SCHEMA = "log_type string, tree int, node int, feature int, threshold double, path_length double, node_rows int"
+DIGITS = 13  # hex digits of a digest that make a random number; a double holds them exactly
 
 
 def sample_size(rows: int) -> int:
@@ -43,9 +44,15 @@ def draw_plan(rows: dict[str, int], trees: int = TREES) -> list[tuple[str, float
     return plan
 
 
-def uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from a hash of ``parts``."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) * float(2**-53)
+def uniform(text: Column) -> Column:
+    """A number in [0, 1) from the MD5 digest of ``text``, the same in any engine."""
+    digits = F.substring(F.md5(text.cast("binary")), 1, DIGITS)
+    return F.conv(digits, 16, 10).cast("double") / float(16**DIGITS)
+
+
+def key_text(row_key: list[str]) -> Column:
+    """The columns that identify a row as one text; nulls are empty."""
+    return F.concat_ws("|", *[F.coalesce(c(k).cast("string"), F.lit("")) for k in row_key])
 
 
 def draw_samples(
@@ -60,12 +67,12 @@ def draw_samples(
     plan = draw_plan(rows, trees)
     spark = df.sparkSession
     draws = spark.createDataFrame(plan, "log_type string, _draw_p double, _draw_trees int, _draw_count int")
-    key = F.xxhash64(*[c(k) for k in row_key]) if row_key else F.rand(seed)
+    key = key_text(row_key) if row_key else F.rand(seed).cast("string")
     few = F.broadcast(draws) if len(plan) <= BROADCAST_ROWS else draws
     keyed = df.withColumn("_draw_key", key).join(few, "log_type")
 
     def draw(r: Column) -> Column:
-        u = uniform(F.col("_draw_key"), r, F.lit(seed))
+        u = uniform(F.concat_ws(":", F.col("_draw_key"), r.cast("string"), F.lit(str(seed))))
         place = F.floor(u / F.col("_draw_p")).cast("int")
         tree = r * F.col("_draw_trees") + place
         inside = (place < F.col("_draw_trees")) & (tree < trees)
@@ -88,26 +95,29 @@ def draw_samples(
 def grow(log_type: str, tree: int, x: np.ndarray, seed: int = SEED) -> pd.DataFrame:
     """One isolation tree over the sample ``x`` as heap-numbered nodes (root 1, children 2i and 2i + 1).
 
-    Random numbers come from (seed, log type, tree) in node order, and a split depends on the set of rows only, so
-    neither row order nor partitioning matters.
+    Random numbers are digests of (seed, log type, tree, node), and a split depends on the set of rows only, so neither
+    row order nor partitioning matters, and SQL can grow the same tree.
     """
     limit = math.ceil(math.log2(max(len(x), 2)))
-    rng = np.random.default_rng([seed, zlib.crc32(log_type.encode()), tree])
     nodes, pending = [], [(1, 0, x)]
     while pending:
         node, depth, part = pending.pop()
         low, high = part.min(axis=0), part.max(axis=0)
         open_features = np.flatnonzero(low < high)
         if depth == limit or len(part) == 1 or not len(open_features):
-            nodes.append((log_type, tree, node, None, None, depth + average_path(len(part))))
+            nodes.append((log_type, tree, node, None, None, depth + average_path(len(part)), len(part)))
             continue
-        feature = int(open_features[rng.integers(len(open_features))])
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        digest = hashlib.md5(f"{seed}:{log_type}:{tree}:{node}".encode()).hexdigest()
+        choice, cut = (int(digest[i : i + DIGITS], 16) / 16**DIGITS for i in (0, DIGITS))
+        feature = int(open_features[int(choice * len(open_features))])
+        threshold = float(low[feature] + cut * (high[feature] - low[feature]))
+        if threshold >= high[feature]:  # rounded up: nothing would go right
+            threshold = float(low[feature])
         goes_left = part[:, feature] <= threshold
-        nodes.append((log_type, tree, node, feature, threshold, None))
+        nodes.append((log_type, tree, node, feature, threshold, None, len(part)))
         pending.append((2 * node, depth + 1, part[goes_left]))
         pending.append((2 * node + 1, depth + 1, part[~goes_left]))
-    out = pd.DataFrame(nodes, columns=["log_type", "tree", "node", "feature", "threshold", "path_length"])
+    out = pd.DataFrame(nodes, columns=["log_type", "tree", "node", "feature", "threshold", "path_length", "node_rows"])
     return out.astype({"feature": "Int32"})
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession, functions as F
 
 from ...functions.names import c
+from ...functions.scoring import EULER
 from ...operators import encode, forest as trees
 from ...operators.detect import Scorer
 from ...operators.profile import Profile, profile
@@ -122,16 +123,20 @@ def median_impute(spark, folder):
 _SCALED = ["user_id", "value", "props.k", "hour", "day_of_week"]
 
 
-@query(
-    f"WITH {SELECTED_SQL}, {VALUES_SQL}, txt AS (SELECT lg.log_type, event_id, f.feature, coalesce(f.v, 'unknown') AS value FROM"
+CELLS_SQL = (
+    "txt AS (SELECT lg.log_type, event_id, f.feature, coalesce(f.v, 'unknown') AS value FROM"
     " (SELECT *, unnest([{'feature': 'dst_port', 'v': CAST(dst_port AS VARCHAR)}, {'feature': 'flag', 'v': CASE flag WHEN true"
     " THEN 'True' WHEN false THEN 'False' END}, {'feature': 'tier', 'v': tier}, {'feature': 'agent', 'v': agent}]) AS f FROM lg) lg),"
     " nums AS (SELECT log_type, event_id, f.feature, f.v, avg(f.v) OVER w AS m, stddev_pop(f.v) OVER w AS s FROM (SELECT *, unnest(["
     + ", ".join(f"{{'feature': '{n}', 'v': CAST(\"{n}\" AS DOUBLE)}}" for n in [*_SCALED, "active"])
-    + "]) AS f FROM lg) WINDOW w AS (PARTITION BY log_type, f.feature))"
-    " SELECT event_id, CAST(slot AS INTEGER) AS slot, CAST(code AS DOUBLE) AS x FROM txt JOIN codes USING (log_type, feature, value)"
-    " UNION ALL SELECT event_id, CAST(slot AS INTEGER), round((v - m) / s, 6) FROM nums JOIN slots USING (log_type, feature)"
+    + "]) AS f FROM lg) WINDOW w AS (PARTITION BY log_type, f.feature)),"
+    " cells AS (SELECT log_type, event_id, CAST(slot AS INTEGER) AS slot, CAST(code AS DOUBLE) AS x FROM txt"
+    " JOIN codes USING (log_type, feature, value)"
+    " UNION ALL SELECT log_type, event_id, CAST(slot AS INTEGER), (v - m) / s FROM nums JOIN slots USING (log_type, feature))"
 )
+
+
+@query(f"WITH {SELECTED_SQL}, {VALUES_SQL}, {CELLS_SQL} SELECT event_id, slot, round(x, 6) AS x FROM cells")
 def feature_matrix(spark, folder):
     """Every cell of the model matrix: label codes, then scaled numbers."""
     scorer = Scorer(_untrained(spark, folder))
@@ -140,11 +145,58 @@ def feature_matrix(spark, folder):
     return encoded.select("event_id", F.inline(cells))
 
 
-@query()
+def _uniform_sql(text: str, at: int = 1) -> str:
+    return f"('0x' || substr(md5({text}), {at}, {trees.DIGITS}))::BIGINT / {float(16**trees.DIGITS)}"
+
+
+def _cut_sql(rows: str) -> str:
+    """What splits each node of ``rows`` (with low, high and n): the feature and threshold, null for leaves."""
+    name = f"'{trees.SEED}:' || log_type || ':' || tree || ':' || node"
+    return (
+        f"SELECT *, CASE WHEN raw >= high[f + 1] THEN low[f + 1] ELSE raw END AS cut FROM (SELECT *, low[f + 1]"
+        f" + {_uniform_sql(name, 1 + trees.DIGITS)} * (high[f + 1] - low[f + 1]) AS raw FROM (SELECT *, CASE WHEN depth < deepest"
+        f" AND n > 1 AND len(free) > 0 THEN free[1 + floor({_uniform_sql(name)} * len(free))::INT] END AS f FROM (SELECT *,"
+        f" list_filter(range({WIDTH}), lambda i: low[i + 1] < high[i + 1]) AS free FROM ({rows}))))"
+    )
+
+
+def _ends_sql(over: str) -> str:
+    low, high = (", ".join(f"{which}(x[{i + 1}]){over}" for i in range(WIDTH)) for which in ("min", "max"))
+    return f"[{low}] AS low, [{high}] AS high, count(*){over} AS n"
+
+
+WIDTH = 10  # features of a model at most
+AVERAGE_SQL = f"CASE WHEN {{n}} <= 1 THEN 0.0 WHEN {{n}} = 2 THEN 1.0 ELSE 2 * (ln({{n}} - 1.0) + {EULER}) - 2.0 * ({{n}} - 1) / {{n}} END"
+# The forest itself: rows drawn and trees grown by digests, level by level.
+FOREST_SQL = (
+    f"{SELECTED_SQL}, {VALUES_SQL}, {CELLS_SQL},"
+    " mat AS MATERIALIZED (SELECT log_type, event_id, list(x ORDER BY slot) AS x FROM cells GROUP BY ALL),"
+    " per AS (SELECT *, least(100, greatest(1, floor(1 / p)::INT)) AS per_draw FROM (SELECT log_type, least(256, count(*)) AS psi,"
+    " least(1.0, (least(256, count(*)) + 8 * sqrt(least(256, count(*)))) / count(*)) AS p FROM mat GROUP BY log_type)),"
+    " hits AS (SELECT *, floor(u / p)::INT AS place FROM (SELECT *,"
+    f" {_uniform_sql(f"event_id || ':' || r || ':{trees.SEED}'")} AS u FROM (SELECT mat.*, p, per_draw,"
+    " unnest(range(ceil(100 / per_draw)::INT)) AS r FROM mat JOIN per USING (log_type)))),"
+    " sample AS MATERIALIZED (SELECT log_type, event_id, x, r * per_draw + place AS tree FROM hits WHERE place < per_draw AND"
+    " r * per_draw + place < 100 QUALIFY row_number() OVER (PARTITION BY log_type, tree ORDER BY u, event_id::VARCHAR) <= 256),"
+    " grown AS (SELECT *, 1::BIGINT AS node, 0 AS depth, ceil(log2(greatest(2, count(*) OVER (PARTITION BY log_type, tree))))::INT"
+    " AS deepest FROM sample UNION ALL SELECT log_type, event_id, x, tree, 2 * node + (x[f + 1] > cut)::INT, depth + 1, deepest FROM ("
+    + _cut_sql(f"SELECT *, {_ends_sql(' OVER w')} FROM grown WINDOW w AS (PARTITION BY log_type, tree, node)")
+    + ") WHERE f IS NOT NULL),"
+    " nodes AS MATERIALIZED (SELECT log_type, tree, node, f AS feature, CASE WHEN f IS NOT NULL THEN cut END AS threshold,"
+    f" CASE WHEN f IS NULL THEN depth + {AVERAGE_SQL.format(n='n')} END AS path_length, n AS node_rows FROM ("
+    + _cut_sql(f"SELECT log_type, tree, node, depth, deepest, {_ends_sql('')} FROM grown GROUP BY ALL")
+    + "))"
+)
+
+
+@query(
+    f"WITH RECURSIVE {FOREST_SQL} SELECT log_type, tree::INT AS tree, node::INT AS node, feature::INT AS feature,"
+    " round(threshold, 6) AS threshold, round(path_length, 6) AS path_length, node_rows::INT AS node_rows FROM nodes"
+)
 def forest_fit(spark, folder):
-    """The grown trees themselves; random by nature, see forest_shape for what must hold."""
-    return _fitted(spark, folder).forest.withColumns(
-        {"threshold": r6("threshold"), "path_length": r6("path_length")}
+    """Every node of the grown trees, with the rows that reached it."""
+    return _fitted(spark, folder).forest.select(
+        "log_type", "tree", "node", "feature", r6("threshold").alias("threshold"), r6("path_length").alias("path_length"), "node_rows"
     )
 
 
@@ -219,7 +271,15 @@ def multi_log_type_train(spark, folder):
     return models.select("log_type", (F.abs(F.col("anomaly_rate") - trees.CONTAMINATION) < 0.01).alias("calibrated"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {FOREST_SQL}, walk AS (SELECT log_type, event_id, t.tree, 1::BIGINT AS node FROM mat, range(100) t(tree)"
+    " UNION ALL SELECT w.log_type, w.event_id, w.tree, 2 * w.node + (m.x[o.feature + 1] > o.threshold)::INT FROM walk w"
+    " JOIN nodes o ON o.log_type = w.log_type AND o.tree = w.tree AND o.node = w.node JOIN mat m ON m.event_id = w.event_id"
+    " AND m.log_type = w.log_type WHERE o.feature IS NOT NULL),"
+    f" scores AS (SELECT log_type, event_id, -pow(2.0, -avg(path_length) / any_value({AVERAGE_SQL.format(n='psi')})) AS score"
+    " FROM walk JOIN nodes USING (log_type, tree, node) JOIN per USING (log_type) WHERE path_length IS NOT NULL GROUP BY log_type, event_id)"
+    " SELECT event_id, log_type, round(score - quantile_cont(score, 0.1) OVER (PARTITION BY log_type), 6) AS decision FROM scores"
+)
 def training_scores(spark, folder):
     """Decision values of the whole log under the trained forest."""
     scorer = Scorer(_fitted(spark, folder))

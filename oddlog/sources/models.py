@@ -16,7 +16,7 @@ TABLES = {
     " is_optimal boolean, optimal_rank int, scale_mean double, scale_std double, fill_median double,"
     " log_type string",
     "values": "slot int, feature string, value string, code int, cnt bigint, log_type string",
-    "forest": "tree int, node int, feature int, threshold double, path_length double, log_type string",
+    "forest": "tree int, node int, feature int, threshold double, path_length double, node_rows int, log_type string",
 }
 
 

@@ -387,6 +387,34 @@ def collect_all_queries(spark, folder):
     return report.select("title", "n_logs", F.col("error").isNull().alias("ok"))
 
 
+METERED = ("2024-01-20", "2024-01-25")
+_METERED_SQL = (
+    "SELECT {run} AS run, 'clicks' AS title, count(*) AS fetched, count(*) FILTER (ts >= TIMESTAMP '{known}') AS stored,"
+    " CAST(sum(strlen('{{\"event_id\":' || event_id || ',\"ts\":\"2024-01-01T00:00:00.000\",\"user_id\":' || user_id ||"
+    " ',\"event_type\":\"click\",\"value\":' || value || '}}')) AS BIGINT) AS bytes, max(ts) AS latest, true AS rated FROM {rows}"
+)
+
+
+@query(
+    f"WITH clicks AS (SELECT * FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '{METERED[1]}'),"
+    f" a AS (SELECT * FROM clicks WHERE ts < TIMESTAMP '{METERED[0]}' AND ts >= TIMESTAMP '{METERED[0]}' - INTERVAL 30 DAY),"
+    f" w AS (SELECT greatest(1, least(30, floor(epoch(TIMESTAMP '{METERED[1]}' - max(ts)) / 86400)::INT + 1)) AS days FROM a),"
+    f" b AS (SELECT clicks.* FROM clicks, w WHERE ts >= TIMESTAMP '{METERED[1]}' - to_days(days)) "
+    + " UNION ALL ".join(_METERED_SQL.format(run=i + 1, known=known, rows=rows) for i, (known, rows) in enumerate([("1900-01-01", "a"), (METERED[0], "b")]))
+)
+def collect_metrics(spark, folder):
+    """Two runs of one query: what each fetched, what was new, its bytes and its latest time, observed while writing."""
+    path, reports_ = new_path(spark, "metered"), []
+    for run, day in enumerate(METERED, 1):
+        ev = table(spark, folder, "events").where(F.col("ts") < F.lit(day).cast("timestamp_ntz"))
+        clicks = LogQuery("clicks", 30, ev, "ts", {"event_type": "click"}, ("props",), ("event_id",))
+        found = collect_all(spark, [clicks], path, f"{day} 00:00:00")
+        latest = F.col("latest_timestamp").cast("timestamp_ntz").alias("latest")
+        rated = F.col("rate").endswith("events/min").alias("rated")
+        reports_.append(found.select(F.lit(run).alias("run"), "title", "fetched", "stored", "bytes", latest, rated))
+    return reduce(DataFrame.union, reports_)
+
+
 RETURNING = ("2024-01-10", "2024-01-12", "2024-01-25", "2024-01-28")
 
 

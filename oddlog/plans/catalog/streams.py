@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ...operators import merge
 from ...session import new_path
@@ -48,6 +48,21 @@ def stream_alerts(spark, folder):
     return _run(spark, _scored_stream(spark, folder), "stream-alerts", True).select("event_id", "log_type", "explanation")
 
 
+@query("SELECT b AS batch_id, count(*) AS rows, true AS timed FROM events, range(4) t(b) WHERE event_id % 4 = b GROUP BY b")
+def stream_metrics(spark, folder):
+    """Scoring in four micro-batches, a quarter of the events each, and what the engine says of each batch."""
+    raw, path = security_events(spark, folder), new_path(spark, "quarters")
+    for part in range(4):  # files are taken in the order of their writing
+        raw.where(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").json(path)
+    arriving = streams.read_events(spark, path, raw.schema, maxFilesPerTrigger=1)
+    rows = streams.detect_stream(arriving, fixed_scorer(spark, folder), LIMIT, keep=("event_id",))
+    running = streams.write_results(rows, new_path(spark, "quarter-results"), new_path(spark, "quarter-checkpoint"))
+    running.awaitTermination()
+    found = streams.run_metrics(spark, running)
+    timed = (F.col("duration_ms") > 0) & (F.col("rows_per_second") > 0)
+    return found.select("batch_id", "rows", timed.alias("timed"))
+
+
 @query("SELECT event_id AS id FROM events UNION SELECT event_id * 2 FROM events")
 def stream_dedupe(spark, folder):
     """Stored and newly pulled events arriving together; each id is passed on once."""

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import time
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions import timefeat
 from ..functions.names import IDENTITY_FIELDS, c
 from ..functions.text import rate_label
 from ..operators import merge
-from ..operators.flatten import exclude
+from ..operators.flatten import exclude, record_size
 from ..sources import state as states
 
 DAY = "collected_day"  # partition column of stored datasets
@@ -81,15 +83,38 @@ def drop_expired(spark: SparkSession, query: LogQuery, path: str, as_of: datetim
     return gone
 
 
-def collect_one(
-    spark: SparkSession, query: LogQuery, state: DataFrame | None, path: str, as_of: datetime | str
-) -> tuple[int, str | None]:
-    """Bring one dataset up to date; rows fetched and the raw text of their latest time.
+@contextmanager
+def observed_whole(spark: SparkSession):
+    """Within it, a write that turns out to be empty is still carried out as planned.
+
+    Otherwise adaptive execution puts an empty relation in its place, and with it what was observed on the way is lost.
+    """
+    key = "spark.sql.adaptive.optimizer.excludedRules"
+    before = spark.conf.get(key, None)
+    rule = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+    spark.conf.set(key, f"{before},{rule}" if before else rule)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+class Pulled(NamedTuple):
+    """What one run read and kept, as the engine counted it while writing."""
+
+    fetched: int
+    stored: int
+    size: int  # of the fetched rows as JSON
+    latest: str | None  # text of the fetched rows' latest time
+
+
+def collect_one(spark: SparkSession, query: LogQuery, state: DataFrame | None, path: str, as_of: datetime | str) -> Pulled:
+    """Bring one dataset up to date.
 
     Every run follows one rule: of the fetched rows the first of each key is stored, unless a stored row inside the
     window has that key. Expired rows hide nothing, and the folders of expired days are deleted. Keys are stored next to
-    the rows, so of the history only the keys and times of days inside the window are read. A pull is written once;
-    its size and latest time are read from its time fields alone.
+    the rows, so of the history only the keys and times of days inside the window are read. A pull is read once: its
+    rows, bytes and latest time are observed on the way into the dataset.
     """
     known = None if state is None else states.get(merge.next_windows(state, as_of), query.title).first()
     dataset = f"{path}/data/{query.title}"
@@ -97,14 +122,15 @@ def collect_one(
     days = query.window_days if known is None or not stored_before else known.next_days
     pull = extract(query, as_of, days)
     times = time_fields(query, pull)
-    at = merge.event_instant(pull, times)
-    raw = merge.first_truthy(pull, times)
-    timed = pull.select(at.alias("at"), raw.alias("raw"))
-    found = timed.agg(
+    at, raw = merge.event_instant(pull, times), merge.first_truthy(pull, times)
+    read, written = Observation(), Observation()
+    seen = pull.observe(
+        read,
         F.count(F.lit(1)).alias("rows"),
-        F.max_by(F.when(F.col("at").isNotNull(), F.col("raw")), F.struct("at", "raw")).alias("latest"),
-    ).first()
-    keyed = pull.withColumns({ROW_ID: merge.identity(pull, query.key_fields), ROW_TIME: at})
+        F.coalesce(F.sum(record_size(pull).cast("bigint")), F.lit(0)).alias("size"),
+        F.max_by(F.when(at.isNotNull(), raw), F.struct(at.alias("at"), raw.alias("raw"))).alias("latest"),
+    )
+    keyed = seen.withColumns({ROW_ID: merge.identity(pull, query.key_fields), ROW_TIME: at})
     ties = [F.xxhash64(*[c(n) for n in pull.columns])]
     fresh = merge.keep_first(keyed, F.col(ROW_ID), ties)
     if stored_before:
@@ -113,15 +139,18 @@ def collect_one(
         inside = keys.where(F.col(DAY).isNull() | (F.col(DAY) >= first_day(as_of, query.window_days)))
         inside = inside.where(F.col(ROW_AT).isNull() | (F.col(ROW_AT) >= since))
         fresh = fresh.join(inside.select(ROW_ID), ROW_ID, "left_anti")
-    write_days(fresh.withColumn(ROW_AT, F.col(ROW_TIME)), query, path)
+    kept = fresh.withColumn(ROW_AT, F.col(ROW_TIME)).observe(written, F.count(F.lit(1)).alias("rows"))
+    with observed_whole(spark):
+        write_days(kept, query, path)
     drop_expired(spark, query, path, as_of)
-    return found["rows"], found["latest"]
+    return Pulled(read.get["rows"], written.get["rows"], read.get["size"], read.get["latest"])
 
 
 def collect_all(
     spark: SparkSession, queries: list[LogQuery], path: str, as_of: datetime | str
 ) -> DataFrame:
-    """Run every query and return one row per title: rows, latest time, speed and error.
+    """Run every query and return one row per title: rows in the dataset, latest time, speed and error, and what the run
+    itself fetched, stored and read in bytes.
 
     A failing query counts 0 rows and does not stop the others.
     """
@@ -131,15 +160,18 @@ def collect_all(
     for query in queries:
         start = time.perf_counter()
         try:
-            fetched, latest = collect_one(spark, query, known, path, as_of)
+            pulled = collect_one(spark, query, known, path, as_of)
             count = read_collected(spark, query, path, as_of).count()
             # a run that fetched nothing leaves the state as it was
-            latest = (latest or states.stamp(as_of)) if fetched else None
-            rows.append((query.title, query.window_days, count, latest, time.perf_counter() - start, None))
+            latest = (pulled.latest or states.stamp(as_of)) if pulled.fetched else None
+            counts = (pulled.fetched, pulled.stored, pulled.size)
+            rows.append((query.title, query.window_days, count, latest, time.perf_counter() - start, None, *counts))
         except Exception as problem:  # noqa: BLE001 - reported per title
-            rows.append((query.title, query.window_days, 0, None, time.perf_counter() - start, str(problem)))
+            rows.append((query.title, query.window_days, 0, None, time.perf_counter() - start, str(problem), 0, 0, 0))
     report = spark.createDataFrame(
-        rows, "title string, window_days int, n_logs bigint, latest_timestamp string, seconds double, error string"
+        rows,
+        "title string, window_days int, n_logs bigint, latest_timestamp string, seconds double, error string,"
+        " fetched bigint, stored bigint, bytes bigint",
     ).withColumn("rate", rate_label(F.col("n_logs"), F.col("seconds")))
     done = report.where("error IS NULL AND latest_timestamp IS NOT NULL")
     base = states.initial(done, as_of)

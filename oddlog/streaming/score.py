@@ -52,3 +52,16 @@ def dedupe_stream(events: DataFrame, key: Column, time: str, window_days: int) -
         .withWatermark(time, f"{window_days} days")
         .dropDuplicatesWithinWatermark(["log_id"])
     )
+
+
+PROGRESS = "batch_id bigint, rows bigint, rows_per_second double, duration_ms bigint, started string"
+
+
+def run_metrics(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """One row per micro-batch that the engine still remembers (100 by default): rows read, speed and duration."""
+    found = [
+        (p.batchId, p.numInputRows, float(p.processedRowsPerSecond), int(p.durationMs["triggerExecution"]), p.timestamp)
+        for p in query.recentProgress
+        if p.numInputRows
+    ]
+    return spark.createDataFrame(found, PROGRESS)

@@ -233,3 +233,24 @@ def test_work_folder_comes_from_the_session(spark):
     assert new_path(spark, "x").startswith(work_dir(spark))
     staged = stage(spark.range(3), "numbers")
     assert staged.count() == 3 and "parquet" in staged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_pull_is_read_once_and_counted_on_the_way(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+    rows = [(f"id{i % 70}", f"2024-01-{1 + i % 9:02d}T00:00:00Z", "é" * (i % 3)) for i in range(100)]
+    source = spark.createDataFrame(rows, "p_row_id string, p_event_time string, text string")
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    pulled = LogQuery("logs", 30, source.mapInArrow(counted, source.schema), key_fields=("p_row_id",))
+    first = collect_all(spark, [pulled], str(tmp_path), "2024-01-10 00:00:00").first()
+    assert read.value == 100 and (first.fetched, first.stored, first.n_logs) == (100, 70, 70)
+    assert first.bytes == sum(len(f'{{"p_row_id":"{a}","p_event_time":"{b}","text":"{t}"}}'.encode()) for a, b, t in rows)
+    assert first.latest_timestamp == "2024-01-09T00:00:00Z" and first.rate.endswith("events/min")
+    again = collect_all(spark, [pulled], str(tmp_path), "2024-01-10 00:00:00").first()
+    assert read.value == 200 and again.fetched == sum(t >= "2024-01-08" for _, t, _ in rows) and (again.stored, again.n_logs) == (0, 70)
+    nothing = collect_all(spark, [LogQuery("logs", 30, source.limit(0), key_fields=("p_row_id",))], str(tmp_path), "2024-01-11 00:00:00").first()
+    assert (nothing.fetched, nothing.stored, nothing.bytes, nothing.n_logs, nothing.error) == (0, 0, 0, 70, None)

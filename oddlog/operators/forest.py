@@ -21,6 +21,8 @@ from .quantiles import exact_quantiles
 
 TREES, MAX_SAMPLES, CONTAMINATION, SEED = 100, 256, 0.1, 42  # fixed values
 FOREST_SCHEMA = "log_type string, tree int, node int, feature int, threshold double, path_length double, node_rows int"
+FOREST_COLUMNS = ["log_type", "tree", "node", "feature", "threshold", "path_length", "node_rows"]
+NOT_FINITE = "values that are no finite numbers"
 DIGITS = 13  # hex digits of a digest that make a random number; a double holds them exactly
 
 
@@ -96,8 +98,10 @@ def grow(log_type: str, tree: int, x: np.ndarray, seed: int = SEED) -> pd.DataFr
     """One isolation tree over the sample ``x`` as heap-numbered nodes (root 1, children 2i and 2i + 1).
 
     Random numbers are digests of (seed, log type, tree, node), and a split depends on the set of rows only, so neither
-    row order nor partitioning matters, and SQL can grow the same tree.
+    row order nor partitioning matters, and SQL can grow the same tree. Values that are no finite numbers are an error.
     """
+    if not np.isfinite(x).all():
+        raise ValueError(NOT_FINITE)
     limit = math.ceil(math.log2(max(len(x), 2)))
     nodes, pending = [], [(1, 0, x)]
     while pending:
@@ -117,18 +121,25 @@ def grow(log_type: str, tree: int, x: np.ndarray, seed: int = SEED) -> pd.DataFr
         nodes.append((log_type, tree, node, feature, threshold, None, len(part)))
         pending.append((2 * node, depth + 1, part[goes_left]))
         pending.append((2 * node + 1, depth + 1, part[~goes_left]))
-    out = pd.DataFrame(nodes, columns=["log_type", "tree", "node", "feature", "threshold", "path_length", "node_rows"])
+    out = pd.DataFrame(nodes, columns=FOREST_COLUMNS)
     return out.astype({"feature": "Int32"})
 
 
 def fit_forest(samples: DataFrame, features: list[str], seed: int = SEED) -> DataFrame:
-    """Grow every tree from its drawn rows; groups hold at most 256 rows."""
+    """Grow every tree from its drawn rows; groups hold at most 256 rows.
+
+    A tree that cannot be grown is one row with the reason in ``error``, and stops no other.
+    """
 
     def grow_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return grow(key[0], int(key[1]), pdf[features].to_numpy(dtype=float), seed)
+        try:
+            return grow(key[0], int(key[1]), pdf[features].to_numpy(dtype=float), seed).assign(error=None)
+        except Exception as problem:  # noqa: BLE001 - reported per log type
+            failed = pd.DataFrame([{"log_type": key[0], "tree": int(key[1]), "error": str(problem) or type(problem).__name__}])
+            return failed.reindex(columns=[*FOREST_COLUMNS, "error"])
 
     return samples.select("log_type", F.col("_tree").alias("tree"), *features).groupBy("log_type", "tree").applyInPandas(
-        grow_group, FOREST_SCHEMA
+        grow_group, f"{FOREST_SCHEMA}, error string"
     )
 
 

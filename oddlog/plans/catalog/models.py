@@ -10,7 +10,7 @@ from ...operators import encode, forest as trees
 from ...operators.detect import Scorer
 from ...operators.profile import Profile, profile
 from ...session import join_side, new_path, stage
-from ...sources.models import Model
+from ...sources.models import Model, store_status
 from .. import train
 from .registry import query, remembered, table
 from .views import SCORED_SQL, VIEW_COLUMNS, candidates_sql, log_view, profile_sql, r6, selection_sql
@@ -285,3 +285,40 @@ def training_scores(spark, folder):
     scorer = Scorer(_fitted(spark, folder))
     scored = scorer.score(scorer.encode(log_view(spark, folder, TYPES), ["event_id"], "median", "inner"))
     return scored.select("event_id", c("log_type"), r6(F.col("score") - F.col("offset")).alias("decision"))
+
+
+INFINITE = "click"
+BROKEN = "view"
+
+
+@query(
+    f"WITH {SELECTED_SQL}, done AS (SELECT log_type, count(*) FILTER (is_category) AS n_categorical,"
+    " count(*) FILTER (NOT is_category) AS n_numerical FROM slots GROUP BY log_type)"
+    f" SELECT log_type, samples, CASE WHEN log_type <> '{INFINITE}' THEN n_categorical END AS n_categorical,"
+    f" CASE WHEN log_type <> '{INFINITE}' THEN n_numerical END AS n_numerical, CASE WHEN log_type = '{INFINITE}'"
+    f" THEN 'FAILED - value: {trees.NOT_FINITE}' WHEN n_categorical IS NOT NULL THEN 'SUCCESS' WHEN samples < 100"
+    " THEN 'FAILED - insufficient data' ELSE 'FAILED - no suitable features' END AS status"
+    f" FROM (SELECT {TYPES} AS log_type, count(*) AS samples FROM events GROUP BY ALL) LEFT JOIN done USING (log_type)"
+)
+def training_with_failure(spark, folder):
+    """Training over all log types of which one holds an infinite number: the others get their models."""
+    logs = log_view(spark, folder, TYPES)
+    odd = (F.col("log_type") == INFINITE) & (F.col("event_id") % 50 == 0)
+    logs = logs.withColumn("value", F.when(odd, float("inf")).otherwise(F.col("value")))
+    model = train.fit(logs, row_key=["event_id"], columns=VIEW_COLUMNS)
+    return train.training_report(logs, model)
+
+
+@query(
+    f"WITH {SELECTED_SQL}, kinds AS (SELECT log_type, count(*) AS slots FROM slots GROUP BY log_type) SELECT log_type,"
+    f" CASE WHEN log_type = '{BROKEN}' THEN 'features: 0 of ' || slots || ' rows' ELSE 'loaded' END AS status,"
+    f" CASE WHEN log_type <> '{BROKEN}' THEN 100 END AS trees FROM kinds"
+)
+def model_store_status(spark, folder):
+    """A store whose features of one log type were lost: what is loaded of it, and what is said of the rest."""
+    path = new_path(spark, "models")
+    version = _fitted(spark, folder).save(path)
+    lost = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/features/version={version}/log_type={BROKEN}")
+    lost.getFileSystem(spark._jsc.hadoopConfiguration()).delete(lost, True)
+    loaded = Model.load(spark, path).forest.groupBy("log_type").agg(F.countDistinct("tree").cast("int").alias("trees"))
+    return store_status(spark, path).join(loaded, "log_type", "left").select("log_type", "status", "trees")

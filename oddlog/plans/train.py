@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.names import c
 from ..operators import encode, forest as trees
@@ -46,7 +46,7 @@ def fit(
     seed: int = trees.SEED,
     columns: list[str] | None = None,
 ) -> Model:
-    """Train one isolation forest per log type.
+    """Train one isolation forest per log type. A log type that fails is named in ``failures`` and stops no other.
 
     The log table is read for the moments, for the sketches of columns that may be categories, and once more for the
     columns that can still become features. These are stored; value counts, quantiles, the draw and the scoring of
@@ -68,19 +68,31 @@ def fit(
     features = stage(model_features(found, target), "features")
     values = stage(encode.fit_values(features, found.counts, BY), "values")
 
-    sizes = features.groupBy("log_type").agg(F.max("rows").alias("training_samples"))
-    rows = {r.log_type: r.training_samples for r in sizes.collect()}
+    sizes = features.groupBy("log_type").agg(F.max("rows").alias("training_samples"), unscalable().alias("error"))
+    measured = sizes.collect()
+    rows = {r.log_type: r.training_samples for r in measured if not r.error}
+    errors = [(r.log_type, r.error) for r in measured if r.error]  # as rows, at most one row per log type
+    sizes = sizes.drop("error")
     lists = feature_names(features)
     psi = F.least(F.lit(trees.MAX_SAMPLES), F.col("training_samples")).cast("int")
     models = sizes.join(lists, "log_type").withColumn("psi", psi).withColumn("offset", F.lit(0.0))
 
+    models, features, values = without(errors, models, features, values)
     if not rows:
-        return untrained(models, features, values)
+        return untrained(models, features, values, errors)
     scorer = Scorer(Model(models, features, values, features))
     used = sorted({r.feature for r in scorer.rows})
     narrow = held[0].select("log_type", *[c(n) for n in dict.fromkeys([*keys, *used])])
     drawn = trees.draw_samples(narrow, rows, row_key, n_trees, seed)
     grown = stage(trees.fit_forest(scorer.encode(drawn, ["_tree"], "median", "inner"), scorer.matrix, seed), "forest")
+    ungrown = grown.where("error IS NOT NULL").groupBy("log_type").agg(F.min("error").alias("error")).collect()
+    if ungrown:
+        errors += [(r.log_type, r.error) for r in ungrown]
+        models, features, values, grown = without(errors, models, features, values, grown)
+        if len(ungrown) == len(rows):
+            return untrained(models, features, values, errors)
+        scorer = Scorer(Model(models, features, values, features))
+    grown = grown.drop("error")
 
     scorer.model = Model(models, features, values, grown)
     scores = stage(
@@ -98,14 +110,34 @@ def fit(
         .join(rates, "log_type")
         .withColumn("params", F.create_map(*[F.lit(str(x)) for kv in params.items() for x in kv]))
     )
-    return Model(stage(models, "models"), features, values, grown)
+    return Model(stage(models, "models"), features, values, grown, failures(models.sparkSession, errors))
 
 
-def untrained(models: DataFrame, features: DataFrame, values: DataFrame) -> Model:
+def unscalable() -> Column:
+    """What is wrong with the chosen numbers of a log type: a column that holds an infinite number has no finite mean."""
+
+    def odd(name: str) -> Column:
+        return F.isnan(name) | F.col(name).isin(float("inf"), float("-inf"))
+
+    bad = ~F.col("is_category") & (odd("scale_mean") | odd("scale_std"))
+    return F.concat(F.min(F.when(bad, F.col("feature"))), F.lit(f": {trees.NOT_FINITE}"))
+
+
+def without(errors: list[tuple[str, str]], *tables: DataFrame) -> list[DataFrame]:
+    """The tables without the log types that failed."""
+    gone = [log_type for log_type, _ in errors]
+    return [df.where(~F.col("log_type").isin(gone)) if gone else df for df in tables]
+
+
+def failures(spark: SparkSession, errors: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame(errors, "log_type string, error string")
+
+
+def untrained(models: DataFrame, features: DataFrame, values: DataFrame, errors: list[tuple[str, str]]) -> Model:
     """The empty model of a log table none of whose log types can be trained."""
     forest = models.sparkSession.createDataFrame([], trees.FOREST_SCHEMA)
     empty = models.withColumns({"anomaly_rate": F.lit(None).cast("double"), "params": F.create_map().cast("map<string,string>")})
-    return Model(empty, features, values, forest)
+    return Model(empty, features, values, forest, failures(models.sparkSession, errors))
 
 
 def feature_names(features: DataFrame) -> DataFrame:
@@ -133,9 +165,11 @@ def training_report(logs: DataFrame, model: Model, log_type: str = "log_type", m
     status = (
         F.when(F.col("n_categorical").isNotNull(), "SUCCESS")
         .when(F.col("samples") < minimum, "FAILED - insufficient data")
+        .when(F.col("error").isNotNull(), F.concat(F.lit("FAILED - "), "error"))
         .otherwise("FAILED - no suitable features")
     )
-    return sizes.join(done, "log_type", "left").withColumn("status", status)
+    errors = failures(logs.sparkSession, []) if model.failures is None else model.failures
+    return sizes.join(done, "log_type", "left").join(errors, "log_type", "left").withColumn("status", status).drop("error")
 
 
 def validate_models(models: DataFrame, low: int = 4, high: int = 7) -> DataFrame:

@@ -9,6 +9,8 @@
 * The host's main slot is the template element that holds the article: an ``article`` or ``main`` element before others,
   then the one with the most text outside links; never a menu, header, footer, sidebar, notice, advert, form or comment
   part, by its tag or the words of its class and id.
+* Words about the layout (``with-sidebar``, ``social-article``) may also stand on what surrounds the article. A page that
+  would have no text is therefore read again without them on its ``article`` and ``main`` elements and those around them.
 * The slot is extracted from each page without such parts inside it. A page that has no such slot, or is of a host
   without a valid class, is judged by the same order among its own elements.
 
@@ -54,19 +56,28 @@ ASIDE_WORDS = set(
     " comment comments reply replies discussion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header"
     " masthead share sharing social related newsletter subscribe popup modal widget pagination pager login search".split()
 )
+NO_LAYOUT = set(  # of these, words that never stand around an article
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent"
+    " comment comments reply replies discussion popup modal pagination pager login".split()
+)
 TEXTUAL = ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")  # hold text, but are no place for an article
 ROOMS = {"article": 3, "main": 2}
 
 
 class Element:
+    """``aside`` is 2 in parts that are surely no article text, 1 in those that words about the layout name."""
+
     __slots__ = ("tag", "path", "aside", "room")
 
-    def __init__(self, tag: str, path: str, aside: bool, room: int):
+    def __init__(self, tag: str, path: str, aside: int, room: int):
         self.tag, self.path, self.aside, self.room = tag, path, aside, room
 
 
-def opened(tag: str, attributes: str, parent: Element | None) -> Element:
-    """An element below ``parent``; whether it is, or lies in, a part that is no article text."""
+def opened(tag: str, attributes: str, parent: Element | None, trusted: bool = False) -> Element:
+    """An element below ``parent``; whether it is, or lies in, a part that is no article text.
+
+    With ``trusted``, words about the layout do not count on an article or main element and those around it.
+    """
     label, words, role = tag, [], ""
     for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         value = "".join(values).lower()
@@ -79,11 +90,17 @@ def opened(tag: str, attributes: str, parent: Element | None) -> Element:
     room = max(ROOMS.get(tag, 0), ROOMS.get(role, 0))
     inside = parent.room if parent else 0
     header = tag == "header" and inside < 2  # an article's own header holds its headline
-    aside = bool(parent and parent.aside) or tag in ASIDE or header or (tag not in ("html", "body") and not ASIDE_WORDS.isdisjoint(words))
+    aside = parent.aside if parent else 0
+    if tag in ASIDE or header:
+        aside = 2
+    elif tag not in ("html", "body"):
+        aside = max(aside, 2 if not NO_LAYOUT.isdisjoint(words) else 1 if not ASIDE_WORDS.isdisjoint(words) else 0)
+    if trusted and aside == 1 and (ROOMS.get(tag) or ROOMS.get(role)):
+        aside = 0
     return Element(tag, f"{parent.path}/{label}" if parent else label, aside, max(room, inside))
 
 
-def blocks(page: str):
+def blocks(page: str, trusted: bool = False):
     """Text blocks of a page: (elements around it, text, text in links, is new block), and the counts of all elements."""
     stack: list[Element] = []
     counts: Counter = Counter()
@@ -136,7 +153,7 @@ def blocks(page: str):
                 stack.pop()
             if tag in ("li", "td", "th", "tr", "dt", "dd") and stack and stack[-1].tag == tag:
                 stack.pop()
-            element = opened(tag, attributes, stack[-1] if stack else None)
+            element = opened(tag, attributes, stack[-1] if stack else None, trusted)
             stack.append(element)
             counts[element.path] += 1
     flush()
@@ -185,6 +202,16 @@ def main_text(page: str, slot: str | None) -> str:
     found, counts = blocks(page)
     if slot not in counts:
         slot = best_slot(found)
+    text = text_in(found, slot)
+    if not text:
+        found, _ = blocks(page, trusted=True)
+        found = [b for b in found if b[0] and b[0][-1].room]
+        text = text_in(found, best_slot(found)) if found else ""
+    return text
+
+
+def text_in(found, slot: str | None) -> str:
+    """The text of a slot, or of the whole page, without the parts that are no article text."""
     lines = []
     for elements, text, _ in found:
         inside = slot is None or any(e.path == slot for e in elements)
@@ -210,14 +237,14 @@ def tokens(pages: Column) -> Column:
 def template(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Tokens of the valid equivalence classes: (host, path, class, tokens, pages, mass, aside).
 
-    The digest of an occurrence vector is the exclusive or of hashes of (page, count). Pages are told apart by their
-    address and content; pages equal in both count alike for all their tokens.
+    The digest of an occurrence vector is the sum of hashes of (page, count). Pages are told apart by their address and
+    content; pages equal in both count alike for all their tokens, and each of them counts.
     """
     text_batches(pages.sparkSession)
     page = F.xxhash64(url_col, html_col).alias("page")
     seen = pages.select(host(F.col(url_col)).alias("host"), page, F.explode(tokens(F.col(html_col))).alias("t"))
     per_token = seen.groupBy("host", F.col("t.path").alias("path")).agg(
-        F.bit_xor(F.xxhash64("page", "t.n")).alias("vector"),
+        F.sum(F.xxhash64("page", "t.n").cast("decimal(20,0)")).alias("vector"),  # a decimal sum never overflows
         F.count("*").alias("pages"),
         F.sum("t.n").alias("n"),
         F.sum("t.mass").alias("mass"),

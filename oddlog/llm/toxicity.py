@@ -1,7 +1,9 @@
 """Toxic passages: maximum-scoring segments over token log-odds, judged by extreme-value statistics.
 
 A token is a word in lower case. Its score is the log of how many more toxic documents use it than clean ones, with a
-Dirichlet prior on both rates; the model learns a word once per text, the scan scores it once per ``NEAR`` tokens. The prior is informative: an
+Dirichlet prior on both rates; the model learns a word once per text, the scan scores it once per ``NEAR`` tokens. The k-th time in between, a word of
+positive score counts a k-th of it, so repeats never lower the evidence of a word that is one by itself, nor pile it up
+in proportion. The prior is informative: an
 entry's prior is what its shorter spelling shows (the word, then its first 6, 5, 4, 3 characters, then no preference),
 so an unseen word is scored by its beginning. ``DRIFT`` is subtracted from every score, which keeps the expected score
 of clean text negative.
@@ -66,16 +68,18 @@ class LogOdds:
         return np.array([math.log(ratio) - DRIFT])
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """Scores of a text's tokens; a word again within ``NEAR`` tokens of where it was scored tells nothing new."""
+        """Scores of a text's tokens; those of a word again within ``NEAR`` tokens of where it was scored are damped."""
         if not hasattr(self, "kept"):
             self.kept = Scores(1, self.score)
         out = self.kept.of(words)[:, 0].copy()
-        scored: dict[str, int] = {}
+        scored: dict[str, tuple[int, int]] = {}
         for at, word in enumerate(words):
-            if at - scored.get(word, -NEAR) < NEAR:
-                out[at] = -DRIFT
+            since, times = scored.get(word, (-NEAR, 0))
+            if at - since < NEAR:
+                scored[word] = since, times + 1
+                out[at] = out[at] / (times + 1) if out[at] > 0 else -DRIFT
             else:
-                scored[word] = at
+                scored[word] = at, 1
         return out
 
 

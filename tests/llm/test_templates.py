@@ -63,3 +63,29 @@ def test_edge_rows(spark):
     texts = sorted((r.page_id or 0, r.main_text[:9], r.slot, r.host) for r in got.collect())
     assert texts == [(0, "", "s", "own"), (1, "", "s", "own"), (2, "Head line", "s", "own"), (2, "Head line", "s", "own"), (3, "x x x x x", "s", "own")]
     assert templates.extract(pages.limit(0)).count() == 0
+
+
+def test_words_about_the_layout_do_not_hide_the_article():
+    own = templates.main_text
+    for around in (
+        "<div class='layout with-sidebar'><article>{}</article></div>",
+        "<div id='page' class='no-sidebar'><main>{}</main></div>",
+        "<article class='post related'>{}</article>",
+        "<div class='social-article'><div role='main'>{}</div></div>",
+    ):
+        page = "<body><nav>menu</nav>" + around.format("<h1>Head</h1><p>Body</p><div class='share'>Share</div><div class='comments'>First!</div>")
+        assert own(page, None) == own(page, "html/body/div") == "Head\nBody", around
+    assert own("<body><nav>menu</nav><section class='comments'><article>First!</article></section>", None) == ""
+    assert own("<body><aside><article>Aside</article></aside><div class='menu'>menu</div>", None) == ""
+
+
+def test_identical_pages_count_and_do_not_cancel(spark, monkeypatch):
+    monkeypatch.setattr(templates, "TOKENS", 2)
+    one, other = "<div class='x'></div><div class='y'></div>", "<div class='z'></div><div class='w'></div>"
+    rows = [("http://h.a/1", one)] * 2 + [("http://h.a/2", other)] * 2 + [("http://h.a/3", one + other)]
+    found = templates.template(spark.createDataFrame(rows, "url string, html string").repartition(3)).collect()
+    by_class = {}
+    for r in found:
+        by_class.setdefault(r["class"], set()).add(r.path)
+    assert sorted(map(sorted, by_class.values())) == [["div.w", "div.z"], ["div.x", "div.y"]]
+    assert {r.pages for r in found} == {3}

@@ -115,3 +115,13 @@ def test_a_passage_is_found_again_where_its_words_are_repeated(detector):
     spread = "scumbag " + calm + "idiotic " + calm + "vileness " + calm + "scumbag idiotic vileness"
     assert any(spread[a:b] == "scumbag idiotic vileness" for a, b, _ in detector.passages(spread))
     assert detector.evidence(twice) > detector.evidence(once)
+
+
+def test_repeats_never_lower_the_evidence():
+    odds = toxicity.LogOdds({"scum": (1, 90), "filth": (2, 80)}, 1000, 1000)
+    detector = toxicity.Detector(odds, 1.0, 0.05)  # each word is a passage by itself
+    for word in ("scum", "filth"):
+        found = [detector.evidence(" ".join([word] * n)) for n in (1, 2, 3, 5, 20, 31, 32, 33, 64, 100, 1000)]
+        assert found[0] > 0 and found == sorted(found)
+    assert odds.scores(["scum"] * 4).tolist() == pytest.approx([odds.score("scum")[0] / k for k in (1, 2, 3, 4)])
+    assert odds.scores(["calm"] * 40).tolist() == pytest.approx([-toxicity.DRIFT] * 40)

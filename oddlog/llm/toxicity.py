@@ -1,15 +1,15 @@
 """Toxic passages: maximum-scoring segments over token log-odds, judged by extreme-value statistics.
 
 A token is a word in lower case. Its score is the log of how many more toxic documents use it than clean ones, with a
-Dirichlet prior on both rates; the model learns a word once per text, the scan scores it once per ``NEAR`` tokens. The k-th time in between, a word of
-positive score counts a k-th of it, so repeats never lower the evidence of a word that is one by itself, nor pile it up
-in proportion. The prior is informative: an
+Dirichlet prior on both rates; the model learns a word once per text, the scan scores it anew where it was absent for ``NEAR`` tokens. Until then the
+scores of a toxic word's repeats fall by ``DAMP`` each and do not count for the length of the text, so repeating a word
+never lowers the evidence, nor does it make evidence of a word that is none. The prior is informative: an
 entry's prior is what its shorter spelling shows (the word, then its first 6, 5, 4, 3 characters, then no preference),
 so an unseen word is scored by its beginning. ``DRIFT`` is subtracted from every score, which keeps the expected score
 of clean text negative.
 
 One linear scan finds all maximal-scoring segments of a document (Ruzzo and Tompa 1999). For a segment of score S in a
-text of n tokens, chance gives about E = K n exp(-lambda S) segments as good (Karlin and Altschul 1990). lambda is the
+text of n tokens (repeats aside), chance gives about E = K n exp(-lambda S) segments as good (Karlin and Altschul 1990). lambda is the
 positive root of mean(exp(lambda s)) = 1 over the tokens of clean text, K is the maximum-likelihood value for the best
 segments of clean texts. Segments with E below ``SIGNIFICANT`` are passages; a document's evidence is the sum of
 -log(E) over them, and a logistic curve over it gives the score.
@@ -37,6 +37,7 @@ PREFIXES = (6, 5, 4, 3)
 PRIOR = 4.0  # weight of the shorter spelling, in tokens
 DRIFT = 1.0
 NEAR = 32
+DAMP = 0.25
 SIGNIFICANT = 0.05
 LIMIT = 0.7
 COUNTED = {"toxic": pa.int32(), "entry": pa.string(), "n": pa.int64()}
@@ -67,20 +68,26 @@ class LogOdds:
             ratio = toxic_rate / clean_rate
         return np.array([math.log(ratio) - DRIFT])
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Scores of a text's tokens; those of a word again within ``NEAR`` tokens of where it was scored are damped."""
+    def scores(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """Scores of a text's tokens, and how many of them are no repeats.
+
+        A word is a repeat within ``NEAR`` tokens of where it last was. Its k-th repeat has its score times ``DAMP`` to
+        the power of k if that is positive, else it tells nothing new.
+        """
         if not hasattr(self, "kept"):
             self.kept = Scores(1, self.score)
         out = self.kept.of(words)[:, 0].copy()
-        scored: dict[str, tuple[int, int]] = {}
+        seen: dict[str, tuple[int, int]] = {}
+        fresh = 0
         for at, word in enumerate(words):
-            since, times = scored.get(word, (-NEAR, 0))
-            if at - since < NEAR:
-                scored[word] = since, times + 1
-                out[at] = out[at] / (times + 1) if out[at] > 0 else -DRIFT
+            last, times = seen.get(word, (-NEAR, 0))
+            times = times + 1 if at - last < NEAR else 0
+            seen[word] = at, times
+            if not times:
+                fresh += 1
             else:
-                scored[word] = at, 1
-        return out
+                out[at] = out[at] * DAMP**times if out[at] > 0 else -DRIFT
+        return out, fresh
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -119,10 +126,10 @@ class Detector:
     def passages(self, text: str) -> list[tuple[int, int, float]]:
         """Significant passages as (first character, end, -log E)."""
         words = list(LETTERS.finditer(text))
-        found = segments(self.odds.scores([w.group().lower() for w in words]))
+        scores, fresh = self.odds.scores([w.group().lower() for w in words])
         out = []
-        for score, start, end in found:
-            worth = self.worth(score, len(words))
+        for score, start, end in segments(scores):
+            worth = self.worth(score, fresh)
             if worth > -math.log(SIGNIFICANT):
                 out.append((words[start].start(), words[end - 1].end(), worth))
         return out
@@ -133,7 +140,8 @@ class Detector:
     def evidence(self, text: str) -> float:
         """Sum of -log E over the significant segments of a text; 0 without any."""
         words = LETTERS.findall(text.lower())
-        worths = (self.worth(score, len(words)) for score, _, _ in segments(self.odds.scores(words)))
+        scores, fresh = self.odds.scores(words)
+        worths = (self.worth(score, fresh) for score, _, _ in segments(scores))
         return sum(w for w in worths if w > -math.log(SIGNIFICANT))
 
     def probability(self, evidence: float) -> float:
@@ -234,10 +242,10 @@ def fit(
         out = []
         for part in slices(column):
             for text in part:
-                scores = shared.value.scores(LETTERS.findall(text.lower()))
+                scores, fresh = shared.value.scores(LETTERS.findall(text.lower()))
                 bins = Counter(np.floor(scores / BIN).astype(int).tolist())
                 best = max((s for s, _, _ in segments(scores)), default=0.0)
-                out.append({"tokens": len(scores), "best": best, "bins": list(bins.items())})
+                out.append({"tokens": fresh, "best": best, "bins": list(bins.items())})
         kinds = [("tokens", pa.int64()), ("best", pa.float64()), ("bins", pa.map_(pa.int32(), pa.int64()))]
         return pa.array(out, pa.struct(kinds))
 

@@ -123,5 +123,7 @@ def test_repeats_never_lower_the_evidence():
     for word in ("scum", "filth"):
         found = [detector.evidence(" ".join([word] * n)) for n in (1, 2, 3, 5, 20, 31, 32, 33, 64, 100, 1000)]
         assert found[0] > 0 and found == sorted(found)
-    assert odds.scores(["scum"] * 4).tolist() == pytest.approx([odds.score("scum")[0] / k for k in (1, 2, 3, 4)])
-    assert odds.scores(["calm"] * 40).tolist() == pytest.approx([-toxicity.DRIFT] * 40)
+    scores, fresh = odds.scores(["scum"] * 4)
+    assert scores.tolist() == pytest.approx([odds.score("scum")[0] * toxicity.DAMP**k for k in range(4)]) and fresh == 1
+    scores, fresh = odds.scores([*["calm"] * 3, *map(str, range(toxicity.NEAR)), "calm", "scum"])
+    assert scores[:-1].tolist() == pytest.approx([-toxicity.DRIFT] * (toxicity.NEAR + 4)) and fresh == toxicity.NEAR + 3

@@ -11,7 +11,7 @@ from ...functions.names import c
 from ...operators import merge, reports
 from ...operators.flatten import drop_internal, exclude, flatten, normalise_names, project_fill, time_source
 from ...session import new_path
-from ...sources import logs, state as states
+from ...sources import logs, paging, state as states
 from ..collect import LogQuery, collect_all, read_collected
 from ..train import enough_rows
 from .registry import query, table
@@ -355,10 +355,43 @@ def paged_read_by_key(spark, folder):
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def paged_read_all(spark, folder):
-    """The whole table page by page, on a key that repeats."""
+    """The whole table cut into pages on a key that repeats, written page by page and read back."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    found = logs.pages(lines, "l_orderkey", logs.chunk_size(lines).first().chunk_rows // 25)
-    return reduce(DataFrame.union, found, lines.limit(0))
+    path = new_path(spark, "pages")
+    size = logs.chunk_size(lines).first().chunk_rows // 25
+    paging.write_pages(lines, paging.plan_pages(lines, "l_orderkey", size), path)
+    return spark.read.parquet(path).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+PAGE_ROWS, PAGE_BYTES = 1000, 40_000
+_PAGE_SQL = (
+    "WITH s AS (SELECT l_partkey, l_orderkey, l_linenumber, strlen('{\"l_partkey\":' || l_partkey || ',\"l_orderkey\":'"
+    " || l_orderkey || ',\"l_linenumber\":' || l_linenumber || '}') AS size FROM lineitem),"
+    " k AS (SELECT l_partkey AS key, count(*) AS n, sum(size) AS b FROM s GROUP BY 1),"
+    f" w AS (SELECT *, greatest(n * {PAGE_BYTES}::HUGEINT, b * {PAGE_ROWS}::HUGEINT) AS w FROM k),"
+    f" p AS (SELECT key, n, b, ((sum(w) OVER (ORDER BY key) - w)::HUGEINT // {PAGE_ROWS * PAGE_BYTES})::BIGINT AS page FROM w)"
+)
+
+
+def _part_lines(spark, folder):
+    lines = table(spark, folder, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
+    return lines, paging.plan_pages(lines, "l_partkey", PAGE_ROWS, PAGE_BYTES)
+
+
+@query(
+    _PAGE_SQL + " SELECT page, min(key) AS first_key, max(key) AS last_key, count(*) AS keys,"
+    " CAST(sum(n) AS BIGINT) AS n_logs, CAST(sum(b) AS BIGINT) AS bytes FROM p GROUP BY page"
+)
+def page_plan(spark, folder):
+    """Pages of a thousand rows or 40 kB, cut from one histogram of the keys."""
+    return _part_lines(spark, folder)[1].plan
+
+
+@query(_PAGE_SQL + " SELECT page, l_partkey, l_orderkey, l_linenumber FROM s JOIN p ON l_partkey = key")
+def page_numbers(spark, folder):
+    """Every row with its page."""
+    lines, cut = _part_lines(spark, folder)
+    return cut.number(lines)
 
 
 @query("SELECT event_type AS title, count(*) AS n_logs FROM events GROUP BY ROLLUP (event_type)")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ...functions import scoring
 from ...functions.names import c
-from ...operators import profile as profiles
+from ...operators import dayprofile, profile as profiles
 from ...operators.select import with_ordinal, with_quality
 from ...operators.profile import rarest
+from ...session import new_path
 from .registry import query, table
 from .views import (
     CATEGORY_SQL,
@@ -199,3 +200,65 @@ def value_count_order(spark, folder):
     """Values of each categorical feature from the most common down."""
     ranked = profiles.ranked_counts(_many(spark, folder), BY, [F.desc("cnt"), "value"])
     return ranked.select("log_type", "feature", "value", "cnt", "place")
+
+
+LAST_DAY = "2024-01-30"
+SHARES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+_DAYS_SQL = f"SELECT event_type AS log_type, user_id, value FROM events WHERE ts < TIMESTAMP '{LAST_DAY}' + INTERVAL 1 DAY"
+
+
+def _profiled_by_day(spark, folder):
+    """Events up to the last day: all earlier days are profiled first, the last one by itself, twice."""
+    rows = table(spark, folder, "events").where(F.col("ts") < F.lit(f"{LAST_DAY} 23:59:59.999999").cast("timestamp_ntz"))
+    rows = rows.select(F.col("event_type").alias("log_type"), "user_id", "value", F.to_date("ts").alias("day"))
+    path = new_path(spark, "day-profiles")
+    dayprofile.refresh(rows.where(F.col("day") < F.lit(LAST_DAY).cast("date")), path, BY, "day")
+    for _ in range(2):
+        dayprofile.refresh(rows, path, BY, "day", [LAST_DAY])
+    return rows, dayprofile.stored(spark, path)
+
+
+@query(
+    f"WITH e AS ({_DAYS_SQL}) "
+    + " UNION ALL ".join(
+        f"SELECT log_type, '{name}' AS feature, count(*) AS rows, count({name}) AS non_null, round(avg({name}), 6) AS mean,"
+        f" round(var_samp({name}), 4) AS variance, CAST(min({name}) AS DOUBLE) AS min, CAST(max({name}) AS DOUBLE) AS max,"
+        " true AS distinct_near FROM e GROUP BY log_type"
+        for name in ("user_id", "value")
+    )
+)
+def day_profiles_merged(spark, folder):
+    """Day profiles put together give the profile of all days; distinct counts lie within five standard errors."""
+    rows, days = _profiled_by_day(spark, folder)
+    exact = profiles.distinct_counts(rows.drop("day"), BY, ["user_id", "value"])
+    near = F.abs(F.col("approx_distinct") - F.col("unique_count")) <= F.col("unique_count") * 0.08
+    return dayprofile.merge_days(days, BY).join(exact, [*BY, "feature"]).select(
+        *BY, "feature", "rows", "non_null", r6("mean").alias("mean"), F.round("variance", 4).alias("variance"), "min", "max",
+        near.alias("distinct_near"),
+    )
+
+
+@query(
+    f"WITH e AS ({_DAYS_SQL}) SELECT log_type, feature, share, count(*) AS n, true AS within"
+    " FROM (SELECT log_type, 'user_id' AS feature FROM e WHERE user_id IS NOT NULL"
+    " UNION ALL SELECT log_type, 'value' FROM e WHERE value IS NOT NULL),"
+    f" (VALUES {', '.join(f'({share}::DOUBLE)' for share in SHARES.values())}) AS s(share) GROUP BY ALL"
+)
+def day_profile_ranks(spark, folder):
+    """Quantiles of the merged sketches: their true ranks, counted over all rows, lie within the stated error."""
+    rows, days = _profiled_by_day(spark, folder)
+    wide = dayprofile.merge_days(days, BY, SHARES)
+    asked = F.array(*[F.struct(F.lit(share).alias("share"), F.col(name).alias("cut")) for name, share in SHARES.items()])
+    values = profiles.numeric_values(rows.drop("day"), BY, ["user_id", "value"]).where("value IS NOT NULL")
+    counted = values.groupBy(*BY, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = (
+        counted.join(wide.select(*BY, "feature", F.inline(asked)), [*BY, "feature"])
+        .groupBy(*BY, "feature", "share")
+        .agg(
+            F.sum("n").alias("n"),
+            F.coalesce(F.sum(F.when(F.col("value") < F.col("cut"), F.col("n"))), F.lit(0)).alias("below"),
+            F.coalesce(F.sum(F.when(F.col("value") <= F.col("cut"), F.col("n"))), F.lit(0)).alias("upto"),
+        )
+    )
+    low, high = F.col("below") / F.col("n") - dayprofile.RANK_ERROR, F.col("upto") / F.col("n") + dayprofile.RANK_ERROR
+    return ranks.select(*BY, "feature", "share", "n", F.col("share").between(low, high).alias("within"))

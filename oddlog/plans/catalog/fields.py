@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ...functions import scoring, timefeat
 from ...functions.names import is_port
 from ...functions.text import canonical_text
-from ...operators import encode
+from ...operators import encode, variants
 from ...operators.flatten import (
     field_set_diff as add_field_sets,
     flatten,
@@ -286,3 +286,46 @@ def rarity_level(spark, folder):
     return lines.join(join_side(counts, "counts"), ["l_returnflag", "big"]).select(
         "l_orderkey", "l_linenumber", scoring.rarity_level(score).alias("level")
     )
+
+
+def _loose_logs(spark, folder):
+    """Events as JSON texts of four shapes: the time null, absent, good or bad; the user an object, null, text or absent."""
+    ident, time = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    shape = ident % 4
+    body = (
+        F.when(shape == 0, F.format_string('"p_event_time":null,"timestamp":"%s","user":{"id":%d}', time, "user_id"))
+        .when(shape == 1, F.lit('"user":null'))
+        .when(shape == 2, F.format_string('"p_event_time":"%s","user":"u%d"', time, "user_id"))
+        .otherwise(F.format_string('"timestamp":"no time","tags":["%s",%d]', "event_type", "user_id"))
+    )
+    text = F.concat(F.format_string('{"id":%d,', ident), body, F.lit("}"))
+    return table(spark, folder, "events").select("event_id", text.alias("body"))
+
+
+_TIME_TEXT = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
+
+
+@query(
+    f"SELECT event_id, event_id AS id, CASE WHEN event_id % 4 = 2 THEN {_TIME_TEXT} END AS p_event_time,"
+    f" CASE event_id % 4 WHEN 0 THEN {_TIME_TEXT} WHEN 3 THEN 'no time' END AS \"timestamp\","
+    " CASE WHEN event_id % 4 = 2 THEN 'u' || user_id END AS \"user\","
+    " CASE WHEN event_id % 4 = 0 THEN CAST(user_id AS BIGINT) END AS \"user.id\","
+    " CASE WHEN event_id % 4 = 3 THEN CAST(2 AS INTEGER) END AS tags_count, CASE WHEN event_id % 4 = 3 THEN event_type END AS tags_first"
+    " FROM events"
+)
+def flatten_variant(spark, folder):
+    """Logs without a schema, whose user is an object in some rows and a text in others."""
+    return variants.flatten_variant(_loose_logs(spark, folder), "body")
+
+
+@query(
+    "SELECT event_id, CAST(CASE event_id % 4 WHEN 1 THEN NULL WHEN 2 THEN hour(ts) ELSE -1 END AS INTEGER) AS hour,"
+    " CAST(CASE event_id % 4 WHEN 1 THEN NULL WHEN 2 THEN isodow(ts) - 1 ELSE -1 END AS INTEGER) AS day_of_week,"
+    " CASE event_id % 4 WHEN 0 THEN 'p_event_time' WHEN 1 THEN 'user' ELSE '' END AS nulls FROM events"
+)
+def variant_null_time(spark, folder):
+    """A time stated as null gives -1, an absent one null; what a row states as null is named."""
+    loose = _loose_logs(spark, folder)
+    named = variants.null_fields(loose, "body", variants.fields_of(loose, "body"))
+    timed = variants.with_variant_time(named, "body")
+    return timed.select("event_id", "hour", "day_of_week", F.array_join("null_fields", ",").alias("nulls"))

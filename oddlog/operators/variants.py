@@ -95,15 +95,19 @@ def _opened(level: DataFrame, max_items: int) -> DataFrame:
     children = children.withColumn("kind", kind_of(F.col("value")))
     items = F.when(F.col("kind") == ARRAY, F.try_variant_get("value", "$", "array<variant>"))
     items = F.when(kind_of(F.get(items, 0)) == OBJECT, F.slice(items, 1, max_items))
-    inner = children.withColumn("items", items).where("items IS NOT NULL").select("path", "name", F.posexplode("items").alias("i", "value"))
-    inner = inner.select(
-        F.concat("path", F.array(F.format_string('{"i":%d}', "i"))).alias("path"),
-        F.format_string("%s[%d]", "name", "i").alias("name"),
-        "value",
-        kind_of(F.col("value")).alias("kind"),
-    )
+    single = F.struct("path", "name", "value", "kind")
+
+    def inner(item: Column, i: Column) -> Column:
+        return F.struct(
+            F.concat("path", F.array(F.format_string('{"i":%d}', i))).alias("path"),
+            F.format_string("%s[%d]", "name", i).alias("name"),
+            item.alias("value"),
+            kind_of(item).alias("kind"),
+        )
+
     # an array of objects is no field of its own, its items are
-    return children.withColumn("items", items).where("items IS NULL").drop("items").unionByName(inner)
+    entries = F.when(items.isNull(), F.array(single)).otherwise(F.transform(items, inner))
+    return children.select(F.inline(entries))
 
 
 def fields_of(df: DataFrame, column: str, max_items: int = MAX_ITEMS) -> list[Field]:

@@ -23,8 +23,6 @@ from ..session import BROADCAST_ROWS, fits, stage
 from .logs import CHUNK_BYTES
 
 KEYS_PER_TASK = 1_000_000
-LOOKUP_PAGES = 200_000  # first keys searched in one value; more pages are looked up by joining keys
-STEPS = [1 << k for k in range(LOOKUP_PAGES.bit_length() - 1, -1, -1)]
 
 
 def key_histogram(df: DataFrame, key: str) -> DataFrame:
@@ -62,33 +60,16 @@ class Paging:
     keys: DataFrame
     plan: DataFrame
 
-    def number(self, df: DataFrame, name: str = "page", lookup: int = LOOKUP_PAGES) -> DataFrame:
+    def number(self, df: DataFrame, name: str = "page", lookup: int = BROADCAST_ROWS) -> DataFrame:
         """Add the page of every row; a column already called ``name`` is replaced.
 
-        The first keys of up to ``lookup`` pages travel to the rows as one value that is searched by halving. If they
-        are more, or large, rows and keys are joined by a shuffle, whose hot keys adaptive execution splits.
+        Rows are joined to the keys. Up to ``lookup`` keys are broadcast; if they are more, or large, both sides are
+        shuffled, where adaptive execution splits hot keys. Either way a row costs the same whatever the number of pages.
         """
         rows = df.select(F.struct(*[c(n) for n in df.columns if n != name]).alias("row"), c(self.key).alias("key"))
-        if fits(self.plan, min(lookup, LOOKUP_PAGES)):
-            ladder = F.sort_array(F.collect_list(F.struct("page", "first_key"))).alias("ladder")
-            rows = rows.crossJoin(F.broadcast(self.plan.agg(ladder)))  # one row of bounded size
-            page = F.get("ladder", self._place())["page"]
-        else:
-            found = self.keys.select(F.col("key").alias("known"), "page")
-            rows = rows.join(found, F.col("key").eqNullSafe(F.col("known")))
-            page = F.col("page")
-        return rows.select("row.*", page.alias(name))
-
-    @staticmethod
-    def _place():
-        """Place of the last page that starts at or before the key; a page that starts with no key starts before all."""
-
-        def further(place, step):
-            there = place + step
-            starts = F.coalesce(F.get("ladder", there)["first_key"] <= F.col("key"), F.col("key").isNotNull())
-            return F.when((there < F.size("ladder")) & starts, there).otherwise(place)
-
-        return F.aggregate(F.array(*[F.lit(s) for s in STEPS]), F.lit(0), further)
+        found = self.keys.select(F.col("key").alias("known"), "page")
+        side = F.broadcast(found) if fits(self.keys, min(lookup, BROADCAST_ROWS)) else found
+        return rows.join(side, F.col("key").eqNullSafe(F.col("known"))).select("row.*", F.col("page").alias(name))
 
     def each(self, df: DataFrame) -> Iterator[tuple[int, DataFrame]]:
         """Number and rows of every page in order, as a range of keys that reaches the scan: cheap on a table sorted by key.

@@ -81,6 +81,16 @@ def test_a_table_is_read_twice_whatever_the_number_of_pages(spark):
     assert spark.read.parquet(path).count() == 1000 and read.value == 2000
 
 
+@pytest.mark.parametrize("lookup", [0, 200_000])
+def test_a_row_does_not_carry_the_pages_to_its_number(spark, lookup):
+    df = spark.range(0, 3000, 1, 4).selectExpr("id div 2 AS k", "id")
+    cut = paging.plan_pages(df, "k", 2)
+    numbered = cut.number(df, lookup=lookup)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {r.id: r.page for r in numbered.collect()} == {i: i // 2 for i in range(3000)}
+
+
 def test_an_empty_table_has_no_pages(spark):
     df = spark.createDataFrame([], "k long, text string")
     cut = paging.plan_pages(df, "k", 10)

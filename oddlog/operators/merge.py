@@ -24,12 +24,14 @@ def first_truthy(df: DataFrame, fields: tuple[str, ...]) -> Column:
 def identity(df: DataFrame, fields: tuple[str, ...] = IDENTITY_FIELDS, whole_row: bool = True) -> Column:
     """De-duplication key: first truthy identity field, named so that an id never equals a timestamp; else the row.
 
-    The row form is a digest of the whole record as JSON, nothing is cut off. Logs that always carry an identity field
-    do without it (``whole_row=False``); then only the identity fields are read.
+    A zero gives way to any other identity field, but where it is the only one it is the id. The row form is a digest of
+    the whole record as JSON, nothing is cut off. Logs that always carry an identity field do without it
+    (``whole_row=False``); then only the identity fields are read.
     """
-    named = [
-        F.concat(F.lit(f"{f}="), truthy(c(f), df.schema[f].dataType)) for f in fields if f in df.columns
-    ]
+    there = [f for f in fields if f in df.columns]
+    named = [F.concat(F.lit(f"{f}="), truthy(c(f), df.schema[f].dataType)) for f in there]
+    numbers = [f for f in there if isinstance(df.schema[f].dataType, T.NumericType)]
+    named += [F.when(c(f) == 0, F.lit(f"{f}=0")) for f in numbers]
     if named and not whole_row:
         return F.coalesce(*named)
     whole = F.concat(F.lit("row="), F.sha2(F.to_json(F.struct(*[c(n) for n in sorted(df.columns)])), 256))

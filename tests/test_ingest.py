@@ -162,6 +162,18 @@ def test_an_expired_id_may_return(spark):
     assert {f.split("collected_day=")[1][:10] for f in spark.read.parquet(f"{path}/data/logs").inputFiles()} == {"2024-01-19", "2024-01-20"}
 
 
+def test_zero_is_an_id_where_nothing_else_is(spark):
+    path = new_path(spark, "t-zero")
+    for day in (25, 28):
+        rows = [(i, f"2024-01-{day - 1}T12:00:00Z") for i in (0, 1, day)]
+        zeros = LogQuery("zeros", 5, spark.createDataFrame(rows, "id long, p_event_time string"), key_fields=("id",))
+        collect_all(spark, [zeros], path, f"2024-01-{day} 00:00:00")
+    stored = read_collected(spark, zeros, path, "2024-01-28 00:00:00")
+    assert sorted((r.id, r.p_event_time[8:10]) for r in stored.collect()) == [(0, "24"), (1, "24"), (25, "24"), (28, "27")]
+    df = spark.createDataFrame([(0, "a"), (0, "b"), (None, "a")], "id long, timestamp string")
+    assert sorted(r[0] for r in df.select(merge.identity(df)).collect()) == ["timestamp=a", "timestamp=a", "timestamp=b"]
+
+
 def test_pages_never_cut_a_key(spark):
     df = spark.range(100).selectExpr("id", "id div 10 AS k").union(spark.sql("SELECT 100L, null"))
     found = [[r.id for r in p.collect()] for p in logs.pages(df, "k", 25)]

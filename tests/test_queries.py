@@ -38,6 +38,22 @@ def test_scoring_equals_sql_on_the_smallest_tables(spark, name):
     assert ok, message
 
 
+def test_a_log_type_with_fewer_features_has_no_cells_beyond_them(spark, tmp_path):
+    """Six copies of the events: the few extreme ones are enough for a model, of a feature less than the others."""
+    folder, copies = str(tmp_path), spark.range(6).withColumnRenamed("id", "copy")
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("value > 400 OR event_id % 100 = 0").crossJoin(copies)
+    shifted = events.withColumn("event_id", events["event_id"] + 100_000 * events["copy"]).drop("copy")
+    for name in check_queries.TABLES:
+        if name != "events":
+            os.symlink(f"{FOLDER}/{name}.parquet", f"{folder}/{name}.parquet")
+    shifted.write.parquet(f"{folder}/parts")
+    import duckdb
+
+    duckdb.connect().execute(f"COPY (FROM '{folder}/parts/*.parquet') TO '{folder}/events.parquet' (FORMAT parquet)")
+    ok, message = check_queries.compare("feature_matrix", entry.queries()["feature_matrix"], entry.oracle_sql()["feature_matrix"], spark, folder)
+    assert ok, message
+
+
 def test_remembered_models_follow_the_data(spark, tmp_path):
     from oddlog.plans.catalog.registry import remembered, table
 

@@ -4,8 +4,8 @@ Each stage takes what the one before it kept, and but for the last returns the c
 
 * ``language``: documents without a letter go, and those whose best score is hardly above chance (``ABOVE_CHANCE`` over the
   number of languages, at most a half); a short document of unseen words is no reason to doubt.
-* ``near_duplicates``: of documents whose five-word shingles are alike by 0.8 or more, over chains of such pairs, the one
-  with the smallest id stays.
+* ``near_duplicates``: of documents whose SimHash fingerprints differ in at most four bits, or whose five-word shingles are
+  alike by 0.8 or more (many of these differ in more bits), over chains of such pairs, the one with the smallest id stays.
 * ``repeats``: stretches of 200 bytes or more that occur elsewhere are cut out; documents with nothing left go.
 * ``mixing``: documents are drawn so that sources, languages and topics have their raked shares without any weights; the
   weights are raked within what each cell has, so that a rare cell does not decide how much is kept.
@@ -19,7 +19,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from oddlog.llm import byte_bpe, language, mixing, near_copies, repeats
+from oddlog.llm import byte_bpe, language, mixing, near_copies, repeats, simhash
 from oddlog.llm.common import nested, stage, table, unnested
 
 ABOVE_CHANCE = 1.25
@@ -37,7 +37,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_one(docs)
+    near = simhash.near_groups(docs).select(F.col("doc_id").alias("id"), F.col("component_id").alias("group"))
+    return near_copies.keep_one(docs, groups=near)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

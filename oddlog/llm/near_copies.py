@@ -199,11 +199,12 @@ def node_links(docs: DataFrame, text_col: str, rows: DataFrame) -> DataFrame:
     return verified(stage(found.select("node", "block", shingle_sets(F.col("text")).alias("shingles")), "sets"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """One row of each group of near copies: the one with the smallest id.
 
     Texts are grouped over chains of similar pairs. Null and empty texts are alike. Rows that share an id count as
     linked, and the one with the least digest stays. Rows without an id are linked by their texts; of a group without any id, one stays.
+    ``groups`` (id, group), as another operator found them, are links as well: chains run over both kinds.
     """
     text_batches(docs.sparkSession)
     copy = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy")
@@ -212,7 +213,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = stage(read.select("id", "copy", "whole", "s.node", "s.keys"), "sketches")
     ids = rows.where("id is not null").groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     same = rows.join(ids, "id").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    groups = components(node_links(docs, text_col, rows).union(same))
+    found = node_links(docs, text_col, rows).union(same)
+    if groups is not None:
+        grouped = rows.join(groups.where("id is not null").distinct(), "id").select("group", "node").distinct()
+        heads = grouped.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+        found = found.union(grouped.join(heads, "group").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    groups = components(found)
     named = rows.select("id", "copy", "whole", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = F.struct(F.col("id").isNull(), "id", "whole")
     best = named.groupBy("component").agg(F.min(first).alias("first"), F.min("copy").alias("copy"))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from oddlog.llm import near_copies
+from oddlog.llm import near_copies, simhash
 
 pytest.importorskip("xxhash")
 
@@ -67,3 +67,23 @@ def test_a_share_of_the_whole_counts_not_the_bits():
     b = a.replace("w50 ", "x ").replace("w90 ", "y ").replace("w130 ", "z ")
     assert 0.8 <= jaccard(a, b) < 0.9
     assert set(near_copies.keys_of(near_copies.shingles_of(a))) & set(near_copies.keys_of(near_copies.shingles_of(b)))
+
+
+def test_the_stage_links_by_simhash_and_by_shares(spark):
+    """Fingerprints within four bits link, whatever the shares; so do shares of 0.8, whatever the bits; and chains of both."""
+    a = " ".join(f"w{i}" for i in range(300))
+    versions = [" ".join(f"x{i}" if i % n == 5 else f"w{i}" for i in range(300)) for n in (290, 140, 100, 80, 60, 45, 35, 30, 25)]
+    refrain = " ".join(f"r{i % 11}" for i in range(1000))
+    songs = [refrain + "".join(f" {end}{i}" for i in range(20)) for end in "pq"]
+    texts = [a, *versions, *songs]
+    prints = [simhash.fingerprint_of(t) & (1 << 64) - 1 for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    near = {(i, j) for i, j in pairs if (prints[i] ^ prints[j]).bit_count() <= simhash.DISTANCE}
+    alike = {(i, j) for i, j in pairs if jaccard(texts[i], texts[j]) >= 0.8}
+    assert near - alike and alike - near
+    root = list(range(len(texts)))
+    for i, j in sorted(near | alike) * len(texts):
+        low, high = sorted((root[i], root[j]))
+        root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(root))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators import merge
 
 DAY_MS = 86_400_000
+BUCKETS = 1 << 13  # states that the keys are dealt over; a checkpoint is bound to it
 READ, JUDGED = "events_read", "events_judged"  # names of the observations
 COUNTS = "batch_id bigint, read bigint, late bigint, duplicates bigint, passed bigint"
 
@@ -34,8 +35,9 @@ def fold_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class FirstOfKey(StatefulProcessor):
     """Remembers the day on which a key last passed; an event passes unless it lies within the window of that day.
 
-    A timer forgets the day once no event within its window can come any more. It never decides what passes: an event
-    that is in time and arrives after the timer lies outside the window anyway.
+    The keys of a bucket are one state, as every call to the state store costs a round trip from Python. A timer at the
+    earliest of its ends forgets days once no event within their window can come any more. It never decides what passes:
+    an event that is in time and arrives after the timer lies outside the window anyway.
     """
 
     def __init__(self, window_days: int):
@@ -43,32 +45,47 @@ class FirstOfKey(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "day int")
+        self.last = handle.getValueState("last", "keys array<string>, days array<int>")
 
     def handleInputRows(self, key, rows, timerValues):
         judged, passed = 0, []
-        last = self.last.get()[0] if self.last.exists() else None
-        before = last
+        last = self.remembered()
+        before = min(last.values(), default=None)
         now = timerValues.getCurrentWatermarkInMs() // DAY_MS
-        dated = [(now if row["_day"] is None else row["_day"], row["_order"], row) for row in rows]
-        for day, _, row in sorted(dated, key=lambda r: r[:2]):
+        dated = [(row["log_id"], now if row["_day"] is None else row["_day"], row["_order"], row) for row in rows]
+        for log_id, day, _, row in sorted(dated, key=lambda r: r[:3]):
             judged += row["_rows"]
-            if last is None or abs(day - last) >= self.window:
-                last = day
+            if log_id not in last or abs(day - last[log_id]) >= self.window:
+                last[log_id] = day
                 passed.append(row["row"])
-        if last != before:
-            self.last.update((last,))
-            if before is not None:
-                self.handle.deleteTimer((before + self.window) * DAY_MS)
-            self.handle.registerTimer((last + self.window) * DAY_MS)
+        self.remember(last, before, timerValues)
         for row in passed or [None]:
             yield T.Row(row=row, judged=judged)
             judged = 0
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.last.clear()
+        self.remember(self.remembered(), None, timerValues)
         return iter(())
 
+    def remembered(self) -> dict[str, int]:
+        found = self.last.get()
+        return dict(zip(*found)) if found else {}
+
+    def remember(self, last: dict[str, int], before: int | None, timerValues) -> None:
+        """Keep what the watermark has not ended, and have the timer, if any at ``before``, at the earliest day."""
+        mark = timerValues.getCurrentWatermarkInMs()
+        kept = {k: day for k, day in last.items() if (day + self.window) * DAY_MS > mark}
+        first = min(kept.values(), default=None)
+        if kept:
+            self.last.update((list(kept), list(kept.values())))
+        else:
+            self.last.clear()
+        if first != before:
+            if before is not None:
+                self.handle.deleteTimer((before + self.window) * DAY_MS)
+            if first is not None:
+                self.handle.registerTimer((first + self.window) * DAY_MS)
+
     def close(self) -> None:
         pass
 
@@ -97,11 +114,12 @@ def first_of_key(
     )
     folded_type = T.StructType([*named.schema.fields, T.StructField("_rows", T.LongType())])
     folded = named.mapInArrow(fold_copies, folded_type)
-    timed = folded.withColumn("_at", F.timestamp_millis(F.col("_day").cast("long") * DAY_MS))
+    bucket = F.pmod(F.xxhash64("log_id"), F.lit(BUCKETS)).alias("_bucket")
+    timed = folded.select(bucket, "*", F.timestamp_millis(F.col("_day").cast("long") * DAY_MS).alias("_at"))
     out = T.StructType([T.StructField("row", events.schema), T.StructField("judged", T.LongType())])
     judged = (
         timed.withWatermark("_at", f"{late_days} days")
-        .groupBy("log_id")
+        .groupBy("_bucket")
         .transformWithState(FirstOfKey(window_days), out, "Append", "EventTime")
     )
     counted = judged.observe(

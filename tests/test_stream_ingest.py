@@ -1,9 +1,11 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from oddlog.session import new_path
+from oddlog.streaming import ingest
 from oddlog.streaming.ingest import first_of_key, ingest_counts, start_ingest
 from oddlog.streaming.score import read_events
 
@@ -70,6 +72,24 @@ def test_batches_and_a_restart_equal_the_plain_loop(spark):
     assert spark.read.parquet(out).count() == len(want) and not ingest_counts(spark, again).collect()
 
 
+def test_keys_share_states_and_are_forgotten(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "BUCKETS", 8)
+    path, out, checkpoint = (new_path(spark, f"t-ingest-buckets-{n}") for n in ("in", "out", "check"))
+    rng = random.Random(5)
+    batches = [
+        [event(f"k{rng.randrange(300)}", max(0, 3 * b + rng.randrange(-3, 4)), 1000 * b + i, i / 20) for i in range(400)]
+        for b in range(4)
+    ]
+    batches += [[event("last", 60, 9001)], [event("last", 61, 9002), event("k1", 61, 9003)]]
+    put(spark, path, *batches)
+    query = run(spark, path, out, checkpoint)
+    want, counts = plain([sorted(rows, key=lambda r: r[1]) for rows in batches])
+    assert sorted(r.note.n for r in spark.read.parquet(out).collect()) == want
+    assert [tuple(r)[1:] for r in ingest_counts(spark, query).orderBy("batch_id").collect()] == counts
+    sizes = [p.stateOperators[0].numRowsTotal for p in query.recentProgress]
+    assert max(sizes) <= 3 * 8 and sizes[-1] <= 3 * 2  # a state, and a timer kept under two names
+
+
 def test_nulls_and_an_empty_file(spark):
     path, out, checkpoint = (new_path(spark, f"t-ingest-null-{n}") for n in ("in", "out", "check"))
     put(spark, path, [], [event(None, None, 1), event(None, None, 1), event("a", None, 2), event("a", 0, 3)])

@@ -73,3 +73,11 @@ def test_remembered_models_follow_the_data(spark, tmp_path):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["stats_join", "feature_deviations"])
+def test_the_deviations_of_an_event_are_built_once(spark, name):
+    """No filter by the size of the array, which holds all that builds it a second time."""
+    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan
+    assert not [line for line in plan.splitlines() if "Filter" in line and "size(" in line]

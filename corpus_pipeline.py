@@ -23,6 +23,7 @@ from oddlog.llm import byte_bpe, language, mixing, near_copies, repeats, simhash
 from oddlog.llm.common import nested, stage, table, unnested
 
 ABOVE_CHANCE = 1.25
+ROOM = 24 << 20  # bytes of a turn of the encoder's memo: its workers still hold memory of the stages before
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 ORACLE_SQL = None
@@ -53,7 +54,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = byte_bpe.encode(docs.select("doc_id", "source", "lang", "text"), RANKS, public_tokenizers.PATTERN)
+    coded = byte_bpe.encode(docs.select("doc_id", "source", "lang", "text"), RANKS, public_tokenizers.PATTERN, room=ROOM)
     both = byte_bpe.decode(coded, RANKS)
     same = F.col("decoded") == F.encode("text", "UTF-8")
     size = F.size("ids").cast("long").alias("n_tokens")

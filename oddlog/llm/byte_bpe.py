@@ -195,9 +195,9 @@ class Vocabulary:
         self.held += sum(ENTRY + len(w) + len(memo[w]) for w in again)
         self.learn(list(missing.difference(again)))
 
-    def turn(self) -> None:
+    def turn(self, room: int) -> None:
         """When the memo has used its room, what was not used since its last turn goes."""
-        if self.held > ROOM:
+        if self.held > room:
             self.memo, self.last, self.held = {}, self.memo, 0
 
     def whole(self, keys: list[bytes]) -> np.ndarray:
@@ -270,8 +270,8 @@ class Vocabulary:
         while portion := list(islice(found, 1 << 16)):
             yield portion
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
-        """All ids one after another, and the number of ids of each text."""
+    def encode(self, texts: list[str], room: int | None = None) -> tuple[np.ndarray, list[int]]:
+        """All ids one after another, and the number of ids of each text. ``room``: of a turn of the memo, else ``ROOM``."""
         out, counts, waiting, pending = [], [], [], []
 
         def flush():
@@ -284,7 +284,7 @@ class Vocabulary:
                 first += n
             waiting.clear()
             pending.clear()
-            self.turn()
+            self.turn(ROOM if room is None else room)
 
         for doc, text in enumerate(texts):
             counts.append(0)
@@ -309,7 +309,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(read_ranks(path), pattern)
 
 
-def encoder(spark: SparkSession, path: str, pattern: str):
+def encoder(spark: SparkSession, path: str, pattern: str, room: int | None = None):
     """A function from a text column to its ids (array of int). ``path``: the rank file as the driver sees it."""
     shared = text_batches(spark).sparkContext.broadcast(vocabulary(path, pattern))
 
@@ -318,7 +318,7 @@ def encoder(spark: SparkSession, path: str, pattern: str):
         words = shared.value
         parts, counts = [], []
         for portion in slices(texts):
-            found, sizes = words.encode(portion)
+            found, sizes = words.encode(portion, room)
             parts.append(found)
             counts += sizes
         offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
@@ -351,9 +351,15 @@ def decoder(spark: SparkSession, path: str):
     return text
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of every whole text; a column already called ``ids_col`` is replaced."""
-    return docs.withColumn(ids_col, encoder(docs.sparkSession, path, pattern)(F.col(text_col)))
+def encode(
+    docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", room: int | None = None
+) -> DataFrame:
+    """``docs`` with the ids of every whole text; a column already called ``ids_col`` is replaced.
+
+    ``room``: bytes of the pre-tokens that a worker remembers from one turn of its memo, where it shares its memory with
+    other steps; it changes no id.
+    """
+    return docs.withColumn(ids_col, encoder(docs.sparkSession, path, pattern, room)(F.col(text_col)))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

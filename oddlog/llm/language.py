@@ -12,7 +12,7 @@ it has a proven size when it is broadcast. Every document is scored, over its wh
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from itertools import chain
 
 import numpy as np
@@ -26,6 +26,7 @@ LANGUAGES = 500
 WORDS = 100_000
 GRAMS = 100_000
 LONGEST = 4
+ROOM = 1 << 17  # words whose rows a worker remembers
 RUN, PIECE = 200, 20  # letters above which a run is cut, and of its pieces
 UNKNOWN = "und"
 SHARED = 0.05  # weight of an entry's mean frequency over all languages
@@ -57,10 +58,30 @@ def words_of(text: str) -> list[str]:
     return cut(words) if any(map(str.isalpha, words)) or any(map(str.isalpha, text)) else []
 
 
+class Rates(Mapping):
+    """Log frequencies per language of entries, as rows of one matrix: a worker's copy needs no array for each entry."""
+
+    def __init__(self, entries: Iterable[str], logs: np.ndarray):
+        self.places, self.logs = {entry: at for at, entry in enumerate(entries)}, logs
+
+    def get(self, entry: str, default: np.ndarray | None = None) -> np.ndarray | None:
+        at = self.places.get(entry)
+        return default if at is None else self.logs[at]
+
+    def __getitem__(self, entry: str) -> np.ndarray:
+        return self.logs[self.places[entry]]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.places)
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+
 class Model:
     """Log frequencies per language of words and of n-grams by size."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], pieces: list[dict[str, np.ndarray]]):
+    def __init__(self, languages: list[str], words: Rates, pieces: list[Rates]):
         self.languages, self.words, self.pieces = languages, words, pieces
 
     def piece(self, gram: str) -> np.ndarray:
@@ -80,7 +101,7 @@ class Model:
 
     def scorer(self) -> Scores:
         if not hasattr(self, "kept"):
-            self.kept = Scores(len(self.languages), self.word)
+            self.kept = Scores(len(self.languages), self.word, ROOM)
         return self.kept
 
     def __getstate__(self):
@@ -130,7 +151,7 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(COUNTED, ([lang for lang, _ in found], [entry for _, entry in found], list(found.values())))
 
 
-def smoothed(rows, languages: list[str]) -> dict[str, np.ndarray]:
+def smoothed(rows, languages: list[str]) -> Rates:
     """Log frequency per language of every counted entry, mixed with a little of its mean over all languages.
 
     So what a language never showed is as unlikely in a small sample as in a large one.
@@ -142,7 +163,7 @@ def smoothed(rows, languages: list[str]) -> dict[str, np.ndarray]:
             counts[at, places[lang]] = n
     rates = counts / np.maximum(counts.sum(axis=0), 1)
     logs = np.log((1 - SHARED) * rates + SHARED * rates.mean(axis=1, keepdims=True))
-    return dict(zip((entry for entry, _ in rows), logs))
+    return Rates((entry for entry, _ in rows), logs)
 
 
 def fit(
@@ -162,7 +183,8 @@ def fit(
     sizes = read.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
-        return Model([], {}, [{}] * LONGEST)
+        nothing = Rates([], np.zeros((0, 0)))
+        return Model([], nothing, [nothing] * LONGEST)
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))))
     # Rows without an id are drawn by their text.
     key = F.coalesce(F.col("id").cast("string"), F.col("text"))

@@ -63,6 +63,15 @@ def test_memo_may_be_forgotten(words, library, monkeypatch):
     assert len(words.memo) + len(words.last) < 80
 
 
+def test_a_step_may_give_the_memo_less_room(words, library):
+    texts = [f"{'x' * 50_000}{i}" for i in range(8)]
+    words.forget()
+    for text in texts:
+        ids, _ = words.encode([text], room=100_000)
+        assert ids.tolist() == library.encode_ordinary(text)
+    assert sum(map(len, [*words.memo, *words.last])) < 300_000
+
+
 def test_memo_is_bounded_in_bytes(words, library, monkeypatch):
     monkeypatch.setattr(byte_bpe, "ROOM", 100_000)
     words.forget()

@@ -1,4 +1,6 @@
+import pickle
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +100,16 @@ def test_predictions_equal_a_plain_version(docs):
         want = max(range(3), key=lambda i: sums[i])
         assert got == model.languages[want]
         assert score == pytest.approx(1 / sum(math.exp((s - sums[want]) * min(len(words), 10)) for s in sums))
+
+
+def test_a_workers_copy_of_the_model_is_small():
+    rows = [(f"wort{i}", {"aa": i + 1, "cc": 1}) for i in range(20_000)]
+    languages = ["aa", "bb", "cc", "dd"]
+    rates = language.smoothed(rows, languages)
+    sent = pickle.dumps(language.Model(languages, rates, [rates] * language.LONGEST))
+    tracemalloc.start()
+    got = pickle.loads(sent)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held / len(rows) < 180  # numbers, text, place; not an array for each entry
+    assert got.word("wort7").tolist() == rates["wort7"].tolist()
